@@ -94,10 +94,10 @@ def combinations(edges: np.ndarray, window: int) -> list[dict[int, int]]:
     """Shallow combinations (at most three different bins) whose upper edges nearly fill the window."""
     found: dict[tuple, dict[int, int]] = {}
 
-    def complete(parts: dict[int, int]) -> None:
+    def complete(parts: dict[int, int], repeats: tuple[int, ...]) -> None:
         """Fills what is left with repeats of the one bin that leaves least over."""
         left = window - sum(int(edges[b]) * m for b, m in parts.items())
-        for m in (1, 2, 3, 5, 8, 16, 64):
+        for m in repeats:
             if left // m < 1:
                 break
             b = int(np.searchsorted(edges, left // m, side="right")) - 1
@@ -106,17 +106,17 @@ def combinations(edges: np.ndarray, window: int) -> list[dict[int, int]]:
             if window - sum(int(edges[x]) * n for x, n in whole.items()) <= window // 64:
                 found.setdefault(tuple(sorted(whole.items())), whole)
 
-    step = max(1, len(edges) // 40)
+    step = max(1, len(edges) // 12)
     for a in range(len(edges)):
         most = int(window // edges[a])
         for m in sorted({1, 2, 3, max(1, most // 4), max(1, most // 2), most}):
             if m > most:
                 continue
-            complete({a: m})
-            if m <= 2:
+            complete({a: m}, (1, 2, 4, 16, 64))
+            if m == 1:
                 for b in range(a % step, len(edges), step):
                     if b != a and edges[a] * m + edges[b] < window:
-                        complete({a: m, b: 1})
+                        complete({a: m, b: 1}, (1, 3))
     return list(found.values())
 
 

@@ -19,12 +19,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from artisieve.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from artisieve.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from artisieve.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), held_out=(5, 0))
+    return toxicity.score(docs, model).select("doc_id", toxicity.in_fold("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from artisieve.llm.quality import quality_scores
+    from artisieve.llm.toxicity import in_fold
+
+    scores = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=(4, 2))
+    return scores.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from artisieve.llm.lm_scoring import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"), folds=7, fold=2)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from artisieve.llm.packing import pack
 
@@ -32,7 +64,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op5_token_counts": op5_token_counts,
+    "op6_toxicity": op6_toxicity,
+    "op8_quality": op8_quality,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_packing": op10_packing,
 }
 
