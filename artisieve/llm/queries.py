@@ -19,12 +19,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from artisieve.llm.ann import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0").select("vec_id"), top=20)
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from artisieve.llm.jaccard_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op3_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from artisieve.llm.decontamination import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from artisieve.llm.suffix_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from artisieve.llm.token_counts import token_counts
 
@@ -41,6 +60,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.in_fold("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_chain_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from artisieve.llm.chain_dedup import fuzzy_passages
+
+    return fuzzy_passages(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -64,9 +89,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_cross_polytope": op1_cross_polytope,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_template_leaks": op3_template_leaks,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
+    "op7_chain_dedup": op7_chain_dedup,
     "op8_quality": op8_quality,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_packing": op10_packing,

@@ -1,20 +1,59 @@
-"""Corpus pipeline: toxicity, near duplicates, repeated passages, benchmark leaks, packing."""
+"""Corpus pipeline: toxicity, near duplicates, repeated passages, benchmark leaks, packing.
 
-from __future__ import annotations
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last
+return the columns of ``docs``; ``run`` writes each stage's rows to the shared folder and reads them again.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from artisieve.llm import chain_dedup, decontamination, jaccard_join, packing, toxicity
+from artisieve.llm.common import staged
+from artisieve.llm.queries import table, tokenizer
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents whose toxicity score reaches 0.5; the model learns from all labels."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the least id of each class under five-word shingles and similarity 0.8; null ids and empty texts stay."""
+    classes = jaccard_join.near_duplicates(docs.select("doc_id", "text"), k=5, num=80, den=100)
+    doubles = classes.where("n_shingles > 0 AND component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(doubles, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 50 or more words that an earlier document holds."""
+    return chain_dedup.drop_repeats(docs)
 
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold a benchmark item."""
+    return decontamination.keep_unleaked(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 4096 tokens."""
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
+
+#: Learned scores and passage chains are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from artisieve.llm.common import staged
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
