@@ -59,7 +59,7 @@ def usable(column: str):
     return F.col(column).isNotNull() & ~F.exists(column, bad) & F.exists(column, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, tables: int = 8, probes: int = 12, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, tables: int = 8, probes: int = 20, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its ``top`` best found by inner product, without itself.
 
     ``queries(id)`` names rows of ``vectors``. Ties go to the smaller id. Null ids and unusable vectors take

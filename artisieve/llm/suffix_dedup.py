@@ -74,7 +74,7 @@ def equal_runs(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int]
     return [(int(s), int(e)) for s, e in zip(edge[::2], edge[1::2], strict=True) if e - s >= least]
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 50, width: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = 50, width: int = 36, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, partner_id, partner_start): passages of ``min_words`` or more that two documents share.
 
     Words are lower-cased (A-Z). Every document that holds such a passage is in a row with a neighbour that
