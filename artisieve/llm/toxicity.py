@@ -67,7 +67,7 @@ def _raw(rows: list[np.ndarray], bias: float, w: np.ndarray, v: np.ndarray) -> t
     return bias + linear + 0.5 * ((sums**2).sum(1) - squares), who, idx, sums
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = 18, factors: int = 4, epochs: int = 40, rate: float = 0.15, decay: float = 1e-4, screen: float = 4.0, seed: int = 7) -> FactorizationMachine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = 18, factors: int = 4, steps: int = 3000, rate: float = 0.15, decay: float = 1e-5, screen: float = 4.0, seed: int = 7) -> FactorizationMachine:
     """AdaGrad on the logistic loss, over the terms whose document counts differ by label beyond ``screen`` sigmas."""
     rng, size = np.random.default_rng(seed), 1 << bits
     n = np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]), minlength=size)
@@ -81,7 +81,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = 18, factors: int
     bias, w, v = float(np.log(base / (1 - base))), np.zeros(len(active)), rng.normal(0, 0.01, (len(active), factors))
     kept = [s[s >= 0] for s in (slot[r] for r in rows)]
     gw, gv, gb = np.full(len(active), 1e-6), np.full((len(active), factors), 1e-6), 1e-6
-    for _ in range(epochs if len(active) else 0):
+    batches = -(-len(kept) // 512)
+    for _ in range(-(-steps // batches) if len(active) else 0):
         order = rng.permutation(len(kept))
         for at in range(0, len(order), 512):
             part = order[at : at + 512]
