@@ -24,14 +24,15 @@ from pyspark.sql import functions as F
 from artisieve.llm.common import slices, staged
 
 
-class WordIds(dict):
-    """whitespace-delimited word (UTF-8) -> its token ids.
+class WordIds:
+    """whitespace-delimited word (UTF-8) -> its token ids, as little-endian 32-bit bytes.
 
     The tokenizer's pre-tokens never span white space, so words are encoded alone. Plain Latin-1 words
-    are cut by the tokenizer's own split pattern first, so that the library sees only new pre-tokens.
+    are cut by the tokenizer's own split pattern, and the library sees each new pre-token once, many in a
+    call; the end-of-word mark of a pre-token's last token tells its ids from the next one's.
     """
 
-    def __init__(self, tokenizer_path: str, bound: int = 400_000):
+    def __init__(self, tokenizer_path: str, bound: int = 500_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -39,38 +40,52 @@ class WordIds(dict):
         # Fixed value: the split pattern of the tokenizer file.
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.plain = regex.compile(r"[\x21-\x3b\x3d-\x7e\xa1-\xff]+")
-        self.parts: dict[str, list[int]] = {}
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def __missing__(self, word: bytes) -> list[int]:
-        text = word.decode("utf-8")
-        if self.plain.fullmatch(text):
-            ids: list[int] = []
-            for part in self.pattern.findall(text.lower()):
-                got = self.parts.get(part)
-                if got is None:
-                    if len(self.parts) >= self.bound:
-                        self.parts.clear()
-                    got = self._ids(part)
-                    if len(part) <= 64:
-                        self.parts[part] = got
-                ids += got
-        else:
-            ids = self._ids(text)
-        if len(word) <= 64:
-            if len(self) >= self.bound:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str | None, end: int) -> np.ndarray:
-        out: list[int] = []
-        for ids in map(self.__getitem__, text.encode("utf-8").split() if text else ()):
-            out += ids
-        out.append(end)
-        return np.array(out, "<u4")
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 1000):
+            some = parts[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                raw, start = ids.tobytes(), 0
+                for part, stop in zip(some, (stops * 4).tolist(), strict=True):
+                    self.parts[part] = raw[start:stop]
+                    start = stop
+            else:
+                self.parts.update((part, self._ids(part)) for part in some)
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Makes all words of the texts known; what an earlier batch taught may be forgotten for them."""
+        missing = set().union(*(set(words).difference(self.words) for words in texts))
+        if len(self.words) + len(missing) > self.bound:
+            self.words.clear()
+            missing = set().union(*texts)
+        if len(self.parts) > 2 * self.bound:
+            self.parts.clear()
+        split = {}
+        for word in missing:
+            text = word.decode("utf-8")
+            if self.plain.fullmatch(text):
+                split[word] = self.pattern.findall(text.lower())
+            else:
+                self.words[word] = self._ids(text)
+        self._learn_parts(list({part for found in split.values() for part in found}.difference(self.parts)))
+        for word, found in split.items():
+            self.words[word] = b"".join([self.parts[part] for part in found])
+
+    def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
+        words = [t.encode("utf-8").split() if t else [] for t in texts]
+        self.learn(words)
+        stop = np.array([end], "<u4").tobytes()
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, w)) + stop, "<u4") for w in words]
 
 
 _words: dict[str, WordIds] = {}
@@ -158,10 +173,9 @@ def tokenised(docs: DataFrame, tokenizer_path: str, window: int, end: int, id_co
         words, part = word_ids(tokenizer_path), TaskContext.get().partitionId()
         ranks, n_row, n_full = np.zeros(len(edges), np.int64), 0, 0
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, 2 << 20):
                 out: list[tuple] = []
-                for text in b.column(1).to_pylist():
-                    ids = words.encode(text, end)
+                for ids in words.encode(b.column(1).to_pylist(), end):
                     full = len(ids) // window
                     tail = ids[full * window :]
                     k = int(np.searchsorted(edges, len(tail))) if len(tail) else None
