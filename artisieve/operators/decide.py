@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from artisieve.sources.staging import staged
+
 STEPS = "style attachments binary userdb tor rbl uribl banlist badwords rate_limit custom headers".split()
 EXEMPT = [48, 95]
 
@@ -32,7 +34,7 @@ def enforce(articles: DataFrame, steps: list[tuple[str, Callable[[DataFrame], Da
     """(article_id, step, legacy_code) of rejected articles. Each step runs over the articles that are still open."""
     open_, found = articles, []
     for name, step in steps:
-        bad = step(open_).where("legacy_code <> 0").select("article_id", F.lit(name).alias("step"), "legacy_code")
+        bad = staged(step(open_).where("legacy_code <> 0").select("article_id", F.lit(name).alias("step"), "legacy_code"), f"enforce-{name}")
         found.append(bad)
         open_ = open_.join(bad.select("article_id"), "article_id", "left_anti")
     return reduce(DataFrame.unionByName, found)

@@ -9,7 +9,7 @@ HOUR_US = 3_600_000_000
 
 flag = lambda condition: F.sum(F.when(condition, 1).otherwise(0)).cast("long")
 is_result = lambda name: F.col("nntp_result") == name
-audited = F.col("audit_mode") & F.col("would_reject")
+audited = lambda: F.col("audit_mode") & F.col("would_reject")
 
 
 def since(events: DataFrame, now_us: int, hours: int) -> DataFrame:
@@ -33,11 +33,11 @@ def stats(events: DataFrame) -> DataFrame:
 
 
 def totals(events: DataFrame) -> DataFrame:
-    return events.agg(F.count("*").alias("total"), flag(is_result("accepted")).alias("accepted"), flag(is_result("rejected")).alias("rejected"), flag(is_result("discarded")).alias("discarded"), flag(audited).alias("audit_would_reject"), flag(F.col("tor")).alias("tor"), F.round(F.avg("elapsed_ms"), 6).alias("avg_elapsed_ms"), F.max("elapsed_ms").alias("max_elapsed_ms"))
+    return events.agg(F.count("*").alias("total"), flag(is_result("accepted")).alias("accepted"), flag(is_result("rejected")).alias("rejected"), flag(is_result("discarded")).alias("discarded"), flag(audited()).alias("audit_would_reject"), flag(F.col("tor")).alias("tor"), F.round(F.avg("elapsed_ms"), 6).alias("avg_elapsed_ms"), F.max("elapsed_ms").alias("max_elapsed_ms"))
 
 
 def by_type(events: DataFrame) -> DataFrame:
-    return events.groupBy("article_type").agg(F.count("*").alias("total"), flag(is_result("accepted")).alias("accepted"), flag(is_result("rejected")).alias("rejected"), flag(is_result("discarded")).alias("discarded"), flag(audited).alias("audit"))
+    return events.groupBy("article_type").agg(F.count("*").alias("total"), flag(is_result("accepted")).alias("accepted"), flag(is_result("rejected")).alias("rejected"), flag(is_result("discarded")).alias("discarded"), flag(audited()).alias("audit"))
 
 
 def top_reasons(events: DataFrame, k: int = 20) -> DataFrame:
@@ -54,7 +54,7 @@ def top_rules(events: DataFrame, hits: DataFrame, k: int = 20) -> DataFrame:
 def hourly(events: DataFrame) -> DataFrame:
     """Activity by hour of the session time zone."""
     bucket = F.date_format(F.timestamp_micros("received_us"), "yyyy-MM-dd HH:00").alias("bucket")
-    return events.groupBy(bucket).agg(F.count("*").alias("total"), flag(is_result("accepted")).alias("accepted"), flag(is_result("rejected")).alias("rejected"), flag(audited).alias("audit"))
+    return events.groupBy(bucket).agg(F.count("*").alias("total"), flag(is_result("accepted")).alias("accepted"), flag(is_result("rejected")).alias("rejected"), flag(audited()).alias("audit"))
 
 
 def top_identities(events: DataFrame, k: int = 20, ip_lookup: str = "client_ip", user_lookup: str = "auth_user", shown: tuple[str, ...] = ("client_ip", "auth_user")) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from artisieve.functions.text import is_public_user
+
 LONG_US, SHORT_US = 86_400_000_000, 600_000_000
 
 # The metrics in the order in which they are checked, with the code of each identity kind.
@@ -28,14 +30,14 @@ METRICS = [
 MULTIPOST = 30
 
 
-def identities(events: DataFrame, server_type: str = "both", public_users: list[str] | None = None, domain_check: bool = False) -> DataFrame:
+def identities(events: DataFrame, server_type: str = "both", public_users: list[str] | None = None, public_pattern: str | None = None, domain_check: bool = False) -> DataFrame:
     """One row for each identity that an article is measured under: adds kind, lookup and identity_ord.
 
     ``auth``: the user. ``both``: the user when named, else the address. Otherwise the address, and the domain if
     asked. Empty and null values are skipped.
     """
     user = F.coalesce(F.col("auth_user"), F.lit(""))
-    public = (user == "") | user.isin(public_users or [])
+    public = is_public_user(user, public_users, public_pattern)
     by_user = F.lit(True) if server_type == "auth" else (~public if server_type == "both" else F.lit(False))
     entry = lambda kind, value, n: F.struct(F.lit(kind).alias("kind"), value.alias("lookup"), F.lit(n).alias("identity_ord"))
     address = [entry("IP", F.col("client_ip"), 0)]

@@ -42,7 +42,7 @@ def matches(value: Column, pattern: Column, match_type: Column, case_sensitive:
     """Exact, contains or regex (the default), with the rule's case option; a null value never matches."""
     low = lambda c: F.when(case_sensitive, c).otherwise(F.lower(c))
     regex = F.when(case_sensitive, pattern).otherwise(F.concat(F.lit("(?iu)"), pattern))
-    found = F.when(match_type == "exact", low(value) == low(pattern)).when(match_type == "contains", F.contains(low(value), low(pattern))).otherwise(value.rlike(regex))
+    found = F.when(match_type == "exact", low(value) == low(pattern)).when(match_type == "contains", F.contains(low(value), low(pattern))).otherwise(F.rlike(value, regex))
     return F.coalesce(found, F.lit(False))
 
 
@@ -103,9 +103,9 @@ def ban_hits(articles: DataFrame, rules: DataFrame, cap: int = 2000) -> DataFram
     a = with_targets(articles)
     r = lambda c: F.col(f"r_{c}")
     excluded = F.coalesce(F.array_contains(r("exclude_profiles"), F.col("profile")), F.lit(False))
-    grouped = lambda c: F.col("newsgroups").rlike(F.concat(F.lit("(?i)"), r(c)))
+    grouped = lambda c: F.rlike("newsgroups", F.concat(F.lit("(?i)"), r(c)))
     scope = scoped(r("article_types"), F.col("article_type")) & ~excluded & F.coalesce(grouped("include_groups"), F.lit(True)) & ~F.coalesce(grouped("exclude_groups"), F.lit(False))
-    header = F.array_min(F.map_keys(F.map_filter("headers", lambda k, v: k.rlike(F.concat(F.lit("(?i)"), r("header_name_pattern"))) & v.rlike(F.concat(F.lit("(?i)"), r("header_value_pattern"))))))
+    header = F.array_min(F.map_keys(F.map_filter("headers", lambda k, v: F.rlike(k, F.concat(F.lit("(?i)"), r("header_name_pattern"))) & F.rlike(v, F.concat(F.lit("(?i)"), r("header_value_pattern"))))))
     by_ip = F.coalesce((X.ip_key(F.col("client_ip"))["family"] == X.cidr_range(r("pattern"))["family"]) & X.ip_key(F.col("client_ip"))["key"].between(X.cidr_range(r("pattern"))["lo"], X.cidr_range(r("pattern"))["hi"]), F.lit(False))
     hit = F.when(r("target") == "any.header", header.isNotNull()).when(r("match_type") == "cidr", by_ip).otherwise(matches(target_value(r("target")), r("pattern"), r("match_type"), r("case_sensitive")))
     found = a.join(rules, scope & hit).select("article_id", r("rank").alias("rank"), r("id").alias("rule_id"), r("target").alias("target"), r("action").alias("action"), r("score_name").alias("score_name"), r("score").alias("score"), r("value").alias("value"), F.when(r("target") == "any.header", header).alias("header_name"))
@@ -193,7 +193,7 @@ def trusted_profile(articles: DataFrame, profiles: DataFrame) -> DataFrame:
             p = p.withColumn(c, F.lit(None).cast(kind))
     p = F.broadcast(p.select(*[F.col(c).alias(f"p_{c}") for c in p.columns]).withColumn("p_ranges", F.transform("p_source_networks", X.cidr_range)))
     a = with_targets(articles).withColumn("__key", X.ip_key(F.col("client_ip")))
-    i = lambda v, c: F.coalesce(v.rlike(F.concat(F.lit("(?i)"), c)), F.lit(False))
+    i = lambda v, c: F.coalesce(F.rlike(v, F.concat(F.lit("(?i)"), c)), F.lit(False))
     conditions = F.filter(
         F.array(
             F.when(F.size("p_authenticated_users") > 0, F.coalesce(F.array_contains("p_authenticated_users", F.col("user")), F.lit(False))),
