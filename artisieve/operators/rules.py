@@ -35,7 +35,8 @@ def valid_rules(rules: DataFrame, column: str = "pattern") -> DataFrame:
             compile_(r[column])
         except Exception:  # the JVM reports a syntax error of this pattern
             bad.append(r["id"])
-    return rules.withColumn("enabled", F.coalesce(F.col("enabled"), F.lit(True)) & ~F.col("id").isin(bad)) if bad else rules
+    enabled = F.coalesce(F.col("enabled"), F.lit(True)) if "enabled" in rules.columns else F.lit(True)
+    return rules.withColumn("enabled", enabled & ~F.col("id").isin(bad))
 
 
 def matches(value: Column, pattern: Column, match_type: Column, case_sensitive: Column) -> Column:
