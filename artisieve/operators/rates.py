@@ -112,3 +112,27 @@ def rate_violations(snapshot: DataFrame, limits: dict[str, dict[str, int]] | Dat
         found.append(F.when(over, F.struct(F.col("identity_ord").alias("i"), F.lit(n).alias("m"), code.alias("legacy_code"), F.lit(name).alias("metric"))))
     first = rows.select("id", F.coalesce(*found).alias("v")).where("v IS NOT NULL").groupBy("id").agg(F.min("v").alias("v"))
     return first.select("id", "v.legacy_code", "v.metric")
+
+
+def enforce_outcomes(events: DataFrame, limits: dict[str, dict[str, int]], max_rounds: int = 200, **identity_options: object) -> DataFrame:
+    """(id, legacy_code) of the events that rate limits reject when a rejection is not counted as accepted.
+
+    An outcome changes later counters only, so the answer is the unique fixpoint: start from the technical verdicts,
+    take the windows, decide again, until nothing changes. Each round is staged; one that does not settle fails.
+    """
+    from artisieve.sources.staging import staged
+
+    base = staged(events.select("id", "received_us", "auth_user", "client_ip", "article_type", F.col("technical_verdict").alias("__technical"), "total_size", "group_count", "followup_count", "article_digest"), "enforce-base")
+    rejected = base.select("id", F.lit(0).alias("legacy_code")).where("false")
+    before = None
+    for _ in range(max_rounds):
+        bad = F.col("legacy_code").isNotNull() | (F.col("__technical") == "reject")
+        now = base.join(rejected, "id", "left").withColumn("nntp_result", F.when(bad, "rejected").otherwise("accepted")).withColumn("technical_verdict", F.when(bad, "reject").otherwise("pass")).drop("legacy_code")
+        snap = rate_snapshot(identities(multipost_count(now), **identity_options))
+        found = rate_violations(snap, limits).join(base.where("__technical <> 'reject'").select("id"), "id", "left_semi")
+        rejected = staged(found.select("id", "legacy_code"), "enforce-round")
+        state = rejected.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("id", "legacy_code"), F.lit(1 << 31)))).first()
+        if state == before:
+            return rejected
+        before = state
+    raise RuntimeError("outcomes did not settle")

@@ -187,3 +187,34 @@ ORACLE: dict[str, str] = {
     "provider_health": f"WITH {HEALTH}, e AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY provider ORDER BY ts_us, id) AS era FROM hl), f AS (SELECT *, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY provider, era ORDER BY ts_us, id) AS BIGINT) AS failures FROM e), s AS (SELECT *, max(CASE WHEN failures >= 4 THEN ts_us END) OVER (PARTITION BY provider ORDER BY ts_us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS struck FROM f) SELECT id, provider, failures, coalesce(ts_us - struck < 1800000000, false) AS suppressed FROM s",
     "lookup_dedupe": f"WITH {HEALTH}, {EV}, r AS (SELECT hl.*, ev.client_ip AS key FROM hl JOIN ev USING (id)), l AS (SELECT *, lag(ts_us) OVER w AS t, lag(ok) OVER w AS o FROM r WINDOW w AS (PARTITION BY provider, key ORDER BY ts_us, id)) SELECT id, coalesce(ts_us - t < CASE WHEN o THEN 36000000000 ELSE 300000000 END, false) AS cached FROM l",
 }
+
+N = "article_id"
+STYLE = f"""st AS (SELECT article_id, CASE WHEN {N} % 31 = 0 THEN 1 WHEN {N} % 14 = 0 THEN 4 WHEN {N} % 33 = 0 THEN 5 WHEN article_type = 'text' AND {BYTES} > 20000 THEN 96 WHEN article_type = 'binary' AND {BYTES} > 10000 THEN 99
+  WHEN {N} % 17 = 0 AND {N} % 5 <> 0 THEN 11 WHEN list_max(list_transform({L}, lambda x: length(x))) > 3000 THEN 12 WHEN {N} % 17 = 0 THEN 13 WHEN {N} % 10 = 0 THEN 25 WHEN list_contains(grp, 'es.src7') THEN 54
+  WHEN {N} % 23 = 0 OR {N} % 29 = 0 THEN 19 WHEN {N} % 37 = 0 THEN 22 ELSE 0 END AS code FROM ty)"""
+BINARY = "bi AS (SELECT article_id, CASE WHEN regexp_matches(body, '(?i)(^|\\n)=ybegin ') THEN CASE WHEN article_type = 'binary' THEN 102 ELSE 62 END ELSE 0 END AS code FROM ty)"
+STEPS = f"""{BADWORD_VERDICT}, {ban_hits()}, {STYLE}, {BINARY}, bv AS (SELECT article_id, CASE WHEN count(*) FILTER (action IN ('reject', 'drop')) > 0 THEN 34 ELSE 0 END AS code FROM bh GROUP BY article_id),
+  sp AS (SELECT article_id, st.code AS c0, bi.code AS c1, coalesce(bv.code, 0) AS c2, coalesce(wv.legacy_code, 0) AS c3 FROM st JOIN bi USING (article_id) LEFT JOIN bv USING (article_id) LEFT JOIN wv USING (article_id)),
+  fv AS (SELECT article_id, CASE WHEN c0 <> 0 THEN 'style' WHEN c1 <> 0 THEN 'binary' WHEN c2 <> 0 THEN 'banlist' WHEN c3 <> 0 THEN 'badwords' END AS step, CASE WHEN c0 <> 0 THEN c0 WHEN c1 <> 0 THEN c1 WHEN c2 <> 0 THEN c2 ELSE c3 END AS legacy_code FROM sp)"""
+MD = "md AS (SELECT doc_id AS article_id, doc_id % 5 = 0 AS mixed, doc_id % 7 = 0 AS broken, doc_id % 3 AS k, octet_length(encode(text)) AS b1 FROM documents)"
+
+
+def violations_sql() -> str:
+    wrong = [("From", "41 = 0", "invalid-mailbox-list"), ("Newsgroups", "43 = 0", "invalid-newsgroups"), ("Date", "23 = 0", "invalid-date-time"), ("Distribution", "14 = 0", "invalid-distribution"), ("Content-Type", "33 = 0", "invalid-content-type"), ("References", "20 = 0", "invalid-references"), ("Path", "18 = 9", "invalid-path"), ("Lines", "26 = 13", "invalid-lines"), ("Content-Language", "30 = 15", "invalid-content-language")]
+    parts = [f"SELECT article_id, '{h}' AS header, '{reason}' AS reason FROM ar WHERE article_id % {when}" for h, when, reason in wrong]
+    parts.append("SELECT article_id, 'Subject', 'empty-folded-line' FROM ar WHERE trim(subject) = '' AND article_id % 17 <> 0")
+    parts.append("SELECT article_id, 'Subject', 'missing-mandatory-header' FROM ar WHERE subject = '' AND article_id % 17 <> 0")
+    parts.append(f"SELECT article_id, '(body)', CASE WHEN regexp_matches(body, '\\r[^\\n]|\\r$') THEN 'bare-cr-in-body' ELSE 'body-line-too-long' END FROM ar WHERE regexp_matches(body, '\\r[^\\n]|\\r$') OR list_max(list_transform({L}, lambda x: length(x))) > 998")
+    return f"WITH {AR} " + " UNION ALL ".join(parts)
+
+
+ORACLE |= {
+    "style_verdict": f"WITH {AR}, {STYLE} SELECT article_id, code AS legacy_code FROM st",
+    "article_violations": violations_sql(),
+    "verdicts_audit": f"WITH {STEPS} SELECT article_id, step, legacy_code FROM fv",
+    "verdicts_enforce": f"WITH {STEPS} SELECT article_id, step, legacy_code FROM fv WHERE legacy_code <> 0",
+    "explain_steps": f"WITH {STEPS} " + " UNION ALL ".join(f"SELECT article_id, {i} AS step_no, '{n}' AS step, c{i} AS legacy_code, CASE WHEN c{i} = 0 THEN 'pass' ELSE 'reject' END AS verdict FROM sp" for i, n in enumerate(["style", "binary", "banlist", "badwords"])),
+    "mime_parts": f"WITH {MD} SELECT article_id, 1 AS part_no, '1' AS location, 1 AS depth, CASE WHEN mixed THEN 'multipart/mixed' ELSE 'multipart/alternative' END AS media_type, CAST(NULL AS VARCHAR) AS filename, broken AS malformed FROM md UNION ALL SELECT article_id, 2, '1.1', 2, 'text/plain', NULL, false FROM md WHERE NOT broken UNION ALL SELECT article_id, 3, '1.2', 2, CASE k WHEN 0 THEN 'image/png' WHEN 1 THEN 'text/html' ELSE 'multipart/alternative' END, CASE WHEN k = 0 THEN 'a;b.png' END, false FROM md WHERE NOT broken UNION ALL SELECT article_id, 4, '1.2.1', 3, 'text/plain', NULL, false FROM md WHERE NOT broken AND k = 2",
+    "mime_verdict": f"WITH {MD} SELECT article_id, CASE WHEN mixed THEN 109 WHEN broken THEN 113 WHEN k = 0 THEN 111 ELSE 110 END AS legacy_code, CASE WHEN mixed OR broken THEN 1 ELSE 3 END AS part_no FROM md WHERE mixed OR broken OR k < 2",
+    "scan_segments": f"WITH {MD} SELECT article_id, 1 + CAST(b1 < 2000 AS BIGINT) AS parts, CAST(least(b1, 2000) + CASE WHEN b1 < 2000 THEN least(2000 - b1, CASE k WHEN 0 THEN 4 WHEN 1 THEN 8 ELSE 1 END) ELSE 0 END AS BIGINT) AS bytes FROM md WHERE NOT broken",
+}

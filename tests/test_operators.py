@@ -94,6 +94,27 @@ def test_rates(spark):
     assert rates.rate_snapshot(rates.identities(df.limit(0))).count() == 0
 
 
+def test_enforced_rates_equal_a_replay(spark):
+    import random
+
+    r = random.Random(5)
+    minute = 60_000_000
+    rows = [event(i, i * 37 * minute + r.randrange(30) * minute, user=f"u{r.randrange(3)}", verdict="reject" if r.random() < 0.15 else "pass", size=r.randrange(9)) for i in range(150)]
+    limits = {"ID": {"max_articles": 6, "max_short_articles": 2, "max_total_errors": 7, "multipost": 0}}
+    past, want = [], {}
+    for e in sorted(rows, key=lambda e: (e[1], e[0])):
+        mine = [p for p in past if p[1] == e[2] and p[0] >= e[1] - rates.LONG_US]
+        articles_ = sum(p[2] for p in mine)
+        short = sum(p[2] for p in mine if p[0] >= e[1] - rates.SHORT_US)
+        errors = sum(not p[2] for p in mine)
+        code = 33 if articles_ + 1 > 6 else 72 if short + 1 > 2 else 66 if errors > 7 else 0
+        if e[5] == "pass" and code:
+            want[e[0]] = code
+        past.append((e[1], e[2], e[5] == "pass" and not code))
+    got = {x.id: x.legacy_code for x in rates.enforce_outcomes(spark.createDataFrame(rows, EVENTS), limits).collect()}
+    assert got == want and len(want) > 10
+
+
 def articles(spark, *rows):
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "article_id long, subject string, body string, newsgroups string, from string, client_ip string, article_type string")
 
