@@ -35,32 +35,36 @@ UNITS = frozenset(
 EDGE = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 NUMBER = re.compile(rb"[+-]?\d+(?:[.,:/]\d+)*")
 MEASURE = re.compile(rb"([+-]?\d+(?:[.,]\d+)*)([a-z]+)")
-IS_NUM, IS_UNIT, IS_CAPITAL, ENDS = 1, 2, 4, 8
+IS_NUM, IS_UNIT, IS_CAPITAL, ENDS, ONE, TWO = 1, 2, 4, 8, 16, 32
 PLACE = {k: int(mix64(np.array([k], np.uint64))[0]) for k in (IS_NUM, IS_UNIT, IS_CAPITAL)}
 
 
 class Spelling(dict):
-    """word as written -> ((hash of its lower-case core, flags), ...); none for bare punctuation."""
+    """word as written -> one number: the hash of its lower-case core, with flags and the count of its tokens in the
+    low byte. Bare punctuation has no token; a measure (12km) has two, kept in ``pairs``."""
 
-    def __init__(self, bound: int = 300_000):
+    def __init__(self, bound: int = 600_000):
         self.bound = bound
+        self.pairs: dict[bytes, list[int]] = {}
 
-    def __missing__(self, word: bytes) -> tuple[tuple[int, int], ...]:
+    def __missing__(self, word: bytes) -> int:
         core = word.strip(EDGE)
         low = core.lower()
         ends = ENDS if word.rstrip(b"\"')]*#$&%").endswith((b".", b"!", b"?")) else 0
-        digest = xxhash.xxh3_64_intdigest
+        token = lambda part, flags: xxhash.xxh3_64_intdigest(part) >> 8 << 8 | ONE | flags
+        if len(self) >= self.bound:
+            self.clear()
+            self.pairs.clear()
         if not core:
-            out: tuple = ()
+            out = 0
         elif NUMBER.fullmatch(low):
-            out = ((digest(low), IS_NUM | ends),)
+            out = token(low, IS_NUM | ends)
         elif (m := MEASURE.fullmatch(low)) and m[2] in UNITS:
-            out = ((digest(m[1]), IS_NUM), (digest(m[2]), IS_UNIT | ends))
+            self.pairs[word] = [token(m[1], IS_NUM), token(m[2], IS_UNIT | ends)]
+            out = TWO
         else:
             capital = core[:1].isupper() and core[1:].islower()
-            out = ((digest(low), (IS_UNIT if low in UNITS else 0) | (IS_CAPITAL if capital else 0) | ends),)
-        if len(self) >= self.bound:
-            self.clear()
+            out = token(low, (IS_UNIT if low in UNITS else 0) | (IS_CAPITAL if capital else 0) | ends)
         self[word] = out
         return out
 
@@ -76,27 +80,32 @@ class Template:
 
 
 def template(text: str | None, spelling: Spelling) -> Template:
-    values: list[int] = []
-    flags: list[int] = []
-    word: list[int] = []
-    at, opens = 0, True
+    words: list[bytes] = []
+    starts: list[int] = []
     for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
-        for w in line.split():
-            for value, f in spelling[w]:
-                values.append(value)
-                flags.append(f & ~IS_CAPITAL if opens else f)  # a capital that opens a sentence is no name
-                word.append(at)
-                opens = bool(f & ENDS)
-            at += 1
-        opens = True
-    v, f = np.array(values, np.uint64), np.array(flags, np.int64)
+        starts.append(len(words))
+        words += line.split()
+    packed = np.fromiter(map(spelling.__getitem__, words), np.uint64, len(words))
+    word = np.arange(len(words))
+    if (double := np.flatnonzero(packed == TWO)).size:
+        pairs = np.array([spelling.pairs[words[i]] for i in double], np.uint64)
+        packed, word = np.insert(packed, double + 1, pairs[:, 1]), np.insert(word, double + 1, double)
+        packed[double + np.arange(len(double))] = pairs[:, 0]
+    kept = packed & np.uint64(ONE) > 0
+    packed, word = packed[kept], word[kept]
+    f, v = (packed & np.uint64(15)).astype(np.int64), packed >> np.uint64(8)
+    # A capital that opens a sentence or a line is no name.
+    opens = np.zeros(len(f), bool)
+    first = np.searchsorted(word, starts)
+    opens[first[first < len(f)]] = True
+    opens[1:] |= (f[:-1] & ENDS) > 0
     after_number = np.zeros(len(f), bool)
     after_number[1:] = (f[:-1] & IS_NUM) > 0
-    unit, number, name = (f & IS_UNIT > 0) & after_number, f & IS_NUM > 0, f & IS_CAPITAL > 0
+    unit, number, name = (f & IS_UNIT > 0) & after_number, f & IS_NUM > 0, (f & IS_CAPITAL > 0) & ~opens
     tokens = v.copy()
-    for at_, kind in ((name, IS_CAPITAL), (unit, IS_UNIT), (number, IS_NUM)):
-        tokens[at_] = np.uint64(PLACE[kind])
-    return Template(tokens, v, unit | number | name, np.array(word, np.int64))
+    for at, kind in ((name, IS_CAPITAL), (unit, IS_UNIT), (number, IS_NUM)):
+        tokens[at] = np.uint64(PLACE[kind])
+    return Template(tokens, v, unit | number | name, word)
 
 
 def windows(t: Template, width: int) -> np.ndarray:
