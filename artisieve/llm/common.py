@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,10 +24,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_recorder: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("staged", default=None)
+
+
+@contextlib.contextmanager
+def recording(paths: list[str]) -> Iterator[None]:
+    """Notes in ``paths`` the tables that are staged inside, for a later ``discard``."""
+    token = _recorder.set(paths)
+    try:
+        yield
+    finally:
+        _recorder.reset(token)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes staged tables whose readers are done."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/artisieve/{label}-{uuid.uuid4().hex}"
+    if (made := _recorder.get()) is not None:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,23 +1,43 @@
 """Corpus pipeline: toxicity, near duplicates, repeated passages, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last
-return the columns of ``docs``; ``run`` writes each stage's rows to the shared folder and reads them again.
+return the columns of ``docs``; ``run`` writes each stage's rows to the shared folder and reads them again. Since a
+stage's rows are written before the next one starts, that one first deletes what its predecessors had staged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from artisieve.llm import chain_dedup, decontamination, jaccard_join, packing, toxicity
-from artisieve.llm.common import staged
+from artisieve.llm.common import discard, recording, staged
 from artisieve.llm.queries import table, tokenizer
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_staged: list[str] = []
+
+
+def stage(function: Stage) -> Stage:
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _staged)
+        with recording(_staged):
+            return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose toxicity score reaches 0.5; the model learns from all labels."""
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the least id of each class under five-word shingles and similarity 0.8; null ids and empty texts stay."""
     classes = jaccard_join.near_duplicates(docs.select("doc_id", "text"), k=5, num=80, den=100)
@@ -25,16 +45,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(doubles, "doc_id", "left_anti").select(*docs.columns)
 
 
+@stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 50 or more words that an earlier document holds."""
     return chain_dedup.drop_repeats(docs)
 
 
+@stage
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold a benchmark item."""
     return decontamination.keep_unleaked(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 4096 tokens."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
@@ -54,8 +77,8 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = staged(docs, f"pipeline-{name}")
     return docs
