@@ -4,22 +4,22 @@ Vertices are distinct shingle sets, named by a 64-bit hash (so are shingles). Se
 share one of their first ``n - ceil(t n) + 1`` shingles in any common order; the order puts shingles that
 are frequent in a sample of documents last, which changes costs only. Rows that meet at such a key
 
-1. are compared with the key's least set (a star, not all pairs) and linked where similar;
+1. are compared with the key's most central set (a star, not all pairs) and linked where similar;
 2. where a key still holds several classes, a signature tree over its sets is traversed against itself:
    nodes hold the OR of their members' token bitmaps, their size range and their greatest excess (tokens
    beyond one a bit), and a pair of nodes is left as soon as its greatest possible overlap is too small.
-   Surviving pairs of different classes are compared exactly.
+   What it leaves are families; the members' sets are
+   brought together and all pairs of different classes decided.
 
-Keys of frequent shingles, the only ones with large groups, are never gathered: their least set comes from a
+Keys of frequent shingles, the only ones with large groups, are never gathered: their centre comes from a
 map-side aggregation of at most ``HEAVY`` keys, and their trees are built over pairs of bounded blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -29,6 +29,7 @@ from artisieve.llm.common import WordHashes, ngram_hashes, slices, staged, words
 from artisieve.llm.graph import components
 
 HEAVY = 65_536
+FILTER_BITS = 1 << 26
 BLOCK = 512
 LEAF = 8
 
@@ -42,9 +43,9 @@ def set_name(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """One bit for each of ``width`` residues, width the least power of two >= the set's size, 64 at least."""
-    width = max(64, 1 << int(len(shingles) - 1).bit_length())
+def bitmap(shingles: np.ndarray, room: int = 4) -> np.ndarray:
+    """One bit for each of ``width`` residues, width the least power of two >= ``room`` times the set's size, 256 at least."""
+    width = max(256, room << int(len(shingles) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(shingles & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -55,6 +56,17 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
 
 
+def packed(shingles: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: enough to tell apart the members of two sets."""
+    return (shingles >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def frequent_shingles(docs: DataFrame, k: int, one_in: int = 16, least: int = 6) -> np.ndarray:
     """At most ``HEAVY`` shingles found often among one in ``one_in`` documents; they only order prefixes."""
 
@@ -72,7 +84,7 @@ def frequent_shingles(docs: DataFrame, k: int, one_in: int = 16, least: int = 6)
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int, heavy: np.ndarray) -> DataFrame:
-    """(id, n, v, light, hot): size and name of the set, its prefix keys that are not frequent and that are."""
+    """(id, n, v, bits, light, hot): size, name and bitmap of the set, its prefix keys that are not frequent and that are."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,32 +95,61 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, heavy: np.ndarray) -
                 for text in b.column(1).to_pylist():
                     s = shingle_set(text, k, hashes)
                     n = len(s)
-                    is_hot = np.isin(s, often, kind="sort") if len(often) else np.zeros(n, bool)
+                    is_hot = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s if len(often) else np.zeros(n, bool)
                     p = n - -(-num * n // den) + 1 if n else 0
                     light = s[~is_hot][:p]
-                    out.append((n, set_name(s) if n else None, light.view(np.int64), s[is_hot][: p - len(light)].view(np.int64)))
-                n, v, light, hot = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(v, pa.int64()), pa.array(light, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64()))], ["id", "n", "v", "light", "hot"])
+                    out.append((n, set_name(s) if n else None, bitmap(s).tobytes() if n else None, light.view(np.int64), s[is_hot][: p - len(light)].view(np.int64)))
+                n, v, bits, light, hot = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(v, pa.int64()), pa.array(bits, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (light, hot))], ["id", "n", "v", "bits", "light", "hot"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, v long, light array<long>, hot array<long>")
+    return docs.select("id", "text").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, v long, bits binary, light array<long>, hot array<long>")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(v, n, shingles, bits) of the wanted sets; ``wanted(id, v)`` names one document for each."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(v, shingles) of the documents whose id is in ``ids(id)``, and of a few more: a bit table of fixed size
+    (``FILTER_BITS``) tells the readers of the texts which ids are wanted, so that no text is shuffled. A full table
+    would only let more sets pass; the joins that follow are exact."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    filled = ids.select((slot / 64).cast("int").alias("w"), F.expr("shiftleft(1L, int(pmod(xxhash64(id), 64)))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # at most FILTER_BITS / 64 rows
+    table[filled.column("w").to_numpy()] = filled.column("m").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for whole in batches:
-            for b in slices(whole):
+            at = whole.column(1).to_numpy()
+            keep = shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) > 0
+            for b in slices(whole.select([0]).filter(pa.array(keep))):
                 found = [shingle_set(t, k, hashes) for t in b.column(0).to_pylist()]
-                v = [set_name(s) for s in found]
-                keep = [i for i, (x, y) in enumerate(zip(v, b.column(1).to_pylist(), strict=True)) if x == y]  # an id may be repeated with another text
-                yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in keep], pa.int64()), pa.array([len(found[i]) for i in keep], pa.int64()), pa.array([found[i].tobytes() for i in keep], pa.binary()), pa.array([bitmap(found[i]).tobytes() for i in keep], pa.binary())], ["v", "n", "shingles", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_name(x) for x in found], pa.int64()), pa.array([packed(x) for x in found], pa.binary())], ["v", "shingles"])
+
+    return docs.select("text", slot.alias("slot")).mapInArrow(run, "v long, shingles binary")
+
+
+def may_link(x: np.ndarray, nx: int, y: np.ndarray, ny: int, num: int, den: int) -> bool:
+    """Whether two sets' bitmaps and sizes leave room for the similarity."""
+    words = min(len(x), len(y))
+    x, y = fold(x, words), fold(y, words)
+    most = int(np.bitwise_count(x & y).sum()) + min(nx - int(np.bitwise_count(x).sum()), ny - int(np.bitwise_count(y).sum()))
+    return (num + den) * min(most, nx, ny) >= num * (nx + ny)
+
+
+def possible(pairs: DataFrame, vertices: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` that bitmaps and sizes do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [may_link(np.frombuffer(x, np.uint64), nx, np.frombuffer(y, np.uint64), ny, num, den) for x, nx, y, ny in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return docs.join(wanted, "id").select("text", "v").mapInArrow(run, "v long, n long, shingles binary, bits binary").dropDuplicates(["v"])
+    for side in "ab":
+        pairs = pairs.join(vertices.select(F.col("v").alias(side), F.col("bits").alias(f"x{side}"), F.col("n").alias(f"n{side}")), side)
+    sized = pairs.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
+    return sized.select("a", "b", "xa", "na", "xb", "nb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, vertices: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets' exact Jaccard similarity is at least num / den."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,15 +157,16 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             for b in slices(whole):
                 ok = []
                 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    x, y = unpacked(x), unpacked(y)
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     ok.append(den * both >= num * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = sets.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("y"))
-    sized = pairs.join(left.drop("x"), "a").join(right.drop("y"), "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b")
-    return sized.join(left.drop("na"), "a").join(right.drop("nb"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
+    sets = shingle_sets(docs, vertices.select("v", "id").join(ends, "v", "left_semi"), k).repartition("v")  # one exchange serves both joins
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("v").alias(side), F.col("shingles").alias(f"x{side}")), side)
+    return pairs.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long").distinct()
 
 
 def tree_pairs(n: np.ndarray, label: np.ndarray, bits: list[np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -171,34 +213,90 @@ def tree_pairs(n: np.ndarray, label: np.ndarray, bits: list[np.ndarray], num: in
         i, j = ci[ok], cj[ok]
 
 
-def forest_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs that the trees of ``rows(tree, v, n, label, bits)`` leave, one tree for each ``tree``."""
+class Union:
+    """Disjoint sets over 0..n-1."""
 
-    def pairs(pdf: pd.DataFrame) -> pa.RecordBatch | None:
-        if pdf["label"].nunique() < 2:
-            return None
-        v = pdf["v"].to_numpy()
-        got = list(tree_pairs(pdf["n"].to_numpy(), pdf["label"].to_numpy(), [np.frombuffer(x, np.uint64) for x in pdf["bits"]], num, den))
-        if not got:
-            return None
-        a, b = v[got[0][0]], v[got[0][1]]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+    def __init__(self, n: int):
+        self.up = list(range(n))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for whole in batches:
-            for b in slices(whole):
-                pdf = b.to_pandas()
-                pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-                last = pdf["tree"].iloc[-1]
-                rest = pdf[pdf["tree"] == last]
-                for _, group in pdf[pdf["tree"] != last].groupby("tree", sort=False):
-                    if (out := pairs(group)) is not None:
-                        yield out
-        if rest is not None and (out := pairs(rest)) is not None:
-            yield out
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """False where both were in one set already."""
+        x, y = self.root(x), self.root(y)
+        self.up[x] = y
+        return x != y
+
+
+def by_tree(rows: DataFrame, grow: Callable[[pa.RecordBatch], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b) of ``grow(members)`` for the members of each ``tree``; trees are read one after the other, each whole."""
 
-    return rows.select("tree", "v", "n", "label", "bits").repartition("tree").sortWithinPartitions("tree").mapInArrow(run, "a long, b long").distinct()
+    def grown(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        tree, v = b.column("tree").to_numpy(), b.column("v").to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(tree)) + 1).tolist(), len(tree)]
+        pairs = np.array([(s + i, s + j) for s, e in zip(cut[:-1], cut[1:], strict=True) if e - s > 1 for i, j in grow(b.slice(s, e - s))], np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(v[pairs].max(axis=1)), pa.array(v[pairs].min(axis=1))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if rest is not None:
+                b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+            start = int(np.searchsorted(b.column("tree").to_numpy(), b.column("tree")[b.num_rows - 1].as_py()))
+            rest = b.slice(start)
+            if start:
+                yield from grown(b.slice(0, start))
+        if rest is not None:
+            yield from grown(rest)
+
+    return rows.repartition("tree").sortWithinPartitions("tree").mapInArrow(run, "a long, b long")
+
+
+def candidate_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): for each tree of ``rows(tree, v, n, label, bits)`` a spanning forest of the pairs that it leaves, so that the
+    output never exceeds the members. Every pair that may link lies within one component of these edges."""
+
+    def grow(b: pa.RecordBatch) -> list[tuple[int, int]]:
+        n, label = b.column("n").to_numpy(), b.column("label").to_numpy()
+        if (label == label[0]).all():
+            return []
+        bits = [np.frombuffer(x, np.uint64) for x in b.column("bits").to_pylist()]
+        if len(n) == 2:
+            return [(0, 1)] if may_link(bits[0], n[0], bits[1], n[1], num, den) else []
+        found = Union(len(n))
+        return [(x, y) for i, j in tree_pairs(n, label, bits, num, den) for x, y in zip(i.tolist(), j.tolist(), strict=True) if found.join(x, y)]
+
+    return by_tree(rows.select("tree", "v", "n", "label", "bits"), grow)
+
+
+def family_links(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): exact links that join the classes of each tree of ``rows(tree, v, label, shingles)``. All pairs of different
+    classes are decided, by bitmaps of 16 bits a shingle and then by the sets, but none whose ends are joined already."""
+
+    def grow(b: pa.RecordBatch) -> list[tuple[int, int]]:
+        own = np.unique(b.column("v").to_numpy(), return_index=True)[1]  # a set comes twice where an id is repeated
+        b = b.take(pa.array(own))
+        sets = [unpacked(x) for x in b.column("shingles").to_pylist()]
+        n, label, found, links = np.array([len(x) for x in sets]), b.column("label").to_numpy(), Union(len(sets)), []
+        for at in (np.flatnonzero(label == x) for x in np.unique(label)):
+            for i in at[1:].tolist():
+                found.join(int(at[0]), i)
+        for i, j in tree_pairs(n, label, [bitmap(x >> np.uint64(16), 16) for x in sets], num, den):
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                if found.root(x) != found.root(y):
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if den * both >= num * (int(n[x] + n[y]) - both):
+                        found.join(x, y)
+                        links.append((int(own[x]), int(own[y])))
+        return links
+
+    return by_tree(rows.select("tree", "v", "label", "shingles"), grow)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,33 +313,49 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # Keys that several sets share. Frequent keys: at most HEAVY of them, aggregated before the shuffle.
     by_key = Window.partitionBy("key")
     light = sig.select("v", "n", F.explode("light").alias("key"))
-    light = light.withColumns({"lo": F.min("v").over(by_key), "hi": F.max("v").over(by_key)}).where("lo <> hi").select("key", "v", "n", F.col("lo").alias("leader"))
+    light = light.withColumns({"lo": F.min("v").over(by_key), "hi": F.max("v").over(by_key), "m": F.count("*").over(by_key)}).where("lo <> hi").select("key", "v", "n", "m")
     light = staged(light.distinct(), "light-keys")
     hot = sig.select("v", "n", F.explode("hot").alias("key")).distinct()
-    leaders = hot.groupBy("key").agg(F.min("v").alias("leader"), F.max("v").alias("hi"), F.count("*").alias("m")).where("leader <> hi").drop("hi")
-    hot = staged(hot.join(F.broadcast(leaders), "key"), "hot-keys")
-
-    pair = F.col("v").alias("a"), F.col("leader").alias("b")
-    stars = staged(light.select(*pair).unionByName(hot.select(*pair)).where("a <> b").distinct(), "stars")
-    members = light.select("v").unionByName(hot.select("v")).distinct()
-    wanted = sig.where("v IS NOT NULL AND id IS NOT NULL").groupBy("v").agg(F.min("id").alias("id")).join(members, "v", "left_semi")
-    sets = staged(shingle_sets(source, wanted, k), "shingle-sets")
-    links = staged(verified(stars, sets, num, den), "star-links")
+    shared = hot.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
+    hot = staged(hot.join(F.broadcast(shared), "key"), "hot-keys")
+
+    # A key's centre is its set with most shared keys: an original, whose copies each have shingles of their own.
+    degree = staged(light.select("v").unionByName(hot.select("v")).groupBy("v").agg(F.count("*").alias("d")), "degrees")
+    centre = lambda df: df.join(degree, "v").groupBy("key").agg(F.max(F.struct("d", "v"))["v"].alias("b"))
+    pairs = light.join(centre(light), "key").select(F.col("v").alias("a"), "b").unionByName(hot.join(F.broadcast(centre(hot)), "key").select(F.col("v").alias("a"), "b"))
+    stars = staged(pairs.where("a <> b").distinct(), "stars")
+    vertices = staged(sig.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "vertices")
+    links = staged(verified(source, staged(possible(stars, vertices, num, den), "star-pairs"), vertices, k, num, den), "star-links")
     first = staged(components(links), "star-classes")
 
-    # Keys where classes still differ.
+    # Keys where classes still differ; keys with the same members are one tree.
     label = F.coalesce("label", "v").alias("label")
     named = lambda df: df.join(first, "v", "left").select(*df.columns, label)
-    mixed = lambda df: df.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
-    light, hot = staged(named(light.drop("leader")), "light-named"), staged(named(hot.drop("leader")), "hot-named")
-    light = light.join(mixed(light), "key", "left_semi").withColumn("tree", F.xxhash64("key"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    hot = hot.join(F.broadcast(mixed(hot)), "key", "left_semi").withColumn("nb", blocks).withColumn("i", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int"))
-    hot = hot.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("tree", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")))
+    members = *(F.sum(F.shiftright(F.xxhash64("v", F.lit(i)), 24)).alias(f"members{i}") for i in (0, 1)), F.count("*").alias("size")
+
+    def mixed(df: DataFrame) -> DataFrame:
+        keys = df.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), *members).where("l0 <> l1")
+        return keys.groupBy("members0", "members1", "size").agg(F.min("key").alias("key")).select("key")
+
+    light, hot = staged(named(light), "light-named"), staged(named(hot), "hot-named")
+
+    def in_blocks(df: DataFrame) -> DataFrame:
+        """Each row of a key in all pairs of blocks that hold its own; most keys are one block."""
+        nb = F.ceil(F.col("m") / BLOCK).cast("int")
+        df = df.withColumn("nb", nb).withColumn("i", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        return df.withColumn("tree", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")))
+
+    light, hot = in_blocks(light.join(mixed(light), "key", "left_semi")), in_blocks(hot.join(F.broadcast(mixed(hot)), "key", "left_semi"))
     cols = ["tree", "v", "n", "label"]
-    rows = light.select(*cols).unionByName(hot.select(*cols)).join(sets.select("v", "bits"), "v")
-    found = staged(forest_pairs(rows, num, den), "tree-pairs")
-    more = verified(found.join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), sets, num, den)
+    rows = light.select(*cols).unionByName(hot.select(*cols)).join(vertices.select("v", "bits"), "v")
+    # Families that may still hold links: each member's set is sent once to its family, or to the block pairs of a large one.
+    families = components(staged(candidate_edges(rows, num, den).distinct(), "candidates")).select("v", F.col("label").alias("family"))
+    families = staged(families.join(first, "v", "left").select("v", "family", label), "families")
+    size = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    dealt = families.join(size, "family").withColumn("i", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = dealt.select(F.xxhash64("family", F.least("i", "j"), F.greatest("i", "j")).alias("tree"), "v", "label")
+    wanted = vertices.select("v", "id").join(families.select("v"), "v", "left_semi")
+    more = family_links(dealt.join(shingle_sets(source, wanted, k), "v"), num, den)
     classes = components(links.unionByName(more))
 
     joined = sig.select("id", "n", "v").join(classes, "v", "left").withColumn("label", F.coalesce("label", "v"))
