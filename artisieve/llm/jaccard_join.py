@@ -8,8 +8,8 @@ are frequent in a sample of documents last, which changes costs only. Rows that
 2. where a key still holds several classes, a signature tree over its sets is traversed against itself:
    nodes hold the OR of their members' token bitmaps, their size range and their greatest excess (tokens
    beyond one a bit), and a pair of nodes is left as soon as its greatest possible overlap is too small.
-   What it leaves are families; the members' sets are
-   brought together and all pairs of different classes decided.
+   What it leaves connects families, whose members' sets are brought together (in pairs of bounded blocks where a
+   family is large); there all pairs of different classes are decided, by wider bitmaps and then by the sets.
 
 Keys of frequent shingles, the only ones with large groups, are never gathered: their centre comes from a
 map-side aggregation of at most ``HEAVY`` keys, and their trees are built over pairs of bounded blocks.
@@ -31,6 +31,7 @@ from artisieve.llm.graph import components
 HEAVY = 65_536
 FILTER_BITS = 1 << 26
 BLOCK = 512
+FAMILY_BLOCK = 1024
 LEAF = 8
 
 
@@ -351,7 +352,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # Families that may still hold links: each member's set is sent once to its family, or to the block pairs of a large one.
     families = components(staged(candidate_edges(rows, num, den).distinct(), "candidates")).select("v", F.col("label").alias("family"))
     families = staged(families.join(first, "v", "left").select("v", "family", label), "families")
-    size = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    size = families.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("nb"))
     dealt = families.join(size, "family").withColumn("i", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.select(F.xxhash64("family", F.least("i", "j"), F.greatest("i", "j")).alias("tree"), "v", "label")
     wanted = vertices.select("v", "id").join(families.select("v"), "v", "left_semi")
