@@ -1,14 +1,15 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
 A text is modelled as its words (A-Z lowered), each spelt as bytes and closed by a blank, then an end
-symbol. Contexts are up to ``ORDER`` bytes that reach back to the blank before the word. The trie of
-context counts is learned from the training documents; an unseen symbol escapes (method D) to the next
-shorter context, where symbols of the longer one are excluded.
-
-Scale: counts are taken over distinct words (each with its corpus count), so the trie costs one pass over
-the vocabulary. All statistics are aggregations and equi-joins over 48-bit context keys. A text's score is
-a sum over its words; words that make up at least ``1/frequent`` of the training tokens (at most
-``frequent`` of them, by counting) are looked up in the worker, others by a shuffled join.
+symbol. The trie of context counts is learned from the training documents; an unseen symbol escapes
+(method D) to the next shorter context, where symbols of the longer one are excluded.
+
+``text_scores`` takes contexts of ``ORDER`` bytes from the running text, across blanks. ``lm_scores`` is the
+model of single words, whose contexts reach back to the blank before the word only.
+
+Scale: grams are counted in tasks before the shuffle (``lm_scores``: over distinct words). All statistics are
+aggregations and equi-joins over 48-bit context keys. A text's score is a sum over its symbols (words); the
+most frequent keys (words), of a bounded number, are looked up in the worker, others by a shuffled join.
 """
 
 from __future__ import annotations
@@ -35,17 +36,28 @@ ANCHOR = PAD * (ORDER - 1) + BLANK
 END_GRAM = int.from_bytes(ANCHOR + END, "big")
 
 
-def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The (context, symbol) key of each coded symbol of the words, and the number of symbols of each word."""
-    size = np.fromiter(map(len, words), np.int64, len(words)) + ORDER + 1
-    raw = np.frombuffer(b"".join([ANCHOR + w + BLANK for w in words]), np.uint8).astype(np.uint64)
-    keys = np.zeros(max(len(raw) - ORDER, 0), np.uint64)
+def coded(spelt: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each symbol after the anchors of the spelt texts, and the number of symbols of each."""
+    size = np.fromiter(map(len, spelt), np.int64, len(spelt))
+    raw = np.frombuffer(b"".join(spelt), np.uint8).astype(np.int64)
+    keys = np.zeros(max(len(raw) - ORDER, 0), np.int64)
     for i in range(ORDER + 1):
-        keys = (keys << np.uint64(8)) | raw[i : len(raw) - ORDER + i]
+        keys <<= 8
+        keys |= raw[i : len(raw) - ORDER + i]
     starts = np.cumsum(size) - size
-    inside = np.arange(len(raw)) - np.repeat(starts, size) >= ORDER
-    keys = keys[inside[ORDER:]].astype(np.int64)
-    count = size - ORDER
+    inside = np.ones(len(raw), bool)
+    inside[(starts[:, None] + np.arange(ORDER)).ravel()] = False
+    return keys[inside[ORDER:]], size - ORDER
+
+
+def text_grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The (context, symbol) key of each symbol of running texts, given as words, and the number of symbols of each."""
+    return coded([ANCHOR + BLANK.join([*words, END]) for words in texts])
+
+
+def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The (context, symbol) key of each coded symbol of the words, and the number of symbols of each word."""
+    keys, count = coded([ANCHOR + w + BLANK for w in words])
     if END in words:
         first = np.cumsum(count) - count
         at = np.fromiter((w == END for w in words), bool, len(words))
@@ -102,6 +114,37 @@ def gram_counts(vocab: DataFrame) -> DataFrame:
     return vocab.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
+def text_gram_counts(docs: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """(g, c, s): each (context, symbol) key of the running texts with its count in training documents and in all.
+
+    ``docs`` has columns text and held_out. Tasks count before the shuffle, in tables of about ``most`` keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merge() -> tuple[np.ndarray, np.ndarray]:
+            if len(parts) == 1:
+                return parts[0]
+            u, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            return u, np.bincount(at, np.concatenate([p[1] for p in parts]), len(u)).astype(np.int64)
+
+        for whole in batches:
+            for b in slices(whole, 2 << 20):
+                keys, n = text_grams([words_of(t) for t in b.column(0).to_pylist()])
+                held = np.fromiter(b.column(1).to_pylist(), np.int64, b.num_rows)
+                parts.append(np.unique(keys << 1 | np.repeat(held, n), return_counts=True))
+                if sum(len(u) for u, _ in parts) > most:
+                    parts = [merge()]
+                    if len(parts[0][0]) > most // 2:
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, parts[0])], ["u", "n"])
+                        parts = []
+        if parts:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, merge())], ["u", "n"])
+
+    counted = docs.select("text", "held_out").mapInArrow(run, "u long, n long")
+    return counted.groupBy(F.shiftright("u", 1).alias("g")).agg(F.sum(F.when(F.col("u").bitwiseAND(F.lit(1).cast("long")) == 0, F.col("n")).otherwise(0)).alias("c"), F.sum("n").alias("s"))
+
+
 def code_lengths(grams: DataFrame) -> DataFrame:
     """(g, lp): log10 probability of each key's symbol in its context, escapes and exclusions included."""
     mask = lambda bytes_: F.lit((1 << 8 * bytes_) - 1).cast("long")
@@ -217,3 +260,77 @@ def lm_scores(docs: DataFrame, folds: int = 7, fold: int = 2, frequent: int = 1
     added = each.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known_"), F.sum(F.col("k") * (F.log10(F.col("c") + 1) - F.lit(floor))).alias("base_"), F.sum(F.col("k") * F.col("lp")).alias("lp_"))
     plus = lambda a: F.col(a) + F.coalesce(F.col(a + "_"), F.lit(0))
     return rows.drop("rare", "times").join(added, "row", "left").select(F.col("id").alias(id_col), "held_out", "n_tokens", plus("known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), plus("base").alias("base_score"), plus("lp").alias("score"))
+
+
+def least_count(grams: DataFrame, most: int, top: int = 4096) -> int:
+    """The least count that at most ``most`` keys reach."""
+    capped = F.when(F.col("s") < top, F.col("s")).otherwise(F.lit(top) * F.pow(2.0, F.floor(F.log2(F.col("s") / top))).cast("long"))
+    least = 1 << 62
+    for r in sorted(grams.groupBy(capped.alias("s")).count().collect(), key=lambda r: -r["s"]):  # at most top + 50 rows
+        most -= r["count"]
+        if most < 0:
+            break
+        least = r["s"]
+    return least
+
+
+def text_scores(docs: DataFrame, folds: int = 7, fold: int = 2, frequent: int = 1 << 20, broadcast_rows: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: (id, held_out, n_tokens, n_known, train_tokens, base_score, score), as ``lm_scores``, with the PPM model
+    over the running text. Of its keys at most ``broadcast_rows``, the most frequent, are broadcast."""
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), in_fold(id_col, folds, fold).alias("held_out"))
+    vocab = staged(vocabulary(source), "ppm-vocab")
+    size = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    n, v = size["n"], size["v"]
+    floor = log10(n + v + 1)
+    common = (F.col("word") == F.lit(END)) | (F.col("c") >= max(n / frequent, 1))
+    got = vocab.where(common).toArrow()
+    shared = spark.sparkContext.broadcast(dict(zip(got.column("word").to_pylist(), got.column("c").to_pylist(), strict=True)))
+    grams = staged(text_gram_counts(source), "ppm-text")
+    lengths = staged(code_lengths(grams.select("g", "c")).join(grams.select("g", "s"), "g"), "ppm-lengths")
+    least = least_count(lengths, broadcast_rows)
+    got = lengths.where(F.col("s") >= least).select("g", "lp").toArrow()
+    order = np.argsort(got.column("g").to_numpy())
+    keys_ = spark.sparkContext.broadcast((got.column("g").to_numpy()[order], got.column("lp").to_numpy()[order]))
+    del got
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = {w: (c, log10(c + 1) - floor) for w, c in shared.value.items()}
+        grams_, lps = keys_.value
+        for whole in batches:
+            for b in slices(whole, 2 << 20):
+                out: list[tuple] = []
+                texts = [words_of(t) for t in b.column(1).to_pylist()]
+                for words in texts:
+                    base, known, rare, times = 0.0, 0, [], []
+                    for w, k in Counter([*words, END]).items():
+                        hit = table.get(w)
+                        if hit is None:
+                            rare.append(w)
+                            times.append(k)
+                        else:
+                            known += k * (hit[0] > 0)
+                            base += k * hit[1]
+                    out.append((len(words) + 1, known, base, rare, times))
+                keys, size = text_grams(texts)
+                g, back = np.unique(keys, return_inverse=True)
+                at = np.minimum(np.searchsorted(grams_, g), max(len(grams_) - 1, 0))
+                there = grams_[at] == g if len(grams_) else np.zeros(len(g), bool)
+                lp = np.zeros(len(g))
+                lp[there] = lps[at[there]]
+                starts = np.cumsum(size) - size
+                missing = ~there[back]
+                ends = np.concatenate([[0], np.cumsum(np.add.reduceat(missing, starts, dtype=np.int64))])
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+                cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                cols += [pa.array(np.add.reduceat(lp[back], starts)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys[missing]))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], ["id", "held_out", "n_tokens", "known", "base", "rare", "times", "lp", "grams"])
+
+    rows = source.select("id", "text", "held_out").mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<binary>, times array<int>, lp double, grams array<long>")
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "ppm-rows")
+    each = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("k"))
+    each = each.join(vocab.where(~common), "word")
+    added = each.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known_"), F.sum(F.col("k") * (F.log10(F.col("c") + 1) - F.lit(floor))).alias("base_"))
+    spelt = rows.select("row", F.explode("grams").alias("g")).join(lengths.where(F.col("s") < least), "g").groupBy("row").agg(F.sum("lp").alias("lp_"))
+    plus = lambda a: F.col(a) + F.coalesce(F.col(a + "_"), F.lit(0))
+    return rows.drop("rare", "times", "grams").join(added, "row", "left").join(spelt, "row", "left").select(F.col("id").alias(id_col), "held_out", "n_tokens", plus("known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), plus("base").alias("base_score"), plus("lp").alias("score"))

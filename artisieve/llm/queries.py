@@ -77,9 +77,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from artisieve.llm.lm_scoring import lm_scores
+    from artisieve.llm.lm_scoring import text_scores
 
-    return lm_scores(table(spark, sf_dir, "documents"), folds=7, fold=2)
+    return text_scores(table(spark, sf_dir, "documents"), folds=7, fold=2)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
