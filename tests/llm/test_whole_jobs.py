@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 
@@ -65,3 +66,28 @@ def test_op9_contexts_cross_blanks(spark, monkeypatch, broadcast_rows):
         assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (held(i), len(w), sum(train[x] > 0 for x in w), n)
         assert got[i].base_score == pytest.approx(sum(math.log10((train[x] + 1) / (n + v + 1)) for x in w))
     assert plain(table.limit(0)).count() == 0
+
+
+def test_op7_short_chains_beside_another_source(spark):
+    from artisieve.llm.chain_dedup import fuzzy_passages, seeds
+    from artisieve.llm.common import WordHashes
+
+    k, window = 8, 16
+    hashes = WordHashes()
+    picked = lambda w: set(seeds(hashes.array([x.encode() for x in w]), k, window)[0].tolist())
+    fresh = lambda name, n, i: [f"{name}{i}x{j}" for j in range(n)]
+    for i in range(5000):  # a and c share two phrases 18 to 37 words apart, b and c all 55 words
+        p = fresh("p", 55, i)
+        b, c = fresh("b", 40, i) + p + fresh("d", 40, i), fresh("e", 40, i) + p + fresh("f", 40, i)
+        both = sorted(x - 40 for x in picked(b) & picked(c) if 40 <= x <= 40 + 55 - k)
+        if len(both) < 4 or not 18 <= both[-1] - both[0] <= 37:
+            continue
+        u, v = both[0], both[-1]
+        a = fresh("g", 40, i) + p[u : u + k] + fresh("h", v - u - k, i) + p[v : v + k] + fresh("k", 40, i)
+        if {40, 40 + v - u} <= picked(a):
+            break
+    else:
+        pytest.fail("no such texts")
+    table = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))], "doc_id long, text string")
+    got = [(x.doc_id, x.start_word, x.end_word, x.source_id) for x in fuzzy_passages(table).collect()]
+    assert got == [(3, 40, 95, 2)]
