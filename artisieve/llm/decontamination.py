@@ -41,20 +41,23 @@ PLACE = {k: int(mix64(np.array([k], np.uint64))[0]) for k in (IS_NUM, IS_UNIT, I
 
 class Spelling(dict):
     """word as written -> one number: the hash of its lower-case core, with flags and the count of its tokens in the
-    low byte. Bare punctuation has no token; a measure (12km) has two, kept in ``pairs``."""
+    low byte. Bare punctuation has no token; a measure (12km) has two, kept in ``pairs``. ``trim`` empties both once
+    there are ``bound`` words; within a text all of its words stay."""
 
     def __init__(self, bound: int = 600_000):
         self.bound = bound
         self.pairs: dict[bytes, list[int]] = {}
 
+    def trim(self) -> None:
+        if len(self) >= self.bound:
+            self.clear()
+            self.pairs.clear()
+
     def __missing__(self, word: bytes) -> int:
         core = word.strip(EDGE)
         low = core.lower()
         ends = ENDS if word.rstrip(b"\"')]*#$&%").endswith((b".", b"!", b"?")) else 0
         token = lambda part, flags: xxhash.xxh3_64_intdigest(part) >> 8 << 8 | ONE | flags
-        if len(self) >= self.bound:
-            self.clear()
-            self.pairs.clear()
         if not core:
             out = 0
         elif NUMBER.fullmatch(low):
@@ -80,6 +83,7 @@ class Template:
 
 
 def template(text: str | None, spelling: Spelling) -> Template:
+    spelling.trim()
     words: list[bytes] = []
     starts: list[int] = []
     for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):

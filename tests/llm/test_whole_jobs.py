@@ -91,3 +91,12 @@ def test_op7_short_chains_beside_another_source(spark):
     table = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))], "doc_id long, text string")
     got = [(x.doc_id, x.start_word, x.end_word, x.source_id) for x in fuzzy_passages(table).collect()]
     assert got == [(3, 40, 95, 2)]
+
+
+def test_op3_measures_outlive_a_full_memo():
+    from artisieve.llm.decontamination import Spelling, template
+
+    text = "It ran 12km in a day and then 5kg of red sand fell"
+    small = Spelling(bound=3)
+    for _ in range(2):
+        assert np.array_equal(template(text, small).values, template(text, Spelling()).values)
