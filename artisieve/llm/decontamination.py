@@ -1,9 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units of a text become typed placeholders. Windows of template tokens are hashed; a
-document's windows are looked up among the benchmark's. Along each diagonal of matching windows the slots
-must be filled consistently: one benchmark value stands for one document value and the reverse, so that
-a re-parameterised question is found and a chance mix of fillings is not.
+Numbers, names and units of a text become typed placeholders. Windows of template tokens, and of the words as
+written, are hashed; a document's windows are looked up among the benchmark's. Along each diagonal of matching
+windows the slots must be filled consistently: one benchmark value stands for one document value and the
+reverse, so that a re-parameterised question is found and a chance mix of fillings is not. Where a diagonal
+conflicts with itself, each longest consistent stretch of it counts if it has ``run`` tokens.
 
 The benchmark is indexed in blocks of at most ``BLOCK_BYTES`` of text; each block is broadcast and costs
 one pass over the documents, so that its size is bounded and every item is used.
@@ -112,19 +113,28 @@ def template(text: str | None, spelling: Spelling) -> Template:
     return Template(tokens, v, unit | number | name, word)
 
 
-def windows(t: Template, width: int) -> np.ndarray:
-    """Hash of each window: of template tokens, or of the words as written where most are placeholders."""
+def windows(t: Template, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each window: of template tokens (of the words as written where most are placeholders), and of the words as written."""
     k = min(width, len(t.tokens))
     if not k:
-        return np.zeros(0, np.uint64)
-    literal = np.convolve(~t.slot, np.ones(k, np.int64), "valid")
-    return np.where(literal * 2 >= k, ngram_hashes(t.tokens, k), ngram_hashes(t.values, k))
-
-
-def consistent(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the pairing of slot values is one to one."""
-    pairs = {*zip(a.tolist(), b.tolist(), strict=True)}
-    return len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    literal, written = np.convolve(~t.slot, np.ones(k, np.int64), "valid"), ngram_hashes(t.values, k)
+    return np.where(literal * 2 >= k, ngram_hashes(t.tokens, k), written), written
+
+
+def stretches(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The maximal ranges of slots in which the pairing of values is one to one."""
+    left, ahead, back = 0, {}, {}
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        start = left
+        for seen, key, other in ((ahead, x, y), (back, y, x)):
+            if (last := seen.get(key)) and last[0] != other:
+                start = max(start, last[1] + 1)
+        if start > left:
+            yield left, i
+            left = start
+        ahead[x], back[y] = (y, i), (x, i)
+    yield left, len(a)
 
 
 class Benchmark:
@@ -137,10 +147,15 @@ class Benchmark:
         self.width, self.coverage, self.run = width, coverage, run
         self.by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for k in sorted({min(width, len(t.tokens)) for t in self.items} - {0}):
-            mine = [(j, windows(t, k)) for j, t in enumerate(self.items) if min(width, len(t.tokens)) == k]
-            h = np.concatenate([w for _, w in mine])
+            mine = []
+            for j, t in enumerate(self.items):
+                if min(width, len(t.tokens)) == k:
+                    w, written = windows(t, k)
+                    other = np.flatnonzero(written != w)
+                    mine += [(j, w, np.arange(len(w))), (j, written[other], other)]
+            h = np.concatenate([w for _, w, _ in mine])
             order = np.argsort(h, kind="stable")
-            self.by_width[k] = h[order], np.concatenate([np.full(len(w), j) for j, w in mine])[order], np.concatenate([np.arange(len(w)) for _, w in mine])[order]
+            self.by_width[k] = h[order], np.concatenate([np.full(len(w), j) for j, w, _ in mine])[order], np.concatenate([p for *_, p in mine])[order]
 
     def matches(self, doc: Template) -> Iterator[tuple]:
         """(item, first word, end word, coverage, reparameterised): the best consistent diagonal of each item."""
@@ -148,7 +163,9 @@ class Benchmark:
         for k, (hashes, item, pos) in self.by_width.items():
             if len(doc.tokens) < k:
                 continue
-            w = windows(doc, k)
+            w, written = windows(doc, k)
+            other = np.flatnonzero(written != w)
+            place, w = np.concatenate([np.arange(len(w)), other]), np.concatenate([w, written[other]])
             lo = np.searchsorted(hashes, w)
             hit = np.flatnonzero(hashes[np.minimum(lo, len(hashes) - 1)] == w)
             if not len(hit):
@@ -156,7 +173,7 @@ class Benchmark:
             hi = np.searchsorted(hashes, w[hit], side="right")
             count = hi - lo[hit]
             entry = np.repeat(lo[hit] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            d, j, p = np.repeat(hit, count), item[entry], pos[entry]
+            d, j, p = np.repeat(place[hit], count), item[entry], pos[entry]
             order = np.lexsort((p, d - p, j))
             d, j, p = d[order], j[order], p[order]
             cut = np.flatnonzero((np.diff(j) != 0) | (np.diff(d - p) != 0)) + 1
@@ -169,13 +186,17 @@ class Benchmark:
                 size = int(covered.sum())
                 if size < self.coverage * n and size < self.run:
                     continue
-                at = np.flatnonzero(covered & it.slot)
-                if not consistent(it.values[at], doc.values[at + shift]):
-                    continue
-                at = np.flatnonzero(covered)
-                found = (size / n, int(doc.word[at[0] + shift]), int(doc.word[at[-1] + shift]) + 1, bool((it.values[at] != doc.values[at + shift]).any()))
-                if found > best.get(int(j[part[0]]), (0.0,)):
-                    best[int(j[part[0]])] = found
+                slots = np.flatnonzero(covered & it.slot)
+                for first, last in stretches(it.values[slots], doc.values[slots + shift]):
+                    whole = last - first == len(slots)
+                    at = np.flatnonzero(covered)
+                    if not whole:  # a part of a diagonal counts by its tokens only
+                        at = at[(at > (slots[first - 1] if first else -1)) & (at < (slots[last] if last < len(slots) else n))]
+                        if len(at) < self.run:
+                            continue
+                    found = (len(at) / n, int(doc.word[at[0] + shift]), int(doc.word[at[-1] + shift]) + 1, bool((it.values[at] != doc.values[at + shift]).any()))
+                    if found > best.get(int(j[part[0]]), (0.0,)):
+                        best[int(j[part[0]])] = found
         for j, (share, start, end, other) in sorted(best.items()):
             yield self.ids[j], start, end, share, other
 
@@ -192,8 +213,8 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, run: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, start_word, end_word, coverage, reparameterised): each benchmark item that a document holds.
 
-    An item is held where consistent windows on one diagonal cover ``coverage`` of its tokens, or ``run``
-    tokens. Null and empty texts on either side match nothing; repeated rows are reported each.
+    An item is held where consistent windows on one diagonal cover ``coverage`` of its tokens, or where a
+    consistent stretch of a diagonal has ``run`` covered tokens. Null and empty texts on either side match nothing; repeated rows are reported each.
     """
     kinds = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     found = []

@@ -100,3 +100,18 @@ def test_op3_measures_outlive_a_full_memo():
     small = Spelling(bound=3)
     for _ in range(2):
         assert np.array_equal(template(text, small).values, template(text, Spelling()).values)
+
+
+def test_op3_literal_copies_and_consistent_stretches(spark):
+    from artisieve.llm.decontamination import leaks, stretches
+
+    assert [*stretches(np.array([1, 2, 1, 3, 1]), np.array([1, 2, 9, 3, 9]))] == [(0, 2), (1, 5)]
+    assert [*stretches(np.array([1, 2, 3]), np.array([5, 5, 6]))] == [(0, 1), (1, 3)]
+    assert [*stretches(np.zeros(0), np.zeros(0))] == [(0, 0)]
+    short = "What is the capital of France?"
+    tail = " ".join(f"word{chr(97 + i)}" for i in range(30))
+    long = f"A cart takes 60 bricks and then it takes 60 stones while we wait here {tail}"
+    bench = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    texts = [short, "Q: " + short, "so what is the capital of france then", long, long.replace("60 stones", "61 stones"), "nothing of it is here"]
+    got = {(x.doc_id, x.item_id): x.reparameterised for x in leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
+    assert got == {(0, 1): False, (1, 1): False, (2, 1): False, (3, 2): False, (4, 2): True}
