@@ -89,7 +89,7 @@ def test_op7_short_chains_beside_another_source(spark):
     else:
         pytest.fail("no such texts")
     table = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))], "doc_id long, text string")
-    got = [(x.doc_id, x.start_word, x.end_word, x.source_id) for x in fuzzy_passages(table).collect()]
+    got = [(x.doc_id, x.start_word, x.end_word, x.source_id) for x in fuzzy_passages(table, k=k, window=window).collect()]
     assert got == [(3, 40, 95, 2)]
 
 
@@ -115,3 +115,17 @@ def test_op3_literal_copies_and_consistent_stretches(spark):
     texts = [short, "Q: " + short, "so what is the capital of france then", long, long.replace("60 stones", "61 stones"), "nothing of it is here"]
     got = {(x.doc_id, x.item_id): x.reparameterised for x in leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
     assert got == {(0, 1): False, (1, 1): False, (2, 1): False, (3, 2): False, (4, 2): True}
+
+
+def test_op7_finds_fuzzy_passages(spark):
+    from artisieve.llm.chain_dedup import fuzzy_passages
+
+    r, rows = random.Random(1), []
+    for i in range(200):  # 60 words of which 9 are changed
+        p = [f"p{i}x{j}" for j in range(60)]
+        q = list(p)
+        for j in r.sample(range(60), 9):
+            q[j] = f"q{i}x{j}"
+        rows += [(2 * i, " ".join(f"a{i}x{j}" for j in range(40)) + " " + " ".join(p)), (2 * i + 1, " ".join(q) + " " + " ".join(f"b{i}x{j}" for j in range(40)))]
+    found = {(x.doc_id, x.source_id) for x in fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found <= {(2 * i + 1, 2 * i) for i in range(200)} and len(found) > 0.85 * 200
