@@ -67,22 +67,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered up to ``bound`` words; what is forgotten is hashed again."""
-
-    def __init__(self, bound: int = 300_000):
-        import xxhash
-
-        self.digest, self.bound = xxhash.xxh3_64_intdigest, bound
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        h = self[word] = self.digest(word)
-        return h
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: A 64-bit value for each byte; those of A-Z are those of a-z, blanks have none.
+VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+VALUE[65:91] = VALUE[97:123]
+VALUE[SPACE] = 0
+
+
+def word_hashes(texts: pa.Array, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ends): a 64-bit hash of each word of all texts (A-Z lowered), and the places where each text's words
+    end among them, after a leading 0. A null text has no words. A word's hash is a polynomial in its bytes,
+    computed for about ``most`` bytes at a time, whole words each."""
+    texts = texts.fill_null("") if texts.null_count else texts
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    bounds = np.frombuffer(texts.buffers()[1] or bytes(8), kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    inside = ~SPACE[raw]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    cuts = bounds[:-1][np.diff(bounds) > 0]  # a word does not go on from one text into the next
+    first[cuts] = inside[cuts]
+    starts = np.flatnonzero(first)
+    edges, out = np.append(starts, len(raw)), np.zeros(len(starts), np.uint64)
+    powers, at = np.ones(1, np.uint64), 0
+    with np.errstate(over="ignore"):
+        while at < len(starts):
+            to = max(int(np.searchsorted(edges, edges[at] + most, side="right")) - 1, at + 1)
+            lo, hi = int(edges[at]), int(edges[to])
+            size = np.diff(edges[at : to + 1])
+            if (longest := int(size.max())) > len(powers):
+                powers = np.cumprod(np.append(np.uint64(1), np.full(longest - 1, MULTIPLIER)))
+            place = np.arange(hi - lo, dtype=np.int32) - np.repeat((edges[at:to] - lo).astype(np.int32), size)
+            out[at:to] = np.add.reduceat(VALUE[raw[lo:hi]] * powers[place], edges[at:to] - lo)
+            at = to
+    return mix64(out), np.searchsorted(starts, bounds)
 
 
 def ngram_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
@@ -98,13 +118,24 @@ def ngram_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
         return mix64(out + np.uint64(k))
 
 
+def sliding(x: np.ndarray, window: int, least: np.ufunc) -> np.ndarray:
+    """``least`` over each run of ``window`` neighbours, by doubling."""
+    size = 1
+    while size < window:
+        step = min(size, window - size)
+        x = least(x[: len(x) - step], x[step:])
+        size += step
+    return x
+
+
 def minimisers(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Positions that hold the least hash of some run of ``window`` neighbours (leftmost on ties)."""
+    """Positions that hold the least hash of some run of ``window`` neighbours (all of them on ties)."""
     n = len(hashes)
     if n <= window:
-        return np.array([int(hashes.argmin())]) if n else np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(hashes, window)
-    return np.unique(view.argmin(axis=1) + np.arange(len(view)))
+        return np.flatnonzero(hashes == hashes.min()) if n else np.zeros(0, np.int64)
+    edge = np.zeros(window - 1, np.uint64)
+    least = np.concatenate([edge, sliding(hashes, window, np.minimum), edge])
+    return np.flatnonzero(sliding(least, window, np.maximum) == hashes)
 
 
 def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

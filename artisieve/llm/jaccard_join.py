@@ -7,12 +7,14 @@ are frequent in a sample of documents last, which changes costs only. Rows that
 1. are compared with the key's most central set (a star, not all pairs) and linked where similar;
 2. where a key still holds several classes, a signature tree over its sets is traversed against itself:
    nodes hold the OR of their members' token bitmaps, their size range and their greatest excess (tokens
-   beyond one a bit), and a pair of nodes is left as soon as its greatest possible overlap is too small.
-   What it leaves connects families, whose members' sets are brought together (in pairs of bounded blocks where a
-   family is large); there all pairs of different classes are decided, by wider bitmaps and then by the sets.
-
-Keys of frequent shingles, the only ones with large groups, are never gathered: their centre comes from a
-map-side aggregation of at most ``HEAVY`` keys, and their trees are built over pairs of bounded blocks.
+   beyond one a bit), and a pair of nodes is left as soon as its greatest possible overlap is too small. At the
+   leaves a parity bitmap bounds the symmetric difference as well, which rules out nearly all that is not
+   similar. What is left connects families, whose members' sets are brought together; there all pairs of
+   different classes are decided, by wider bitmaps and then by the sets (their hashes' upper 48 bits).
+
+Keys of frequent shingles are never gathered: their centre comes from a map-side aggregation of at most
+``HEAVY`` keys; a key beyond those has less than one in ``HEAVY`` of all rows. Trees and families of more than
+``BLOCK_SETS`` sets or ``BLOCK_BYTES`` are dealt in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -22,39 +24,52 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from artisieve.llm.common import WordHashes, ngram_hashes, slices, staged, words_of
+from artisieve.llm.common import ngram_hashes, slices, staged, word_hashes
 from artisieve.llm.graph import components
 
-HEAVY = 65_536
+HEAVY = 1 << 20
 FILTER_BITS = 1 << 26
-BLOCK = 512
-FAMILY_BLOCK = 1024
+BLOCK_SETS = 8192
+BLOCK_BYTES = 16 << 20
 LEAF = 8
 
 
-def shingle_set(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; with fewer words, of the whole sequence."""
-    return np.unique(ngram_hashes(hashes.array(words_of(text)), k))
+def shingle_sets_of(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's k-word shingles; with fewer words, of the whole sequence."""
+    words, ends = word_hashes(texts)
+    grams = ngram_hashes(words, k)
+    return [np.unique(grams[s : e - k + 1] if e - s >= k else ngram_hashes(words[s:e], k)) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def set_name(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def bitmap(shingles: np.ndarray, room: int = 4) -> np.ndarray:
-    """One bit for each of ``width`` residues, width the least power of two >= ``room`` times the set's size, 256 at least."""
-    width = max(256, room << int(len(shingles) - 1).bit_length())
-    bits = np.zeros(width, np.uint8)
-    bits[(shingles & np.uint64(width - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").view(np.uint64)
+def width(n: int) -> int:
+    """Bits of a parity bitmap of ``n`` shingles: the least power of two >= n, 128 at least. A token bitmap has twice as many."""
+    return max(128, 1 << int(n - 1).bit_length())
+
+
+def bitmaps(shingles: np.ndarray, room: int = 1) -> np.ndarray:
+    """The token bitmap (which residues occur) and the parity bitmap (which occur an odd number of times), one after the other."""
+    w = room * width(len(shingles))
+    tokens, parity = np.zeros(2 * w, np.uint8), np.bincount((shingles & np.uint64(w - 1)).astype(np.int64), minlength=w) & 1
+    tokens[(shingles & np.uint64(2 * w - 1)).astype(np.int64)] = 1
+    return np.packbits(np.concatenate([tokens, parity.astype(np.uint8)]), bitorder="little").view(np.uint64)
 
 
-def fold(bits: np.ndarray, words: int) -> np.ndarray:
+def fold(bits: np.ndarray, words: int, how: np.ufunc = np.bitwise_or) -> np.ndarray:
     """The bitmap of a narrower width: its residues are those of the wider one."""
-    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+    return how.reduce(bits.reshape(-1, words), axis=0)
+
+
+def unfolded(bits: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Token and parity bitmaps, folded to 2 * ``words`` and ``words`` 64-bit words."""
+    third = len(bits) // 3
+    return fold(bits[: 2 * third], 2 * words), fold(bits[2 * third :], words, np.bitwise_xor)
 
 
 def packed(shingles: np.ndarray) -> bytes:
@@ -72,10 +87,9 @@ def frequent_shingles(docs: DataFrame, k: int, one_in: int = 16, least: int = 6)
     """At most ``HEAVY`` shingles found often among one in ``one_in`` documents; they only order prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for whole in batches:
             for b in slices(whole):
-                found = [shingle_set(t, k, hashes) for t in b.column(0).to_pylist()]
+                found = shingle_sets_of(b.column(0), k)
                 h, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
@@ -89,17 +103,16 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, heavy: np.ndarray) -
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, often = WordHashes(), shared.value
+        often = shared.value
         for whole in batches:
             for b in slices(whole):
                 out: list[tuple] = []
-                for text in b.column(1).to_pylist():
-                    s = shingle_set(text, k, hashes)
+                for s in shingle_sets_of(b.column(1), k):
                     n = len(s)
                     is_hot = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s if len(often) else np.zeros(n, bool)
                     p = n - -(-num * n // den) + 1 if n else 0
                     light = s[~is_hot][:p]
-                    out.append((n, set_name(s) if n else None, bitmap(s).tobytes() if n else None, light.view(np.int64), s[is_hot][: p - len(light)].view(np.int64)))
+                    out.append((n, set_name(s) if n else None, bitmaps(s).tobytes() if n else None, light.view(np.int64), s[is_hot][: p - len(light)].view(np.int64)))
                 n, v, bits, light, hot = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(v, pa.int64()), pa.array(bits, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (light, hot))], ["id", "n", "v", "bits", "light", "hot"])
 
@@ -117,23 +130,24 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for whole in batches:
             at = whole.column(1).to_numpy()
             keep = shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) > 0
             for b in slices(whole.select([0]).filter(pa.array(keep))):
-                found = [shingle_set(t, k, hashes) for t in b.column(0).to_pylist()]
+                found = shingle_sets_of(b.column(0), k)
                 yield pa.RecordBatch.from_arrays([pa.array([set_name(x) for x in found], pa.int64()), pa.array([packed(x) for x in found], pa.binary())], ["v", "shingles"])
 
     return docs.select("text", slot.alias("slot")).mapInArrow(run, "v long, shingles binary")
 
 
 def may_link(x: np.ndarray, nx: int, y: np.ndarray, ny: int, num: int, den: int) -> bool:
-    """Whether two sets' bitmaps and sizes leave room for the similarity."""
-    words = min(len(x), len(y))
-    x, y = fold(x, words), fold(y, words)
+    """Whether two sets' bitmaps and sizes leave room for the similarity. Tokens bound the overlap from above, odd
+    residues that differ bound the symmetric difference from below."""
+    words = min(len(x), len(y)) // 3
+    (x, px), (y, py) = unfolded(x, words), unfolded(y, words)
     most = int(np.bitwise_count(x & y).sum()) + min(nx - int(np.bitwise_count(x).sum()), ny - int(np.bitwise_count(y).sum()))
-    return (num + den) * min(most, nx, ny) >= num * (nx + ny)
+    most = min(most, nx, ny, (nx + ny - int(np.bitwise_count(px ^ py).sum())) // 2)
+    return (num + den) * most >= num * (nx + ny)
 
 
 def possible(pairs: DataFrame, vertices: DataFrame, num: int, den: int) -> DataFrame:
@@ -171,47 +185,53 @@ def verified(docs: DataFrame, pairs: DataFrame, vertices: DataFrame, k: int, num
 
 
 def tree_pairs(n: np.ndarray, label: np.ndarray, bits: list[np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of different labels that the signature tree of these sets cannot rule out."""
+    """Index pairs of different labels that the signature trees of these sets cannot rule out: a tree for each two
+    neighbouring size bands, so that large sets do not fold to the width of small ones."""
+    band = np.floor(np.log(n) / np.log(den / num) + 1e-9).astype(np.int64)
+    for x in np.unique(band):
+        at = np.flatnonzero((band == x) | (band == x + 1))
+        if len(at) > 1 and (label[at] != label[at[0]]).any():
+            for i, j in band_pairs(n[at], label[at], [bits[k] for k in at], num, den):
+                own = (band[at[i]] == x) | (band[at[j]] == x)
+                yield at[i[own]], at[j[own]]
+
+
+def band_pairs(n: np.ndarray, label: np.ndarray, bits: list[np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     order = np.argsort(n, kind="stable")
     n, label = n[order], label[order]
-    words = min(map(len, bits))
-    rows = np.stack([fold(bits[i], words) for i in order])
+    words = min(map(len, bits)) // 3
+    both = [unfolded(bits[i], words) for i in order]
+    rows, odd = np.stack([x for x, _ in both]), np.stack([x for _, x in both])
     excess = n - np.bitwise_count(rows).sum(1)
-    # Levels from the leaves up; a node is (first row, end row).
-    spans = [(np.arange(0, len(n), 1), np.arange(1, len(n) + 1))]
+    # Levels from the leaves up; node i of a level covers LEAF nodes of the one below.
     levels = [(rows, n, n, excess, label, label)]
     while len(levels[-1][0]) > 1:
         at = np.arange(0, len(levels[-1][0]), LEAF)
         over = lambda f, x, at=at: f.reduceat(x, at, axis=0)
         r, lo, hi, e, l0, l1 = levels[-1]
         levels.append((over(np.bitwise_or, r), over(np.minimum, lo), over(np.maximum, hi), over(np.maximum, e), over(np.minimum, l0), over(np.maximum, l1)))
-        spans.append((spans[-1][0][at], np.append(spans[-1][0][at][1:], len(n))))
-    i = j = np.zeros(1, np.int64)
-    for depth in range(len(levels) - 1, -1, -1):
+    grid_i, grid_j = np.repeat(np.arange(LEAF), LEAF), np.tile(np.arange(LEAF), LEAF)
+    todo = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while todo:  # depth first, at most 256 * LEAF ** 2 node pairs at once
+        depth, i, j = todo.pop()
         r, lo, hi, e, l0, l1 = levels[depth]
-        small_hi, big_lo = hi[i], lo[j]  # i <= j, and rows are sorted by size
-        ok = den * small_hi >= num * big_lo
+        ok = (i <= j) & (den * hi[i] >= num * lo[j])  # rows are sorted by size
         ok &= ~((l0[i] == l1[i]) & (l0[j] == l1[j]) & (l0[i] == l0[j]))
-        if depth == 0:
-            ok &= i != j
         i, j = i[ok], j[ok]
-        keep = []
-        for s in range(0, len(i), 65_536):
-            a, b = i[s : s + 65_536], j[s : s + 65_536]
-            most = np.bitwise_count(r[a] & r[b]).sum(1) + np.minimum(e[a], e[b])
-            keep.append((num + den) * np.minimum(most, np.minimum(hi[a], hi[b])) >= num * (lo[a] + lo[b]))
-        ok = np.concatenate([*keep, np.zeros(0, bool)])
+        most = np.bitwise_count(r[i] & r[j]).sum(1) + np.minimum(e[i], e[j])
+        if depth == 0:
+            most = np.minimum(most, (n[i] + n[j] - np.bitwise_count(odd[i] ^ odd[j]).sum(1).astype(np.int64)) // 2)
+        ok = (num + den) * np.minimum(most, np.minimum(hi[i], hi[j])) >= num * (lo[i] + lo[j])
         i, j = i[ok], j[ok]
-        if not len(i):
-            return
         if depth == 0:
-            yield order[i], order[j]
-            return
+            if len(i):
+                yield order[i], order[j]
+            continue
         below = len(levels[depth - 1][0])
-        grid_i, grid_j = np.repeat(np.arange(LEAF), LEAF), np.tile(np.arange(LEAF), LEAF)
-        ci, cj = (i[:, None] * LEAF + grid_i).ravel(), (j[:, None] * LEAF + grid_j).ravel()
-        ok = (ci < below) & (cj < below) & (ci <= cj)
-        i, j = ci[ok], cj[ok]
+        for s in range(0, len(i), 256):
+            ci, cj = (i[s : s + 256, None] * LEAF + grid_i).ravel(), (j[s : s + 256, None] * LEAF + grid_j).ravel()
+            inside = (ci < below) & (cj < below)
+            todo.append((depth - 1, ci[inside], cj[inside]))
 
 
 class Union:
@@ -259,6 +279,18 @@ def by_tree(rows: DataFrame, grow: Callable[[pa.RecordBatch], list[tuple[int, in
     return rows.repartition("tree").sortWithinPartitions("tree").mapInArrow(run, "a long, b long")
 
 
+def sized(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """``rows(tree, v, n, label)`` cut into trees between whose sizes no link is possible, without trees of one label and
+    with one tree where several have the same members."""
+    by_size = Window.partitionBy("tree").orderBy("n", "v")
+    rows = rows.withColumn("gap", F.when(F.col("n") * num > F.lag("n").over(by_size) * den, 1).otherwise(0))
+    rows = rows.withColumn("gap", F.sum("gap").over(by_size)).withColumn("tree", F.xxhash64("tree", "gap"))
+    within = Window.partitionBy("tree")
+    members = (F.sum(F.shiftright(F.xxhash64("v", F.lit(i)), 24)).over(within) for i in (0, 1))
+    rows = rows.withColumns({"l0": F.min("label").over(within), "l1": F.max("label").over(within), "members": F.xxhash64(*members, F.count("*").over(within))})
+    return rows.where("l0 <> l1").select(F.col("members").alias("tree"), "v", "n", "label").distinct()
+
+
 def candidate_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): for each tree of ``rows(tree, v, n, label, bits)`` a spanning forest of the pairs that it leaves, so that the
     output never exceeds the members. Every pair that may link lies within one component of these edges."""
@@ -288,8 +320,10 @@ def family_links(rows: DataFrame, num: int, den: int) -> DataFrame:
         for at in (np.flatnonzero(label == x) for x in np.unique(label)):
             for i in at[1:].tolist():
                 found.join(int(at[0]), i)
-        for i, j in tree_pairs(n, label, [bitmap(x >> np.uint64(16), 16) for x in sets], num, den):
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        for i, j in tree_pairs(n, label, [bitmaps(x >> np.uint64(16), 8) for x in sets], num, den):
+            roots = np.fromiter(map(found.root, range(len(sets))), np.int64, len(sets))
+            apart = roots[i] != roots[j]
+            for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
                 if found.root(x) != found.root(y):
                     both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                     if den * both >= num * (int(n[x] + n[y]) - both):
@@ -314,10 +348,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # Keys that several sets share. Frequent keys: at most HEAVY of them, aggregated before the shuffle.
     by_key = Window.partitionBy("key")
     light = sig.select("v", "n", F.explode("light").alias("key"))
-    light = light.withColumns({"lo": F.min("v").over(by_key), "hi": F.max("v").over(by_key), "m": F.count("*").over(by_key)}).where("lo <> hi").select("key", "v", "n", "m")
+    light = light.withColumns({"lo": F.min("v").over(by_key), "hi": F.max("v").over(by_key), "m": F.count("*").over(by_key), "shingles": F.sum("n").over(by_key)}).where("lo <> hi").select("key", "v", "n", "m", "shingles")
     light = staged(light.distinct(), "light-keys")
     hot = sig.select("v", "n", F.explode("hot").alias("key")).distinct()
-    shared = hot.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
+    shared = hot.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("shingles")).where("lo <> hi").select("key", "m", "shingles")
     hot = staged(hot.join(F.broadcast(shared), "key"), "hot-keys")
 
     # A key's centre is its set with most shared keys: an original, whose copies each have shingles of their own.
@@ -332,29 +366,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # Keys where classes still differ; keys with the same members are one tree.
     label = F.coalesce("label", "v").alias("label")
     named = lambda df: df.join(first, "v", "left").select(*df.columns, label)
-    members = *(F.sum(F.shiftright(F.xxhash64("v", F.lit(i)), 24)).alias(f"members{i}") for i in (0, 1)), F.count("*").alias("size")
-
     def mixed(df: DataFrame) -> DataFrame:
-        keys = df.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), *members).where("l0 <> l1")
-        return keys.groupBy("members0", "members1", "size").agg(F.min("key").alias("key")).select("key")
+        return df.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
 
     light, hot = staged(named(light), "light-named"), staged(named(hot), "hot-named")
 
-    def in_blocks(df: DataFrame) -> DataFrame:
-        """Each row of a key in all pairs of blocks that hold its own; most keys are one block."""
-        nb = F.ceil(F.col("m") / BLOCK).cast("int")
-        df = df.withColumn("nb", nb).withColumn("i", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        return df.withColumn("tree", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")))
+    def in_blocks(df: DataFrame, by: str, weight: Column) -> DataFrame:
+        """Each row of a group of total ``weight`` (in blocks) in all pairs of blocks that hold its own; most groups are one block."""
+        df = df.withColumn("nb", F.ceil(weight).cast("int"))
+        df = df.withColumn("i", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        return df.withColumn("tree", F.xxhash64(by, F.least("i", "j"), F.greatest("i", "j")))
 
-    light, hot = in_blocks(light.join(mixed(light), "key", "left_semi")), in_blocks(hot.join(F.broadcast(mixed(hot)), "key", "left_semi"))
+    light, hot = (in_blocks(df, "key", F.col("m") / BLOCK_SETS + (F.col("m") * 64 + F.col("shingles")) * 0.75 / BLOCK_BYTES) for df in (light.join(mixed(light), "key", "left_semi"), hot.join(F.broadcast(mixed(hot)), "key", "left_semi")))
     cols = ["tree", "v", "n", "label"]
-    rows = light.select(*cols).unionByName(hot.select(*cols)).join(vertices.select("v", "bits"), "v")
+    rows = sized(light.select(*cols).unionByName(hot.select(*cols)), num, den).join(vertices.select("v", "bits"), "v")
     # Families that may still hold links: each member's set is sent once to its family, or to the block pairs of a large one.
     families = components(staged(candidate_edges(rows, num, den).distinct(), "candidates")).select("v", F.col("label").alias("family"))
-    families = staged(families.join(first, "v", "left").select("v", "family", label), "families")
-    size = families.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("nb"))
-    dealt = families.join(size, "family").withColumn("i", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select(F.xxhash64("family", F.least("i", "j"), F.greatest("i", "j")).alias("tree"), "v", "label")
+    families = staged(families.join(vertices.select("v", "n"), "v").join(first, "v", "left").select("v", "n", "family", label), "families")
+    size = families.groupBy("family").agg((F.count("*") / BLOCK_SETS + F.sum("n") * 6 / BLOCK_BYTES).alias("weight"))
+    dealt = in_blocks(families.join(size, "family"), "family", F.col("weight")).select("tree", "v", "label")
     wanted = vertices.select("v", "id").join(families.select("v"), "v", "left_semi")
     more = family_links(dealt.join(shingle_sets(source, wanted, k), "v"), num, den)
     classes = components(links.unionByName(more))

@@ -159,13 +159,13 @@ def test_jaccard_join(docs, empty, rows, k, num):
 
 
 def test_signature_tree_loses_no_pair():
-    from artisieve.llm.jaccard_join import bitmap, tree_pairs
+    from artisieve.llm.jaccard_join import bitmaps, tree_pairs
 
     r = np.random.default_rng(1)
     base = r.integers(0, 2**63, 400).astype(np.uint64)
     sets = [np.unique(np.concatenate([r.choice(base, n, replace=False), r.integers(0, 2**63, m).astype(np.uint64)])) for n, m in [(380, 5), (390, 3), (360, 10), (200, 3), (100, 200), (370, 2)] * 8]
     n = np.array([len(s) for s in sets])
-    found = {tuple(sorted(p)) for a, b in tree_pairs(n, np.arange(len(n)), [bitmap(s) for s in sets], 80, 100) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    found = {tuple(sorted(p)) for a, b in tree_pairs(n, np.arange(len(n)), [bitmaps(s) for s in sets], 80, 100) for p in zip(a.tolist(), b.tolist(), strict=True)}
     for i in range(len(sets)):
         for j in range(i):
             both = len(np.intersect1d(sets[i], sets[j]))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 
@@ -70,11 +71,10 @@ def test_op9_contexts_cross_blanks(spark, monkeypatch, broadcast_rows):
 
 def test_op7_short_chains_beside_another_source(spark):
     from artisieve.llm.chain_dedup import fuzzy_passages, seeds
-    from artisieve.llm.common import WordHashes
+    from artisieve.llm.common import word_hashes
 
     k, window = 8, 16
-    hashes = WordHashes()
-    picked = lambda w: set(seeds(hashes.array([x.encode() for x in w]), k, window)[0].tolist())
+    picked = lambda w: set(seeds(word_hashes(pa.array([" ".join(w)]))[0], k, window)[0].tolist())
     fresh = lambda name, n, i: [f"{name}{i}x{j}" for j in range(n)]
     for i in range(5000):  # a and c share two phrases 18 to 37 words apart, b and c all 55 words
         p = fresh("p", 55, i)
@@ -129,3 +129,58 @@ def test_op7_finds_fuzzy_passages(spark):
         rows += [(2 * i, " ".join(f"a{i}x{j}" for j in range(40)) + " " + " ".join(p)), (2 * i + 1, " ".join(q) + " " + " ".join(f"b{i}x{j}" for j in range(40)))]
     found = {(x.doc_id, x.source_id) for x in fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found <= {(2 * i + 1, 2 * i) for i in range(200)} and len(found) > 0.85 * 200
+
+
+def test_word_hashes_read_all_words():
+    from artisieve.llm.common import minimisers, word_hashes, words_of
+
+    r = random.Random(3)
+    texts = ["", None, "  ", "A b\tA", "b", " \x0b\x0c\r\nÜx y  Z ", "z" * 3000, "ab", "c", *("".join(r.choice("abAB \n") for _ in range(r.randint(0, 60))) for _ in range(200))]
+    for array in (pa.array(texts), pa.array([None, *texts, "x"]).slice(1, len(texts)), pa.array(texts, pa.large_string())):
+        for most in (4, 1 << 18):
+            hashes, ends = word_hashes(array, most)
+            spelt = [words_of(t) for t in texts]
+            assert np.diff(ends).tolist() == [len(w) for w in spelt]
+            names = dict(zip((w for ws in spelt for w in ws), hashes.tolist(), strict=True))
+            assert len(set(names.values())) == len(names)
+            assert hashes.tolist() == [names[w] for ws in spelt for w in ws]
+    for n, window in [(0, 4), (3, 4), (4, 4), (200, 1), (200, 7), (200, 15)]:
+        h = np.random.default_rng(n).integers(0, 90, n).astype(np.uint64)
+        want = {i for s in range(max(n - window + 1, min(n, 1))) for i in range(s, min(s + window, n)) if h[i] == h[s : s + window].min()}
+        assert set(minimisers(h, window).tolist()) == want
+
+
+@pytest.mark.parametrize("block", [4, 8192])
+def test_op2_family_below_the_threshold_stays_linear(spark, monkeypatch, block):
+    """2,000 sets of which all pairs are nearly similar and few are: whole families go to few blocks."""
+    from artisieve.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block * 100)
+    made = []
+    plain = jaccard_join.family_links
+    monkeypatch.setattr(jaccard_join, "family_links", lambda rows, *a: (made.append(rows.count()), plain(rows, *a))[1])
+    r = random.Random(7)
+    core = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(600):
+        w = list(core)
+        for j in r.sample(range(100), 2 if i % 50 else 1):
+            w[j] = f"x{i}y{j}"
+        texts.append(" ".join(w))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(97)} for t in texts]
+    up = list(range(600))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(600):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 88 * (len(sets[i]) + len(sets[j]) - both):
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    got = {x.doc_id: x.component_id for x in jaccard_join.near_duplicates(table, 4, 88, 100).collect()}
+    assert got == {i: find(i) for i in range(600)}
+    assert sum(made) <= 600 * -(-600 // (block * 100))
