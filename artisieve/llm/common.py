@@ -105,17 +105,22 @@ def word_hashes(texts: pa.Array, most: int = 1 << 18) -> tuple[np.ndarray, np.nd
     return mix64(out), np.searchsorted(starts, bounds)
 
 
-def ngram_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each window of ``k`` words; a shorter non-empty text is one window."""
-    n = len(word_hashes)
-    if not n:
-        return word_hashes
-    k = min(k, n)
-    out = np.zeros(n - k + 1, np.uint64)
+def ngram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each window of ``k`` words, by doubling; a shorter non-empty text is one window."""
+    if not len(words):
+        return words
+    k, odd = min(k, len(words)), 0x9E3779B97F4A7C15
+    out, have, block, size = words[:0], 0, words, 1
     with np.errstate(over="ignore"):
-        for i in range(k):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + word_hashes[i : n - k + 1 + i]
-        return mix64(out + np.uint64(k))
+        while True:
+            if k & size:
+                n = len(words) - have - size + 1
+                out = out[:n] * np.uint64(pow(odd, size, 1 << 64)) + block[have : have + n] if have else block
+                have += size
+            if have == k:
+                return mix64(out + np.uint64(k))
+            block = block[:-size] * np.uint64(pow(odd, size, 1 << 64)) + block[size:]
+            size *= 2
 
 
 def sliding(x: np.ndarray, window: int, least: np.ufunc) -> np.ndarray:

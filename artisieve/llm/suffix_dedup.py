@@ -1,9 +1,11 @@
 """Repeated passages by sparse suffix arrays.
 
-Suffixes are kept only where a text's ``width``-word hash is the least of ``window`` neighbours, a choice that
-depends on the words alone: two copies of a passage of ``width + window - 1`` words keep the same suffix. The kept
-suffixes are sorted by their leading blocks of words (range partitioned, so that equal ones may span tasks),
-neighbours that share the first block are compared, and each match is extended word by word both ways.
+Each window of ``min_words`` words keeps one suffix: the one that starts at the least (minimiser) of its
+``width``-word hashes, a choice that depends on the window's words alone. Windows that are equal therefore keep
+equal suffixes, at one distance. Suffixes whose first ``width`` words one document alone holds are left out. The
+others are sorted (range partitioned, so that equal ones may span tasks) and scanned: among neighbours that
+share the first ``width`` words, each window is matched with the first neighbour that holds it too. What a task
+sees of its first and last run is matched once more across tasks. Each match is then extended word by word both ways.
 """
 
 from __future__ import annotations
@@ -12,59 +14,96 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from artisieve.llm.common import minimisers, ngram_hashes, slices, staged
-from artisieve.llm.spans import both_sides, keyed, position_rows
+from artisieve.llm.common import ngram_hashes, slices, sliding, staged
+from artisieve.llm.spans import bit_table, both_sides, found_rows, in_table, keyed, shared_hashes, window_starts
 
+#: Rows of one run of equal suffixes that are compared at once; a longer run is cut, and its pieces are matched across.
+RUN = 50_000
 
-def sparse_suffixes(words: np.ndarray, width: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, first-block hashes and second-block hashes of the kept suffixes."""
-    h = ngram_hashes(words, width) if len(words) >= width else np.zeros(0, np.uint64)
-    p = minimisers(h, window)
-    then = np.zeros(len(p), np.uint64)
-    more = p + width < len(h)
-    then[more] = h[p[more] + width]
-    return p, h[p], then
+
+def kept_suffixes(words: np.ndarray, ends: np.ndarray, width: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, place, hash): each window of ``min_words`` words of one text, with its suffix's place and first hash."""
+    starts = np.flatnonzero(window_starts(words, ends, min_words))
+    if not len(starts):
+        return starts, starts, np.zeros(0, np.uint64)
+    h, low = ngram_hashes(words, width), np.uint64((1 << 24) - 1)
+    tagged = h & ~low | np.arange(len(h), dtype=np.uint64) & low  # leftmost of equal hashes
+    least = sliding(tagged, min_words - width + 1, np.minimum)[starts]
+    p = starts + ((least - starts.astype(np.uint64)) & low).astype(np.int64)
+    return starts, p, h[p]
+
+
+def runs_of(p: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.diff(p, prepend=-1))
 
 
 def neighbours(suffixes: DataFrame) -> DataFrame:
-    """(a, a_id, pa, b, b_id, pb): neighbours in suffix order, of different documents, with one first block."""
+    """(a, a_id, b, b_id, shift, lo, hi, key) of ``suffixes(h, row, id, s, windows)``: where ``key`` is null, windows lo to hi of a
+    are those of b at ``shift``; else window lo of a has this key and is to be matched across tasks."""
     kind = dict(suffixes.dtypes)["id"]
-    names = ["part", "edge", "h", "a", "a_id", "pa", "b", "b_id", "pb"]
+    names = ["a", "a_id", "b", "b_id", "shift", "lo", "hi", "key"]
+
+    def compare(x: pa.RecordBatch, partial: np.ndarray) -> Iterator[pa.RecordBatch]:
+        row, s0, raw = x.column("row").to_numpy(), x.column("s").to_numpy(), x.column("windows").to_pylist()
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
+        of = np.repeat(np.arange(len(row)), size)
+        s = s0[of] + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        key = np.frombuffer(b"".join(raw), np.int64)
+        order = np.lexsort((s, row[of], key))
+        of, s, key = of[order], s[order], key[order]
+        first = np.flatnonzero(np.diff(key, prepend=key[0] ^ 1))
+        last, group = np.append(first[1:], len(key)) - 1, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        mate = first[group]
+        mate = np.where(row[of[mate]] == row[of], last[group], mate)
+        linked = row[of[mate]] != row[of]
+        a, b, lo, shift = of[linked], of[mate[linked]], s[linked], s[mate[linked]] - s[linked]
+        order = np.lexsort((lo, shift, b, a))
+        a, b, lo, shift = a[order], b[order], lo[order], shift[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (np.diff(a) != 0) | (np.diff(b) != 0) | (np.diff(shift) != 0)
+        at = np.flatnonzero(new)
+        hi = lo[np.append(at[1:], len(a)) - 1] if len(at) else lo
+        take = lambda c, i: x.column(c).take(pa.array(i))
+        ints = lambda v: pa.array(v, pa.int32())
+        if len(at):
+            yield pa.RecordBatch.from_arrays([take("row", a[at]), take("id", a[at]), take("row", b[at]), take("id", b[at]), ints(shift[at]), ints(lo[at]), ints(hi), pa.nulls(len(at), pa.int64())], names)
+        ask = np.zeros(len(of), bool)
+        ask[first] = ask[last] = True
+        ask = np.flatnonzero((ask | ~linked) & partial[of])
+        if len(ask):
+            n, at = len(ask), of[ask]
+            yield pa.RecordBatch.from_arrays([take("row", at), take("id", at), pa.nulls(n, pa.int64()), pa.nulls(n, x.column("id").type), pa.nulls(n, pa.int32()), ints(s[ask]), pa.nulls(n, pa.int32()), pa.array(key[ask])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last = TaskContext.get().partitionId(), None
-
-        def rows(edge: int, x: pa.RecordBatch, y: pa.RecordBatch) -> pa.RecordBatch:
-            n = x.num_rows
-            return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([edge] * n, pa.int32()), x.column("h"), x.column("row"), x.column("id"), x.column("p"), y.column("row"), y.column("id"), y.column("p")], names)
-
+        rest, open_run = None, None  # the last run so far; the run that is known to be a part only
         for b in batches:
             if not b.num_rows:
                 continue
-            if last is None:
-                yield rows(0, b.slice(0, 1), b.slice(0, 1))
+            if rest is not None:
+                b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+            h = b.column("h").to_numpy()
+            open_run = h[0] if open_run is None else open_run
+            start = int(np.searchsorted(h, h[-1]))
+            if len(h) - start > RUN:
+                yield from compare(b, (h == open_run) | (h == h[-1]))
+                rest, open_run = None, h[-1]
             else:
-                b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
-            h, row = b.column("h").to_numpy(), b.column("row").to_numpy()
-            at = np.flatnonzero((h[1:] == h[:-1]) & (row[1:] != row[:-1]))
-            if len(at):
-                yield rows(1, b.take(pa.array(at)), b.take(pa.array(at + 1)))
-            last = b.slice(b.num_rows - 1, 1)
-        if last is not None:
-            yield rows(2, last, last)
-
-    order = ["h", "then", "id", "row", "p"]
-    found = staged(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).select("h", "row", "id", "p").mapInArrow(run, f"part int, edge int, h long, a long, a_id {kind}, pa int, b long, b_id {kind}, pb int"), "suffix-neighbours")
-    # Where one task's suffixes end and the next one's begin: two rows a task.
-    w = Window.partitionBy(F.lit(0)).orderBy("part", "edge")
-    lag = {c: F.lag(x).over(w) for c, x in (("h_", "h"), ("e_", "edge"), ("a_", "a"), ("i_", "a_id"), ("p_", "pa"))}
-    seams = found.where("edge <> 1").withColumns(lag).where("edge = 0 AND e_ = 2 AND h = h_ AND b <> a_")
-    cols = ["a", "a_id", "pa", "b", "b_id", "pb"]
-    return found.where("edge = 1").select(*cols).unionByName(seams.select(F.col("a_").alias("a"), F.col("i_").alias("a_id"), F.col("p_").alias("pa"), "b", "b_id", "pb"))
+                if start:
+                    yield from compare(b.slice(0, start), h[:start] == open_run)
+                rest = b.slice(start)
+        if rest is not None:
+            yield from compare(rest, np.ones(rest.num_rows, bool))
+
+    order = ["h", "row", "s"]
+    found = staged(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"a long, a_id {kind}, b long, b_id {kind}, shift int, lo int, hi int, key long"), "suffix-neighbours")
+    asked = found.where("key IS NOT NULL").select("key", F.struct(F.col("a").alias("row"), F.col("a_id").alias("id"), F.col("lo").alias("s")).alias("x"))
+    ends = asked.groupBy("key").agg(F.min("x").alias("first"), F.max("x").alias("last")).where("first.row <> last.row")
+    across = asked.join(ends, "key").select("x", F.when(F.col("first.row") != F.col("x.row"), F.col("first")).otherwise(F.col("last")).alias("y"))
+    return found.where("key IS NULL").drop("key").unionByName(across.select(F.col("x.row").alias("a"), F.col("x.id").alias("a_id"), F.col("y.row").alias("b"), F.col("y.id").alias("b_id"), (F.col("y.s") - F.col("x.s")).alias("shift"), F.col("x.s").alias("lo"), F.col("x.s").alias("hi")))
 
 
 def equal_runs(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -77,16 +116,35 @@ def equal_runs(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int]
 def repeated_passages(docs: DataFrame, min_words: int = 50, width: int = 36, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, partner_id, partner_start): passages of ``min_words`` or more that two documents share.
 
-    Words are lower-cased (A-Z). Every document that holds such a passage is in a row with a neighbour that
-    holds it too; copies form a chain, not all pairs. Null ids and texts take no part; rows of one id and
-    text count once; repeats within one document are not reported.
+    Words are lower-cased (A-Z). Each window of ``min_words`` words that another document holds too lies in a row of its
+    document: copies form stars, not all pairs, and a pair has a row for either side. A passage is as long as both
+    agree, up to ``min_words`` words beyond the windows matched with this partner. Null ids and texts take no part;
+    rows of one id and text count once; repeats within one document are not reported.
     """
     source = keyed(docs, id_col, text_col)
-    suffixes = staged(position_rows(source, lambda w: sparse_suffixes(w, width, min_words - width + 1), ("h", "then")), "suffixes")
-    pairs = neighbours(suffixes).select(*(F.when(F.col("a") < F.col("b"), F.struct("a", "a_id", "pa", "b", "b_id", "pb")).otherwise(F.struct(F.col("b").alias("a"), F.col("b_id").alias("a_id"), F.col("pb").alias("pa"), F.col("a").alias("b"), F.col("a_id").alias("b_id"), F.col("pa").alias("pb"))).alias("x"),)).select("x.*")
-    diagonals = pairs.groupBy("a", "b", (F.col("pb") - F.col("pa")).alias("shift")).agg(F.min("a_id").alias("a_id"), F.min("b_id").alias("b_id"), F.min("pa").alias("lo"), F.max("pa").alias("hi"))
-    lo, hi = F.col("lo") - min_words, F.col("hi") + width + min_words
-    asked = staged(diagonals.select("a", "a_id", lo.alias("a_lo"), hi.alias("a_hi"), "b", "b_id", (lo + F.col("shift")).alias("b_lo"), (hi + F.col("shift")).alias("b_hi"), "shift").withColumn("m", F.monotonically_increasing_id()), "suffix-diagonals")
+
+    def first_hashes(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, p, h = kept_suffixes(words, ends, width, min_words)
+        at = runs_of(p)
+        return np.searchsorted(ends, p[at], side="right") - 1, h[at]
+
+    shared = source.sparkSession.sparkContext.broadcast(bit_table(shared_hashes(source, first_hashes)))
+
+    def suffixes(words: np.ndarray, ends: np.ndarray) -> tuple:
+        s, p, h = kept_suffixes(words, ends, width, min_words)
+        ok = in_table(shared.value, h)
+        s, p, h = s[ok], p[ok], h[ok]
+        at = runs_of(p)
+        doc = np.searchsorted(ends, s[at], side="right") - 1
+        cuts = (np.append(at, len(s)) * 8).astype(np.int32)
+        windows = ngram_hashes(words, min_words)[s] if len(s) else np.zeros(0, np.uint64)
+        raw = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(windows.tobytes())])
+        return doc, h[at].view(np.int64), s[at] - ends[doc], raw
+
+    rows = staged(found_rows(source, suffixes, {"h": pa.int64(), "s": pa.int32(), "windows": pa.binary()}), "suffixes")
+    diagonals = neighbours(rows).groupBy("a", "b", "shift").agg(F.min("a_id").alias("a_id"), F.min("b_id").alias("b_id"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    lo, hi = F.col("lo") - min_words, F.col("hi") + 2 * min_words
+    asked = staged(diagonals.select("a", "a_id", lo.alias("a_lo"), hi.alias("a_hi"), "b", "b_id", (lo + F.col("shift")).alias("b_lo"), (hi + F.col("shift")).alias("b_hi"), "shift"), "suffix-diagonals")
     kind = dict(docs.dtypes)[id_col]
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,11 +157,13 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, width: int = 36, id_
                     a, b = a[first - a0 :], b[first + shift - b0 :]
                     n = min(len(a), len(b))
                     for s, e in equal_runs(a[:n], b[:n], min_words):
-                        out.append((first + s, first + e, first + s + shift))
+                        out.append((first + s, first + e, first + s + shift, first + e + shift))
                         at.append(i)
                 if out:
-                    s, e, p = (pa.array(c, pa.int32()) for c in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([batch.column("a_id").take(pa.array(at)), s, e, batch.column("b_id").take(pa.array(at)), p], [id_col, "start_word", "end_word", "partner_id", "partner_start"])
+                    s, e, p, q = (pa.array(c, pa.int32()) for c in zip(*out, strict=True))
+                    a_id, b_id = (batch.column(c).take(pa.array(at)) for c in ("a_id", "b_id"))
+                    for columns in ((a_id, s, e, b_id, p), (b_id, p, q, a_id, s)):
+                        yield pa.RecordBatch.from_arrays([*columns], [id_col, "start_word", "end_word", "partner_id", "partner_start"])
 
     cols = ["a_id", "b_id", "shift", "a_base", "a_words", "b_base", "b_words"]
     return both_sides(source, asked).select(*cols).mapInArrow(extend, f"`{id_col}` {kind}, start_word int, end_word int, partner_id {kind}, partner_start int")

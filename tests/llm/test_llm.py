@@ -192,11 +192,9 @@ def test_suffix_dedup(docs, empty, rows):
 
     cover = defaultdict(set)
     for r in repeated_passages(docs).collect():
+        assert r.end_word - r.start_word >= 50
         cover[r.doc_id].update(range(r.start_word, r.end_word))
-        cover[r.partner_id].update(range(r.partner_start, r.partner_start + r.end_word - r.start_word))
-    want = repeated_words(rows)
-    assert set(cover) == set(want)
-    assert all(cover[d] <= want[d] and len(cover[d]) > 0.9 * len(want[d]) for d in want)
+    assert cover == repeated_words(rows)
     assert repeated_passages(empty).count() == 0
 
 

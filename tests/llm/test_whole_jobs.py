@@ -74,7 +74,7 @@ def test_op7_short_chains_beside_another_source(spark):
     from artisieve.llm.common import word_hashes
 
     k, window = 8, 16
-    picked = lambda w: set(seeds(word_hashes(pa.array([" ".join(w)]))[0], k, window)[0].tolist())
+    picked = lambda w: set(seeds(*word_hashes(pa.array([" ".join(w)])), k, window)[0].tolist())
     fresh = lambda name, n, i: [f"{name}{i}x{j}" for j in range(n)]
     for i in range(5000):  # a and c share two phrases 18 to 37 words apart, b and c all 55 words
         p = fresh("p", 55, i)
