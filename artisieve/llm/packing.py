@@ -12,8 +12,10 @@
 
 from __future__ import annotations
 
+import json
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,68 +26,88 @@ from pyspark.sql import functions as F
 from artisieve.llm.common import slices, staged
 
 
+class Remembered(dict):
+    """key -> ``make(key)``. Of 2 x ``bound`` keys at most, those that are used again outlive the others."""
+
+    def __init__(self, make: Callable[[bytes], bytes], bound: int):
+        self.make, self.bound, self.old = make, bound, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        if len(self) >= self.bound:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(key)
+        found = self[key] = self.make(key) if found is None else found
+        return found
+
+
+# The parts of a tokenizer file by which words can be encoded alone, each pre-token by the model.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+
+_own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: Byte-level vocabularies write these bytes as the letters of their own numbers, all others, in order, as 256 and on.
+BYTE_LETTERS = dict(zip([*_own, *(b for b in range(256) if b not in _own)], [*_own, *range(256, 512 - len(_own))], strict=True))
+
+
+def splits_words(spec: dict) -> bool:
+    """Whether a tokenizer file lower-cases, splits and joins as ``WordIds`` does, and has special tokens in <> only."""
+    steps = lambda part, key: (spec.get(part) or {}).get(key)
+    model = spec["model"]
+    return (
+        steps("normalizer", "normalizers") == NORMALIZER
+        and steps("pre_tokenizer", "pretokenizers") == PRE_TOKENIZER
+        and all(t["content"].startswith("<") and t["content"].endswith(">") and " " not in t["content"] and not t["lstrip"] and not t["rstrip"] for t in spec["added_tokens"])
+        and (model["type"], model.get("dropout"), model.get("ignore_merges")) == ("BPE", None, False)
+    )
+
+
 class WordIds:
-    """whitespace-delimited word (UTF-8) -> its token ids, as little-endian 32-bit bytes.
+    """Token ids of texts, as little-endian 32-bit bytes.
 
-    The tokenizer's pre-tokens never span white space, so words are encoded alone. Plain Latin-1 words
-    are cut by the tokenizer's own split pattern, and the library sees each new pre-token once, many in a
-    call; the end-of-word mark of a pre-token's last token tells its ids from the next one's.
+    Where the tokenizer file splits texts at white space and words by a known pattern, words are encoded once each:
+    plain Latin-1 words are cut by the pattern and their pre-tokens go to the library's model, other words to the library. With any other tokenizer file whole texts go to the library.
     """
 
-    def __init__(self, tokenizer_path: str, bound: int = 500_000):
+    def __init__(self, tokenizer_path: str, bound: int = 300_000):
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.bound = Tokenizer.from_file(tokenizer_path), bound
-        # Fixed value: the split pattern of the tokenizer file.
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.plain = regex.compile(r"[\x21-\x3b\x3d-\x7e\xa1-\xff]+")
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
+        with open(tokenizer_path, encoding="utf-8") as f:
+            self.by_word = splits_words(json.load(f))
+        self.pattern = regex.compile(SPLIT)
+        self.plain = regex.compile(r"[\x21-\x3b\x3d-\x7e\xa1-\xff]+")  # no <, with which special tokens begin
+        self.marks = frozenset(b".,;:!?)]}\"")
+        self.parts, self.words = Remembered(self._part, bound), Remembered(self._word, bound)
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 1000):
-            some = parts[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some) and stops[-1] == len(ids):
-                raw, start = ids.tobytes(), 0
-                for part, stop in zip(some, (stops * 4).tolist(), strict=True):
-                    self.parts[part] = raw[start:stop]
-                    start = stop
-            else:
-                self.parts.update((part, self._ids(part)) for part in some)
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Makes all words of the texts known; what an earlier batch taught may be forgotten for them."""
-        missing = set().union(*(set(words).difference(self.words) for words in texts))
-        if len(self.words) + len(missing) > self.bound:
-            self.words.clear()
-            missing = set().union(*texts)
-        if len(self.parts) > 2 * self.bound:
-            self.parts.clear()
-        split = {}
-        for word in missing:
-            text = word.decode("utf-8")
-            if self.plain.fullmatch(text):
-                split[word] = self.pattern.findall(text.lower())
-            else:
-                self.words[word] = self._ids(text)
-        self._learn_parts(list({part for found in split.values() for part in found}.difference(self.parts)))
-        for word, found in split.items():
-            self.words[word] = b"".join([self.parts[part] for part in found])
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _part(self, part: bytes) -> bytes:
+        text = part.decode("ascii") if part.isascii() else part.decode("latin-1").translate(BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: bytes) -> bytes:
+        if word.isalpha():
+            return self.parts[word.lower()]
+        if word[-1] in self.marks and word[:-1].isalpha():
+            return self.parts[word[:-1].lower()] + self.parts[word[-1:]]
+        text = word.decode("utf-8")
+        if not self.plain.fullmatch(text):
+            return self._ids(text)
+        return b"".join([self.parts[part.encode("utf-8")] for part in self.pattern.findall(text.lower())])
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
-        words = [t.encode("utf-8").split() if t else [] for t in texts]
-        self.learn(words)
-        stop = np.array([end], "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, w)) + stop, "<u4") for w in words]
+        stop, word = struct.pack("<I", end), self.words.__getitem__
+        if self.by_word:
+            return [np.frombuffer(b"".join(map(word, t.encode("utf-8").split())) + stop if t else stop, "<u4") for t in texts]
+        return [np.frombuffer((self._ids(t) if t else b"") + stop, "<u4") for t in texts]
 
 
 _words: dict[str, WordIds] = {}
@@ -161,7 +183,7 @@ def nnls_counts(combos: list[dict[int, int]], histogram: np.ndarray, rounds: int
 
 
 def _crc(ids: np.ndarray) -> int:
-    return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
+    return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, window: int, end: int, id_col: str, text_col: str) -> DataFrame:
