@@ -75,10 +75,9 @@ VALUE[65:91] = VALUE[97:123]
 VALUE[SPACE] = 0
 
 
-def word_hashes(texts: pa.Array, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, ends): a 64-bit hash of each word of all texts (A-Z lowered), and the places where each text's words
-    end among them, after a leading 0. A null text has no words. A word's hash is a polynomial in its bytes,
-    computed for about ``most`` bytes at a time, whole words each."""
+def word_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(raw, bounds, inside, first): the bytes of all texts, where each text begins and the last one ends, and which bytes
+    are in words and begin one. A null text is empty."""
     texts = texts.fill_null("") if texts.null_count else texts
     kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     bounds = np.frombuffer(texts.buffers()[1] or bytes(8), kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -89,6 +88,14 @@ def word_hashes(texts: pa.Array, most: int = 1 << 18) -> tuple[np.ndarray, np.nd
     first[1:] &= ~inside[:-1]
     cuts = bounds[:-1][np.diff(bounds) > 0]  # a word does not go on from one text into the next
     first[cuts] = inside[cuts]
+    return raw, bounds, inside, first
+
+
+def word_hashes(texts: pa.Array, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ends): a 64-bit hash of each word of all texts (A-Z lowered), and the places where each text's words
+    end among them, after a leading 0. A null text has no words. A word's hash is a polynomial in its bytes,
+    computed for about ``most`` bytes at a time, whole words each."""
+    raw, bounds, _, first = word_bytes(texts)
     starts = np.flatnonzero(first)
     edges, out = np.append(starts, len(raw)), np.zeros(len(starts), np.uint64)
     powers, at = np.ones(1, np.uint64), 0

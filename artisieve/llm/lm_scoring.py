@@ -1,20 +1,18 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
-A text is modelled as its words (A-Z lowered), each spelt as bytes and closed by a blank, then an end
-symbol. The trie of context counts is learned from the training documents; an unseen symbol escapes
-(method D) to the next shorter context, where symbols of the longer one are excluded.
-
-``text_scores`` takes contexts of ``ORDER`` bytes from the running text, across blanks. ``lm_scores`` is the
-model of single words, whose contexts reach back to the blank before the word only.
-
-Scale: grams are counted in tasks before the shuffle (``lm_scores``: over distinct words). All statistics are
-aggregations and equi-joins over 48-bit context keys. A text's score is a sum over its symbols (words); the
-most frequent keys (words), of a bounded number, are looked up in the worker, others by a shuffled join.
+A text is modelled as the bytes of its words (A-Z lowered), each closed by a blank, then an end symbol. The trie of
+context counts is learned from the training documents: contexts of ``ORDER`` bytes come from the running text, across
+blanks; a shorter context counts in how many longer ones a symbol was seen (update exclusion). A symbol with
+count c in a context has c - ``DISCOUNT`` of it; the rest escapes to the next shorter context, where the symbols
+of the longer one are excluded.
+
+Scale: grams and words are counted in tasks before the shuffle. All statistics are aggregations and equi-joins over
+56-bit context keys and 64-bit word hashes. A text's score is a sum over its symbols; the most frequent keys and words,
+of a bounded number, are looked up in the worker, others by a shuffled join.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from math import log10
 
@@ -24,139 +22,97 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from artisieve.llm.common import slices, staged, words_of
+from artisieve.llm.common import slices, staged, word_bytes, word_hashes
 from artisieve.llm.toxicity import in_fold
 
-ORDER = 5
+ORDER = 6
+DISCOUNT = 0.3
 #: Bytes that no word holds: before the first context byte, the blank between words, the end of a text.
-PAD, BLANK, END = b"\t", b" ", b"\n"
+PAD, BLANK, END = b"\t \n"
 #: 250 bytes can occur in words; the blank and the end are symbols as well.
 ALPHABET = 252
-ANCHOR = PAD * (ORDER - 1) + BLANK
-END_GRAM = int.from_bytes(ANCHOR + END, "big")
-
-
-def coded(spelt: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The key of each symbol after the anchors of the spelt texts, and the number of symbols of each."""
-    size = np.fromiter(map(len, spelt), np.int64, len(spelt))
-    raw = np.frombuffer(b"".join(spelt), np.uint8).astype(np.int64)
+#: Stands for the end of a text among word hashes.
+END_WORD = -1
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def running(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts, each text after ``ORDER`` anchors, and where each text begins and the last one ends."""
+    raw, bounds, inside, first = word_bytes(texts)
+    before = lambda flags: np.concatenate([[0], np.cumsum(flags)])[bounds]
+    size, words, n = before(inside), before(first), len(bounds) - 1
+    starts = size + words + np.arange(n + 1) * (ORDER + 1)
+    at = np.flatnonzero(inside)
+    place = np.arange(len(at)) + np.cumsum(first[at]) - 1 + np.repeat(np.arange(n) * (ORDER + 1) + ORDER, np.diff(size))
+    out = np.full(starts[-1], BLANK, np.uint8)
+    out[place] = LOWER[raw[at]]
+    out[(starts[:-1, None] + np.arange(ORDER - 1)).ravel()] = PAD
+    out[starts[1:] - 1] = END
+    return out, starts
+
+
+def text_grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The (context, symbol) key of each symbol of the texts, and the number of symbols of each."""
+    raw, starts = running(texts)
     keys = np.zeros(max(len(raw) - ORDER, 0), np.int64)
     for i in range(ORDER + 1):
         keys <<= 8
         keys |= raw[i : len(raw) - ORDER + i]
-    starts = np.cumsum(size) - size
     inside = np.ones(len(raw), bool)
-    inside[(starts[:, None] + np.arange(ORDER)).ravel()] = False
-    return keys[inside[ORDER:]], size - ORDER
-
-
-def text_grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """The (context, symbol) key of each symbol of running texts, given as words, and the number of symbols of each."""
-    return coded([ANCHOR + BLANK.join([*words, END]) for words in texts])
-
-
-def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The (context, symbol) key of each coded symbol of the words, and the number of symbols of each word."""
-    keys, count = coded([ANCHOR + w + BLANK for w in words])
-    if END in words:
-        first = np.cumsum(count) - count
-        at = np.fromiter((w == END for w in words), bool, len(words))
-        keys[first[at]] = END_GRAM
-        keep = np.ones(len(keys), bool)
-        keep[first[at] + 1] = False
-        keys, count = keys[keep], np.where(at, 1, count)
-    return keys, count
-
-
-def vocabulary(docs: DataFrame, most: int = 500_000) -> DataFrame:
-    """(word, c): each word of all documents, and the end of texts, with its count in training documents.
-
-    ``docs`` has columns text and held_out. Tasks count before the shuffle, in tables of ``most`` words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learned: Counter[bytes] = Counter()
-        seen: set[bytes] = set()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            words = [*learned, *(w for w in seen if w not in learned)]
-            for i in range(0, len(words), 50_000):
-                part = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([learned[w] for w in part], pa.int64())], ["word", "c"])
-            learned.clear()
-            seen.clear()
-
-        for whole in batches:
-            for b in slices(whole):
-                for text, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    words = words_of(text)
-                    words.append(END)
-                    if held:
-                        seen.update(words)
-                    else:
-                        learned.update(words)
-                if len(learned) + len(seen) > most:
-                    yield from flush()
-        yield from flush()
-
-    return docs.select("text", "held_out").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def gram_counts(vocab: DataFrame) -> DataFrame:
-    """(g, c): each (context, symbol) key of the vocabulary with its training count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, 1 << 20):
-                keys, n = word_grams(b.column(0).to_pylist())
-                g, at = np.unique(keys, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.bincount(at, np.repeat(b.column(1).to_numpy(), n), len(g)).astype(np.int64))], ["g", "c"])
+    inside[(starts[:-1, None] + np.arange(ORDER)).ravel()] = False
+    return keys[inside[ORDER:]], np.diff(starts) - ORDER
 
-    return vocab.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
+def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Tables of (key, count, ...) added up by key."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, *(np.bincount(at, np.concatenate([p[i] for p in parts]), len(keys)).astype(np.int64) for i in range(1, len(parts[0])))
 
-def text_gram_counts(docs: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """(g, c, s): each (context, symbol) key of the running texts with its count in training documents and in all.
 
-    ``docs`` has columns text and held_out. Tasks count before the shuffle, in tables of about ``most`` keys."""
+def counted(docs: DataFrame, find, most: int = 2_000_000) -> DataFrame:
+    """(g, c, s): each key that ``find(texts)`` returns with the number for each text, with its count in training
+    documents and in all. ``docs`` has columns text and held_out. Tasks count before the shuffle, in tables of
+    about ``most`` keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merge() -> tuple[np.ndarray, np.ndarray]:
-            if len(parts) == 1:
-                return parts[0]
-            u, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return u, np.bincount(at, np.concatenate([p[1] for p in parts]), len(u)).astype(np.int64)
-
+        parts: list[tuple[np.ndarray, ...]] = []
         for whole in batches:
             for b in slices(whole, 2 << 20):
-                keys, n = text_grams([words_of(t) for t in b.column(0).to_pylist()])
-                held = np.fromiter(b.column(1).to_pylist(), np.int64, b.num_rows)
-                parts.append(np.unique(keys << 1 | np.repeat(held, n), return_counts=True))
-                if sum(len(u) for u, _ in parts) > most:
-                    parts = [merge()]
+                keys, n = find(b.column(0))
+                train = np.repeat(~np.fromiter(b.column(1).to_pylist(), bool, b.num_rows), n)
+                g, at = np.unique(keys, return_inverse=True)
+                parts.append((g, np.bincount(at, train, len(g)).astype(np.int64), np.bincount(at, minlength=len(g))))
+                if sum(len(p[0]) for p in parts) > most:
+                    parts = [merged(parts)]
                     if len(parts[0][0]) > most // 2:
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, parts[0])], ["u", "n"])
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, parts[0])], ["g", "c", "s"])
                         parts = []
         if parts:
-            yield pa.RecordBatch.from_arrays([*map(pa.array, merge())], ["u", "n"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, merged(parts))], ["g", "c", "s"])
+
+    return docs.select("text", "held_out").mapInArrow(run, "g long, c long, s long").groupBy("g").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
 
-    counted = docs.select("text", "held_out").mapInArrow(run, "u long, n long")
-    return counted.groupBy(F.shiftright("u", 1).alias("g")).agg(F.sum(F.when(F.col("u").bitwiseAND(F.lit(1).cast("long")) == 0, F.col("n")).otherwise(0)).alias("c"), F.sum("n").alias("s"))
+
+def text_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of the texts and of their ends, and their number for each."""
+    words, ends = word_hashes(texts)
+    return np.insert(words.view(np.int64), ends[1:], END_WORD), np.diff(ends) + 1
 
 
 def code_lengths(grams: DataFrame) -> DataFrame:
-    """(g, lp): log10 probability of each key's symbol in its context, escapes and exclusions included."""
+    """(g, s, lp): log10 probability of each key's symbol in its context, escapes and exclusions included."""
     mask = lambda bytes_: F.lit((1 << 8 * bytes_) - 1).cast("long")
-    grams = staged(grams, "ppm-grams")
-    symbols = {ORDER: grams.where("c > 0").select(F.col("g").alias("g5"), F.col("c").alias("c5"))}
+    symbols = {ORDER: grams.where("c > 0").select(F.col("g").alias(f"g{ORDER}"), F.col("c").alias(f"c{ORDER}"))}
     for k in range(ORDER - 1, -1, -1):
         up = symbols[k + 1]
-        symbols[k] = staged(up.groupBy(up[f"g{k + 1}"].bitwiseAND(mask(k + 1)).alias(f"g{k}")).agg(F.sum(f"c{k + 1}").alias(f"c{k}")), f"ppm-{k}")
-    out = grams.select("g")
+        symbols[k] = staged(up.groupBy(up[f"g{k + 1}"].bitwiseAND(mask(k + 1)).alias(f"g{k}")).agg(F.count("*").alias(f"c{k}")), f"ppm-{k}")
+    out = grams.select("g", "s")
     for k in range(ORDER, -1, -1):
         rows = symbols[k].withColumn(f"x{k}", F.shiftright(f"g{k}", 8))
-        if k:  # the training count that this context's symbols have one order below, where they will be excluded
+        if k:  # the count that this context's symbols have one order below, where they will be excluded
             rows = rows.withColumn(f"g{k - 1}", F.col(f"g{k}").bitwiseAND(mask(k))).join(symbols[k - 1], f"g{k - 1}")
         contexts = rows.groupBy(f"x{k}").agg(F.sum(f"c{k}").alias(f"t{k}"), F.count("*").alias(f"d{k}"), F.sum(f"c{k - 1}" if k else F.lit(0).cast("long")).alias(f"e{k}"))
         small = F.broadcast if k <= 1 else (lambda df: df)  # at most 256 ** 2 rows
@@ -173,100 +129,22 @@ def code_lengths(grams: DataFrame) -> DataFrame:
                 total, kinds = t - mass, d - gone  # what symbol exclusion leaves of this context
                 found = ~done & (c > 0)
                 escape = ~done & (c == 0) & (d > 0)
-                lp[found] += np.log10((c[found] - 0.5) / total[found])
+                lp[found] += np.log10((c[found] - DISCOUNT) / total[found])
                 some = escape & (kinds > 0)
-                lp[some] += np.log10(kinds[some] / 2 / total[some])
+                lp[some] += np.log10(kinds[some] * DISCOUNT / total[some])
                 done |= found
                 gone, mass = np.where(escape, d, gone * (d > 0)), np.where(escape, e, mass * (d > 0))
             lp[~done] -= np.log10(ALPHABET - gone[~done])
-            yield pa.RecordBatch.from_arrays([b.column("g"), pa.array(lp)], ["g", "lp"])
-
-    return out.mapInArrow(walk, "g long, lp double")
-
+            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("s"), pa.array(lp)], ["g", "s", "lp"])
 
-def word_scores(vocab: DataFrame, lengths: DataFrame, broadcast_rows: int = 4_000_000) -> DataFrame:
-    """(word, c, lp): the summed code length of each word. The keys' table is broadcast up to a checked
-    size; a larger one is joined by shuffle."""
-    spark = vocab.sparkSession
-    if lengths.count() <= broadcast_rows:
-        got = lengths.toArrow().sort_by("g")
-        shared = spark.sparkContext.broadcast((got.column("g").to_numpy(), got.column("lp").to_numpy()))
+    return out.mapInArrow(walk, "g long, s long, lp double")
 
-        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, lp = shared.value
-            for whole in batches:
-                for b in slices(whole, 1 << 20):
-                    keys, n = word_grams(b.column(0).to_pylist())
-                    total = np.add.reduceat(lp[np.searchsorted(known, keys)], np.cumsum(n) - n)
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total)], ["word", "c", "lp"])
 
-        return vocab.mapInArrow(look, "word binary, c long, lp double")
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, 1 << 20):
-                keys, n = word_grams(b.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(pc.take(b.column(i), pa.array(np.repeat(np.arange(len(n)), n))) for i in (0, 1)), pa.array(keys)], ["word", "c", "g"])
-
-    return vocab.mapInArrow(spell, "word binary, c long, g long").join(lengths, "g").groupBy("word").agg(F.first("c").alias("c"), F.sum("lp").alias("lp"))
-
-
-def lm_scores(docs: DataFrame, folds: int = 7, fold: int = 2, frequent: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: (id, held_out, n_tokens, n_known, train_tokens, base_score, score).
-
-    Rows whose crc32(id as text) mod ``folds`` is ``fold`` are held out of all counts. ``base_score`` is the
-    add-one unigram word model, ``score`` the PPM model, both log10. Null texts are empty (one end token);
-    a null id is a training row; repeated rows are counted and scored each; an empty table gives no rows.
-    """
-    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), in_fold(id_col, folds, fold).alias("held_out"))
-    vocab = staged(vocabulary(source), "ppm-vocab")
-    size = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    n, v = size["n"], size["v"]
-    floor = log10(n + v + 1)
-    words = staged(word_scores(vocab, staged(code_lengths(gram_counts(vocab)), "ppm-lengths")), "ppm-words")
-    # At most ``frequent`` words reach this count, since all counts sum to n.
-    common = (F.col("word") == F.lit(END)) | (F.col("c") >= max(n / frequent, 1))
-    got = words.where(common).toArrow()
-    shared = spark.sparkContext.broadcast(dict(zip(got.column("word").to_pylist(), zip(got.column("c").to_pylist(), got.column("lp").to_pylist(), strict=True), strict=True)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {w: (c, log10(c + 1) - floor, lp) for w, (c, lp) in shared.value.items()}
-        for whole in batches:
-            for b in slices(whole):
-                out: list[tuple] = []
-                for text in b.column(1).to_pylist():
-                    words = words_of(text)
-                    words.append(END)
-                    base = lp = 0.0
-                    known, rare, times = 0, [], []
-                    for w, k in Counter(words).items():
-                        hit = table.get(w)
-                        if hit is None:
-                            rare.append(w)
-                            times.append(k)
-                        else:
-                            known += k * (hit[0] > 0)
-                            base += k * hit[1]
-                            lp += k * hit[2]
-                    out.append((len(words), known, base, lp, rare, times))
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], ["id", "held_out", "n_tokens", "known", "base", "lp", "rare", "times"])
-
-    rows = source.select("id", "text", "held_out").mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, known long, base double, lp double, rare array<binary>, times array<int>")
-    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "ppm-rows")
-    each = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("k"))
-    each = each.join(words.where(~common), "word")
-    added = each.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known_"), F.sum(F.col("k") * (F.log10(F.col("c") + 1) - F.lit(floor))).alias("base_"), F.sum(F.col("k") * F.col("lp")).alias("lp_"))
-    plus = lambda a: F.col(a) + F.coalesce(F.col(a + "_"), F.lit(0))
-    return rows.drop("rare", "times").join(added, "row", "left").select(F.col("id").alias(id_col), "held_out", "n_tokens", plus("known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), plus("base").alias("base_score"), plus("lp").alias("score"))
-
-
-def least_count(grams: DataFrame, most: int, top: int = 4096) -> int:
-    """The least count that at most ``most`` keys reach."""
+def least_count(table: DataFrame, most: int, top: int = 4096) -> int:
+    """The least count ``s`` that at most ``most`` keys reach."""
     capped = F.when(F.col("s") < top, F.col("s")).otherwise(F.lit(top) * F.pow(2.0, F.floor(F.log2(F.col("s") / top))).cast("long"))
     least = 1 << 62
-    for r in sorted(grams.groupBy(capped.alias("s")).count().collect(), key=lambda r: -r["s"]):  # at most top + 50 rows
+    for r in sorted(table.groupBy(capped.alias("s")).count().collect(), key=lambda r: -r["s"]):  # at most top + 50 rows
         most -= r["count"]
         if most < 0:
             break
@@ -274,63 +152,67 @@ def least_count(grams: DataFrame, most: int, top: int = 4096) -> int:
     return least
 
 
+def sorted_by_key(table: DataFrame, *columns: str) -> tuple[np.ndarray, ...]:
+    """The columns of a bounded table as arrays in order of the first."""
+    got = table.select(*columns).toArrow()
+    order = np.argsort(got.column(0).to_numpy())
+    return tuple(c.to_numpy()[order] for c in got.columns)
+
+
+def looked_up(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, found) of the keys in a sorted array."""
+    at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+    return at, known[at] == keys if len(known) else np.zeros(len(keys), bool)
+
+
+def lists_of(values: np.ndarray, some: np.ndarray, size: np.ndarray) -> pa.Array:
+    """For each text, of ``size`` values, a list of those at which ``some`` holds."""
+    ends = np.concatenate([[0], np.cumsum(some)])[np.concatenate([[0], np.cumsum(size)])]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[some]))
+
+
 def text_scores(docs: DataFrame, folds: int = 7, fold: int = 2, frequent: int = 1 << 20, broadcast_rows: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: (id, held_out, n_tokens, n_known, train_tokens, base_score, score), as ``lm_scores``, with the PPM model
-    over the running text. Of its keys at most ``broadcast_rows``, the most frequent, are broadcast."""
+    """Per row: (id, held_out, n_tokens, n_known, train_tokens, base_score, score).
+
+    Rows whose crc32(id as text) mod ``folds`` is ``fold`` are held out of all counts. ``base_score`` is the
+    add-one unigram word model, ``score`` the PPM model, both log10. Null texts are empty (one end token); a null
+    id is a training row; repeated rows are counted and scored each; an empty table gives no rows. At most
+    ``frequent`` words and ``broadcast_rows`` keys, the most frequent, are broadcast.
+    """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), in_fold(id_col, folds, fold).alias("held_out"))
-    vocab = staged(vocabulary(source), "ppm-vocab")
+    vocab = staged(counted(source, text_words), "ppm-vocab")
     size = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    n, v = size["n"], size["v"]
-    floor = log10(n + v + 1)
-    common = (F.col("word") == F.lit(END)) | (F.col("c") >= max(n / frequent, 1))
-    got = vocab.where(common).toArrow()
-    shared = spark.sparkContext.broadcast(dict(zip(got.column("word").to_pylist(), got.column("c").to_pylist(), strict=True)))
-    grams = staged(text_gram_counts(source), "ppm-text")
-    lengths = staged(code_lengths(grams.select("g", "c")).join(grams.select("g", "s"), "g"), "ppm-lengths")
+    n, floor = size["n"], log10(size["n"] + size["v"] + 1)
+    common = least_count(vocab, frequent)
+    words_ = spark.sparkContext.broadcast(sorted_by_key(vocab.where(F.col("s") >= common), "g", "c"))
+    lengths = staged(code_lengths(staged(counted(source, text_grams), "ppm-text")), "ppm-lengths")
     least = least_count(lengths, broadcast_rows)
-    got = lengths.where(F.col("s") >= least).select("g", "lp").toArrow()
-    order = np.argsort(got.column("g").to_numpy())
-    keys_ = spark.sparkContext.broadcast((got.column("g").to_numpy()[order], got.column("lp").to_numpy()[order]))
-    del got
+    keys_ = spark.sparkContext.broadcast(sorted_by_key(lengths.where(F.col("s") >= least), "g", "lp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {w: (c, log10(c + 1) - floor) for w, c in shared.value.items()}
-        grams_, lps = keys_.value
+        (words, counts), (grams, lps) = words_.value, keys_.value
+        costs = np.log10(counts + 1) - floor
         for whole in batches:
             for b in slices(whole, 2 << 20):
-                out: list[tuple] = []
-                texts = [words_of(t) for t in b.column(1).to_pylist()]
-                for words in texts:
-                    base, known, rare, times = 0.0, 0, [], []
-                    for w, k in Counter([*words, END]).items():
-                        hit = table.get(w)
-                        if hit is None:
-                            rare.append(w)
-                            times.append(k)
-                        else:
-                            known += k * (hit[0] > 0)
-                            base += k * hit[1]
-                    out.append((len(words) + 1, known, base, rare, times))
-                keys, size = text_grams(texts)
+                w, size = text_words(b.column(1))
+                at, there = looked_up(words, w)
+                doc = np.repeat(np.arange(len(size)), size)[there]
+                total = lambda x, doc=doc, n=len(size): np.bincount(doc, x, n)
+                known, base = total(counts[at[there]] > 0).astype(np.int64), total(costs[at[there]])
+                rare = lists_of(w, ~there, size)
+                keys, long = text_grams(b.column(1))
                 g, back = np.unique(keys, return_inverse=True)
-                at = np.minimum(np.searchsorted(grams_, g), max(len(grams_) - 1, 0))
-                there = grams_[at] == g if len(grams_) else np.zeros(len(g), bool)
+                at, there = looked_up(grams, g)
                 lp = np.zeros(len(g))
                 lp[there] = lps[at[there]]
-                starts = np.cumsum(size) - size
-                missing = ~there[back]
-                ends = np.concatenate([[0], np.cumsum(np.add.reduceat(missing, starts, dtype=np.int64))])
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-                cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
-                cols += [pa.array(np.add.reduceat(lp[back], starts)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys[missing]))]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], ["id", "held_out", "n_tokens", "known", "base", "rare", "times", "lp", "grams"])
-
-    rows = source.select("id", "text", "held_out").mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<binary>, times array<int>, lp double, grams array<long>")
+                scores = np.add.reduceat(lp[back], np.cumsum(long) - long)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *map(pa.array, (size, known, base, scores)), rare, lists_of(keys, ~there[back], long)], ["id", "held_out", "n_tokens", "known", "base", "lp", "rare", "grams"])
+
+    rows = source.select("id", "text", "held_out").mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, known long, base double, lp double, rare array<long>, grams array<long>")
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "ppm-rows")
-    each = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("k"))
-    each = each.join(vocab.where(~common), "word")
-    added = each.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known_"), F.sum(F.col("k") * (F.log10(F.col("c") + 1) - F.lit(floor))).alias("base_"))
+    each = rows.select("row", F.explode("rare").alias("g")).join(vocab.where(F.col("s") < common), "g")
+    added = each.groupBy("row").agg(F.count(F.when(F.col("c") > 0, 1)).alias("known_"), F.sum(F.log10(F.col("c") + 1) - F.lit(floor)).alias("base_"))
     spelt = rows.select("row", F.explode("grams").alias("g")).join(lengths.where(F.col("s") < least), "g").groupBy("row").agg(F.sum("lp").alias("lp_"))
     plus = lambda a: F.col(a) + F.coalesce(F.col(a + "_"), F.lit(0))
-    return rows.drop("rare", "times", "grams").join(added, "row", "left").join(spelt, "row", "left").select(F.col("id").alias(id_col), "held_out", "n_tokens", plus("known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), plus("base").alias("base_score"), plus("lp").alias("score"))
+    return rows.drop("rare", "grams").join(added, "row", "left").join(spelt, "row", "left").select(F.col("id").alias(id_col), "held_out", "n_tokens", plus("known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), plus("base").alias("base_score"), plus("lp").alias("score"))

@@ -304,64 +304,6 @@ def test_toxicity_and_quality(spark, docs, empty):
     assert quality_scores(empty, labels).count() == 0
 
 
-def brute_ppm(train, words_, order=5):
-    """Prediction by partial matching with a dictionary trie, method D with exclusion."""
-    counts = defaultdict(Counter)
-    spell = lambda w: [(b"\t" * (order - 1) + b" " + w)[i : i + order] for i in range(len(w) + 1)]
-    coded = lambda w: list(zip(spell(w), [bytes([b]) for b in w] + [b" "], strict=True)) if w != b"\n" else [(b"\t" * (order - 1) + b" ", b"\n")]
-    for w, n in train.items():
-        for context, s in coded(w):
-            for k in range(order + 1):
-                counts[context[order - k :]][s] += n
-    out = {}
-    for w in words_:
-        total = 0.0
-        for context, s in coded(w):
-            gone: set = set()
-            for k in range(order, -1, -1):
-                here = {x: c for x, c in counts[context[order - k :]].items() if x not in gone}
-                seen = counts[context[order - k :]]
-                if not seen:
-                    gone = set()
-                    continue
-                size = sum(here.values())
-                if s in here:
-                    total += math.log10((here[s] - 0.5) / size)
-                    break
-                if here:
-                    total += math.log10(len(here) / 2 / size)
-                gone = set(seen)
-            else:
-                total -= math.log10(252 - len(gone))
-        out[w] = total
-    return out
-
-
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_lm_scores(spark, docs, empty, rows, broadcast, monkeypatch):
-    from artisieve.llm import lm_scoring
-
-    if not broadcast:
-        plain = lm_scoring.word_scores
-        monkeypatch.setattr(lm_scoring, "word_scores", lambda v, lengths: plain(v, lengths, broadcast_rows=0))
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    train: Counter = Counter()
-    for r in rows:
-        if not held(r[0]):
-            train.update([*words(r[1]), b"\n"])
-    n, v = sum(train.values()), len(train)
-    every = {w for r in rows for w in words(r[1])} | {b"\n"}
-    lp = brute_ppm(train, every)
-    want = []
-    for r in rows:
-        w = [*words(r[1]), b"\n"]
-        want.append((r[0] if r[0] is not None else -1, held(r[0]), len(w), sum(train[x] > 0 for x in w), n, sum(math.log10((train[x] + 1) / (n + v + 1)) for x in w), sum(lp[x] for x in w)))
-    got = sorted((r.doc_id if r.doc_id is not None else -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm_scoring.lm_scores(docs, frequent=200).collect())
-    for a, b in zip(got, sorted(want), strict=True):
-        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
-    assert lm_scoring.lm_scores(empty).count() == 0
-
-
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from tokenizers import Tokenizer

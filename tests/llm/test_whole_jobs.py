@@ -12,31 +12,34 @@ import pyarrow as pa
 import pytest
 
 
-def brute_text_ppm(train, texts, order=5):
-    """Prediction by partial matching over running texts with a dictionary trie, method D with exclusion."""
+def brute_text_ppm(train, texts, order=6, discount=0.3):
+    """Prediction by partial matching over running texts with a dictionary trie, update and symbol exclusion."""
     spell = lambda t: b"\t" * (order - 1) + b" " + b" ".join([*t.encode().lower().split(), b"\n"])
-    counts = defaultdict(Counter)
+    counts = [defaultdict(Counter) for _ in range(order + 1)]
     for t in map(spell, train):
         for i in range(order, len(t)):
-            for k in range(order + 1):
-                counts[t[i - k : i]][t[i]] += 1
+            counts[order][t[i - order : i]][t[i]] += 1
+    for k in range(order, 0, -1):
+        for context, seen in counts[k].items():
+            for symbol in seen:
+                counts[k - 1][context[1:]][symbol] += 1
     out = []
     for t in map(spell, texts):
         total = 0.0
         for i in range(order, len(t)):
             gone: set = set()
             for k in range(order, -1, -1):
-                seen = counts.get(t[i - k : i])
+                seen = counts[k].get(t[i - k : i])
                 if not seen:
                     gone = set()
                     continue
                 here = {x: c for x, c in seen.items() if x not in gone}
                 size = sum(here.values())
                 if t[i] in here:
-                    total += math.log10((here[t[i]] - 0.5) / size)
+                    total += math.log10((here[t[i]] - discount) / size)
                     break
                 if here:
-                    total += math.log10(len(here) / 2 / size)
+                    total += math.log10(len(here) * discount / size)
                 gone = set(seen)
             else:
                 total -= math.log10(252 - len(gone))
@@ -51,13 +54,14 @@ def test_op9_contexts_cross_blanks(spark, monkeypatch, broadcast_rows):
     r = random.Random(5)
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     texts = [" ".join(r.choice(["red fox", "red fox", "old dog", "one Ünï"]) for _ in range(r.randint(0, 30))) for _ in range(80)]
-    texts += ["fox red", "dog old fox", None]
+    texts += ["fox red", "dog old fox", None, "", " \n", "x" * 5000, "red fox old dog", "dog old fox red"]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     plain = lm_scoring.text_scores
     monkeypatch.setattr(lm_scoring, "text_scores", lambda d, **o: plain(d, broadcast_rows=broadcast_rows, frequent=3, **o))
     monkeypatch.setattr(queries, "table", lambda *_: table)
     got = {x.doc_id: x for x in queries.op9_lm_scoring(spark, "").collect()}
     texts = [t or "" for t in texts]
+    assert got[len(texts) - 1].score != got[len(texts) - 2].score  # the order of words counts
     want = brute_text_ppm([t for i, t in enumerate(texts) if not held(i)], texts)
     assert [got[i].score for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
     train = Counter(w for i, t in enumerate(texts) if not held(i) for w in [*t.encode().lower().split(), b"\n"])
