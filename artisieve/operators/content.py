@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from artisieve.operators.rules import checked_rules, matches, scoped
+from artisieve.operators.rules import SCAN, checked_rules, matches, ranked_by_type, scan_body
 
 UUENCODE = r"(?m)^begin [0-7]{3,4} [^\r\n]+\r?\n[\x20-\x60]{10,}"
 YENC = r"(?im)^=ybegin [^\r\n]*"
@@ -22,33 +22,39 @@ def binary_code(body: Column, kind: Column, allow_uuencode: bool = False, allow_
     return F.when(uu & F.lit(not allow_uuencode), F.when(kind == "binary", 102).otherwise(52)).when(yenc & F.lit(not allow_yenc), F.when(kind == "binary", 102).otherwise(62)).otherwise(0)
 
 
-def badword_hits(articles: DataFrame, rules: DataFrame, cap: int = 2000) -> DataFrame:
-    """(article_id, ord, rule_id, subject_hit, body_hit, subject_score, body_score, action): word rules that an article
-    meets, in list order, cut after the first that rejects or stops. Rules past ``cap`` of the scoped ones are not tried."""
+def badword_hits(articles: DataFrame, rules: DataFrame, cap: int = 2000, scan: dict[str, int] | None = SCAN) -> DataFrame:
+    """(article_id, rank, rule_id, subject_hit, body_hit, subject_score, body_score, action, own_code, own_reason, own_response):
+    word rules that an article meets, in list order, cut after the first that rejects or stops. An article is tried with the
+    first ``cap`` rules of its type; a rule may have its own legacy_code, reason_code and response."""
     rules = checked_rules(rules)
-    for c, kind in (("targets", "array<string>"), ("subject_score", "double"), ("body_score", "double"), ("stop_on_match", "boolean")):
+    kinds = {"targets": "array<string>", "subject_score": "double", "body_score": "double", "stop_on_match": "boolean", "legacy_code": "int", "reason_code": "string", "response": "string"}
+    for c, kind in kinds.items():
         if c not in rules.columns:
             rules = rules.withColumn(c, F.lit(None).cast(kind))
-    ranked = rules.withColumn("rank", F.row_number().over(Window.orderBy("ord"))).where(F.col("rank") <= cap)
+    articles = scan_body(articles, scan)
+    ranked, own_type = ranked_by_type(rules, [F.col("ord")], cap)
     r = F.broadcast(ranked.select(*[F.col(c).alias(f"r_{c}") for c in ranked.columns]))
     wanted = lambda name: F.coalesce(F.array_contains("r_targets", name), F.lit(True))
     hit = lambda name, value: wanted(name) & matches(value, F.col("r_pattern"), F.col("r_match_type"), F.col("r_case_sensitive"))
-    found = articles.join(r, scoped(F.col("r_article_types"), F.col("article_type")) & (hit("subject", F.col("subject")) | hit("body", F.col("body"))))
+    found = articles.join(r, (own_type(F.col("article_type")) == F.col("r_type")) & (hit("subject", F.col("subject")) | hit("body", F.col("body"))))
     found = found.select(
         "article_id", F.col("r_rank").alias("rank"), F.col("r_id").alias("rule_id"), hit("subject", F.col("subject")).alias("subject_hit"), hit("body", F.col("body")).alias("body_hit"),
         F.coalesce("r_subject_score", F.lit(0.0)).alias("subject_score"), F.coalesce("r_body_score", F.lit(0.0)).alias("body_score"), F.col("r_action").alias("action"), F.coalesce("r_stop_on_match", F.lit(False)).alias("stop"),
+        F.col("r_legacy_code").cast("int").alias("own_code"), F.col("r_reason_code").alias("own_reason"), F.col("r_response").alias("own_response"),
     )
     before = Window.partitionBy("article_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     return found.withColumn("stopped", F.coalesce(F.max((F.col("action") == "reject") | F.col("stop")).over(before), F.lit(False))).where("NOT stopped").drop("stopped")
 
 
 def badword_verdict(hits: DataFrame, max_subject: float = 0.0, max_body: float = 0.0) -> DataFrame:
-    """(article_id, subject_score, body_score, legacy_code): a rejecting rule first, then the sums over the thresholds."""
+    """(article_id, subject_score, body_score, legacy_code, rule_id, reason_code, response): a rejecting rule first, with its
+    own code, reason and response where it has them, then the sums over the thresholds."""
     part = lambda name: F.sum(F.when(F.col(f"{name}_hit"), F.col(f"{name}_score")).otherwise(0.0))
-    first = F.min_by(F.when(F.col("action") == "reject", F.when(F.col("subject_hit"), 28).otherwise(29)), F.when(F.col("action") == "reject", F.col("rank")))
-    g = hits.groupBy("article_id").agg(part("subject").alias("subject_score"), part("body").alias("body_score"), first.alias("rejecting"))
-    code = F.coalesce("rejecting", F.when(F.col("subject_score") > max_subject, 28), F.when(F.col("body_score") > max_body, 29), F.lit(0))
-    return g.select("article_id", "subject_score", "body_score", code.alias("legacy_code"))
+    rejects = F.col("action") == "reject"
+    rule = F.struct(F.coalesce("own_code", F.when(F.col("subject_hit"), 28).otherwise(29)).alias("code"), "rule_id", "own_reason", "own_response")
+    g = hits.groupBy("article_id").agg(part("subject").alias("subject_score"), part("body").alias("body_score"), F.min_by(F.when(rejects, rule), F.when(rejects, F.col("rank"))).alias("t"))
+    code = F.coalesce("t.code", F.when(F.col("subject_score") > max_subject, 28), F.when(F.col("body_score") > max_body, 29), F.lit(0))
+    return g.select("article_id", "subject_score", "body_score", code.alias("legacy_code"), F.col("t.rule_id").alias("rule_id"), F.col("t.own_reason").alias("reason_code"), F.col("t.own_response").alias("response"))
 
 
 def decoded_size(text: Column, encoding: Column) -> Column:

@@ -62,11 +62,11 @@ def applies_to(types: Column, kind: Column) -> Column:
 
 def registered_domains(hosts: DataFrame, suffixes: DataFrame, host_col: str = "host") -> DataFrame:
     """(host, domain) for each distinct host: the longest listed suffix and one label more. Addresses and single labels
-    stay; a host that is itself a suffix stays; without a match, the last two labels. Suffixes are few and broadcast."""
+    stay; a host that is itself a suffix stays; without a match, the last two labels."""
     h = hosts.select(F.lower(host_col).alias("host")).where("host IS NOT NULL AND host <> ''").distinct()
     labels = F.split("host", "[.]")
     tails = h.select("host", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("pos", "suffix"))
-    longest = tails.join(F.broadcast(suffixes.select("suffix").distinct()), "suffix").groupBy("host").agg(F.min("pos").alias("pos"))
+    longest = tails.join(suffixes.select("suffix").distinct(), "suffix").groupBy("host").agg(F.min("pos").alias("pos"))
     tail = lambda n: F.array_join(F.slice(labels, F.greatest(n, F.lit(1)), F.size(labels)), ".")
     is_ip = F.col("host").rlike(r"^\d+(\.\d+){3}$") | F.col("host").contains(":")
     domain = F.when(is_ip | (F.size(labels) == 1), F.col("host")).when(F.col("pos").isNotNull(), tail(F.col("pos"))).otherwise(tail(F.size(labels) - 1))

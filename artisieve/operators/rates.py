@@ -88,7 +88,7 @@ def rate_violations(snapshot: DataFrame, limits: dict[str, dict[str, int]] | Dat
     article, no error, its own size, groups and follow-ups.
     """
     if isinstance(limits, DataFrame):
-        rows = snapshot.join(F.broadcast(limits), ["kind", "lookup"], "left")
+        rows = snapshot.join(limits, ["kind", "lookup"], "left")
         limit = lambda name: F.col("limits")[name]
     else:
         rows = snapshot

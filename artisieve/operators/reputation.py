@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from artisieve.functions import text as X
+from artisieve.operators.rules import small
 
 TIMEOUTS = ["TIMEOUT", "SERVFAIL"]
 
@@ -27,7 +28,7 @@ def lookups(keys: DataFrame, providers: DataFrame, listings: DataFrame) -> DataF
 
     ``keys``: article_id, pos, key, family (null for names). Providers are few and broadcast; listings join on
     (provider, key), distinct keys once."""
-    p = F.broadcast(providers.select(F.col("id").alias("provider"), "ord", "zone", "ip_versions", "positive_codes", "refused_codes", "action", "on_error", "on_timeout"))
+    p = small(providers).select(F.col("id").alias("provider"), "ord", "zone", "ip_versions", "positive_codes", "refused_codes", "action", "on_error", "on_timeout")
     wanted = keys.join(p, F.col("family").isNull() | F.col("ip_versions").isNull() | F.array_contains("ip_versions", F.col("family")))
     found = wanted.join(listings.select("provider", "key", "rcode", "answers").dropDuplicates(["provider", "key"]), ["provider", "key"], "left")
     status = classify(F.col("rcode"), F.col("answers"), F.col("positive_codes"), F.col("refused_codes"))
@@ -54,7 +55,7 @@ def tor_clients(articles: DataFrame, networks: DataFrame, found: DataFrame, acti
     """(article_id, tor, legacy_code): local networks first, else the list; ``reject`` gives 50, others only mark."""
     local = networks.select(X.cidr_range(F.col("network")).alias("r")).where("r IS NOT NULL")
     keyed = articles.select("article_id", X.ip_key(F.col("client_ip")).alias("k"))
-    inside = keyed.join(F.broadcast(local), F.expr("k.family = r.family AND k.key BETWEEN r.lo AND r.hi"), "left_semi").select("article_id")
+    inside = keyed.join(small(local), F.expr("k.family = r.family AND k.key BETWEEN r.lo AND r.hi"), "left_semi").select("article_id")
     listed = found.where("status = 'listed'").select("article_id")
     return inside.union(listed).distinct().select("article_id", F.lit(True).alias("tor"), F.lit(50 if action == "reject" else 0).alias("legacy_code"))
 

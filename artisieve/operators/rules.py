@@ -6,23 +6,31 @@ The first match by (priority, order) is always a ``min_by``; sequences with stop
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from artisieve.functions import text as X
 
 MAX_RULES = 100_000
+#: Characters of a body that word and ban rules read, by article type; other types are read as text.
+SCAN = {"text": 32_768, "binary": 1_048_576}
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A configuration table, broadcast after a check of its number of rows."""
+    if table.limit(MAX_RULES + 1).count() > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rows of configuration")
+    return F.broadcast(table)
 
 
 def checked_rules(rules: DataFrame) -> DataFrame:
     """Enabled rules with defaults (id, ord, priority, match_type...), broadcast after a check of their number."""
-    n = rules.limit(MAX_RULES + 1).count()
-    if n > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     defaults = {"ord": F.lit(0), "priority": F.lit(0), "enabled": F.lit(True), "match_type": F.lit("regex"), "case_sensitive": F.lit(False), "article_types": F.lit(None).cast("array<string>"), "score": F.lit(None).cast("double"), "name": F.lit(None).cast("string"), "action": F.lit("reject")}
     for name, value in defaults.items():
         rules = rules.withColumn(name, F.coalesce(F.col(name), value) if name in rules.columns else value)
-    return F.broadcast(rules.where("enabled"))
+    return small(rules.where("enabled"))
 
 
 def valid_rules(rules: DataFrame, column: str = "pattern") -> DataFrame:
@@ -51,11 +59,29 @@ def scoped(types: Column, kind: Column) -> Column:
     return types.isNull() | (F.size(types) == 0) | F.array_contains(types, kind)
 
 
+def scan_body(articles: DataFrame, limits: dict[str, int] | None) -> DataFrame:
+    """``articles`` with the body cut to what its type allows; no limit, or one of 0, leaves it whole."""
+    if not limits or "article_type" not in articles.columns:
+        return articles
+    most = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("article_type")), F.lit(limits.get("text", 0)))
+    return articles.withColumn("body", F.when(most > 0, F.substring(F.col("body"), F.lit(1), most)).otherwise(F.col("body")))
+
+
+def ranked_by_type(rules: DataFrame, order: list[Column], cap: int) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """The rules that an article type is tried with, as (type, rank, ...), at most ``cap`` each; and the type under which an
+    article finds its own. Types that no rule names share ``*``."""
+    named = [r[0] for r in rules.select(F.explode("article_types")).distinct().orderBy("col").collect()]  # configuration
+    every = F.array(*map(F.lit, [*named, "*"]))
+    each = rules.withColumn("type", F.explode(F.when(F.size(F.coalesce("article_types", F.array().cast("array<string>"))) == 0, every).otherwise(F.array_distinct("article_types"))))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("type").orderBy(*order))).where(F.col("rank") <= cap)
+    return ranked, lambda kind: F.when(kind.isin(named), kind).otherwise("*")
+
+
 def cidr_matches(addresses: DataFrame, networks: DataFrame, ip_col: str = "client_ip") -> DataFrame:
     """(ip, network) for each distinct address and each network that holds it: a range join on ordered address text."""
     ips = addresses.select(F.col(ip_col).alias("ip")).distinct().withColumn("k", X.ip_key(F.col("ip"))).where("k IS NOT NULL")
     nets = networks.select("network").distinct().withColumn("r", X.cidr_range(F.col("network"))).where("r IS NOT NULL")
-    return ips.join(F.broadcast(nets), F.expr("k.family = r.family AND k.key BETWEEN r.lo AND r.hi")).select("ip", "network")
+    return ips.join(small(nets), F.expr("k.family = r.family AND k.key BETWEEN r.lo AND r.hi")).select("ip", "network")
 
 
 def in_networks(ip: Column, networks: list[str]) -> Column:
@@ -89,36 +115,40 @@ def with_targets(articles: DataFrame) -> DataFrame:
     return articles
 
 
-def ban_hits(articles: DataFrame, rules: DataFrame, cap: int = 2000) -> DataFrame:
-    """(article_id, ord, rule_id, action, name, value, header_name): matching rules in order, cut after the first that
-    rejects or drops. ``rules``: id, ord, priority, target, match_type, pattern, action, and optionally
-    header_name_pattern / header_value_pattern, include_groups / exclude_groups, exclude_profiles, article_types."""
+def ban_hits(articles: DataFrame, rules: DataFrame, cap: int = 2000, scan: dict[str, int] | None = SCAN) -> DataFrame:
+    """(article_id, rank, rule_id, target, action, score_name, score, value, header_name, own_code, own_reason, own_response):
+    matching rules in order, cut after the first that rejects or drops. An article is tried with the first ``cap`` rules of its
+    type. ``rules``: id, ord, priority, target, match_type, pattern, action, and optionally header_name_pattern /
+    header_value_pattern, include_groups / exclude_groups, exclude_profiles, article_types, and the rule's own legacy_code,
+    reason_code and response."""
     rules = checked_rules(rules)
-    for c in ("header_name_pattern", "header_value_pattern", "include_groups", "exclude_groups", "value", "score_name"):
+    for c in ("header_name_pattern", "header_value_pattern", "include_groups", "exclude_groups", "value", "score_name", "reason_code", "response"):
         if c not in rules.columns:
             rules = rules.withColumn(c, F.lit(None).cast("string"))
-    if "exclude_profiles" not in rules.columns:
-        rules = rules.withColumn("exclude_profiles", F.lit(None).cast("array<string>"))
-    ranked = rules.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("priority"), "ord"))).where(F.col("rank") <= cap)
+    for c, kind in (("exclude_profiles", "array<string>"), ("legacy_code", "int")):
+        if c not in rules.columns:
+            rules = rules.withColumn(c, F.lit(None).cast(kind))
+    ranked, own_type = ranked_by_type(rules, [F.desc("priority"), F.col("ord")], cap)
     rules = F.broadcast(ranked.select(*[F.col(c).alias(f"r_{c}") for c in ranked.columns]))
-    a = with_targets(articles)
+    a = scan_body(with_targets(articles), scan)
     r = lambda c: F.col(f"r_{c}")
     excluded = F.coalesce(F.array_contains(r("exclude_profiles"), F.col("profile")), F.lit(False))
     grouped = lambda c: F.rlike("newsgroups", F.concat(F.lit("(?i)"), r(c)))
-    scope = scoped(r("article_types"), F.col("article_type")) & ~excluded & F.coalesce(grouped("include_groups"), F.lit(True)) & ~F.coalesce(grouped("exclude_groups"), F.lit(False))
+    scope = (own_type(F.col("article_type")) == r("type")) & ~excluded & F.coalesce(grouped("include_groups"), F.lit(True)) & ~F.coalesce(grouped("exclude_groups"), F.lit(False))
     header = F.array_min(F.map_keys(F.map_filter("headers", lambda k, v: F.rlike(k, F.concat(F.lit("(?i)"), r("header_name_pattern"))) & F.rlike(v, F.concat(F.lit("(?i)"), r("header_value_pattern"))))))
     by_ip = F.coalesce((X.ip_key(F.col("client_ip"))["family"] == X.cidr_range(r("pattern"))["family"]) & X.ip_key(F.col("client_ip"))["key"].between(X.cidr_range(r("pattern"))["lo"], X.cidr_range(r("pattern"))["hi"]), F.lit(False))
     hit = F.when(r("target") == "any.header", header.isNotNull()).when(r("match_type") == "cidr", by_ip).otherwise(matches(target_value(r("target")), r("pattern"), r("match_type"), r("case_sensitive")))
-    found = a.join(rules, scope & hit).select("article_id", r("rank").alias("rank"), r("id").alias("rule_id"), r("target").alias("target"), r("action").alias("action"), r("score_name").alias("score_name"), r("score").alias("score"), r("value").alias("value"), F.when(r("target") == "any.header", header).alias("header_name"))
+    found = a.join(rules, scope & hit).select("article_id", r("rank").alias("rank"), r("id").alias("rule_id"), r("target").alias("target"), r("action").alias("action"), r("score_name").alias("score_name"), r("score").alias("score"), r("value").alias("value"), F.when(r("target") == "any.header", header).alias("header_name"), r("legacy_code").cast("int").alias("own_code"), r("reason_code").alias("own_reason"), r("response").alias("own_response"))
     before = Window.partitionBy("article_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     return found.withColumn("stopped", F.coalesce(F.max(F.col("action").isin("reject", "drop")).over(before), F.lit(False))).where("NOT stopped").drop("stopped")
 
 
 def ban_verdict(hits: DataFrame) -> DataFrame:
-    """(article_id, legacy_code, requested_action, rule_id, force_save) of articles with hits."""
+    """(article_id, legacy_code, requested_action, rule_id, force_save, reason_code, response) of articles with hits. A
+    rejecting rule's own code, reason and response hold where it has them; else 34, and null (see ``codes.with_reason``)."""
     terminal = F.col("action").isin("reject", "drop")
-    g = hits.groupBy("article_id").agg(F.min_by(F.when(terminal, F.struct("rule_id", "action")), F.when(terminal, F.col("rank"))).alias("t"), F.max(F.col("action") == "save").alias("force_save"))
-    return g.select("article_id", F.when(F.col("t").isNotNull(), 34).otherwise(0).alias("legacy_code"), F.when(F.col("t.action") == "drop", "discard").alias("requested_action"), F.col("t.rule_id").alias("rule_id"), "force_save")
+    g = hits.groupBy("article_id").agg(F.min_by(F.when(terminal, F.struct("rule_id", "action", "own_code", "own_reason", "own_response")), F.when(terminal, F.col("rank"))).alias("t"), F.max(F.col("action") == "save").alias("force_save"))
+    return g.select("article_id", F.when(F.col("t").isNotNull(), F.coalesce("t.own_code", F.lit(34))).otherwise(0).alias("legacy_code"), F.when(F.col("t.action") == "drop", "discard").alias("requested_action"), F.col("t.rule_id").alias("rule_id"), "force_save", F.col("t.own_reason").alias("reason_code"), F.col("t.own_response").alias("response"))
 
 
 def named_scores(hits: DataFrame, global_limit: float = 10.0, metrics: dict[str, str] | None = None) -> DataFrame:

@@ -63,6 +63,8 @@ ar AS (SELECT doc_id AS article_id, '<doc' || doc_id || '@fixture.invalid>' AS m
   '172.' || (16 + doc_id % 20) || '.5.9' AS client_ip, 1704067200000000 + doc_id * 60000000 AS received_us,
   CASE WHEN doc_id % 17 = 0 THEN '> ' || replace(b2, chr(10), chr(10) || '> ') ELSE b2 END AS body, lang, source FROM a2),
 ty AS (SELECT *, string_split(newsgroups, ',') AS grp, CASE WHEN article_id % 10 = 5 THEN 'binary' WHEN article_id % 10 = 0 THEN 'mixed' ELSE 'text' END AS article_type FROM ar)"""
+#: The part of the body that word and ban rules read.
+SCANNED = "left(body, CASE WHEN article_type = 'binary' THEN 1048576 ELSE 32768 END)"
 BYTES = "octet_length(encode(body))"
 HEAD = "octet_length(encode(subject)) + octet_length(encode(\"from\")) + octet_length(encode(newsgroups)) + octet_length(encode(message_id)) + length('FromNewsgroupsSubjectMessage-ID') + 12"
 LINES = "regexp_split_to_array(body, '\\r?\\n')"
@@ -81,6 +83,10 @@ HM = lambda v: "sha256('" + "".join(f"\\x{b ^ 0x5C:02X}" for b in Q.KEY.ljust(64
 IPN = lambda c: f"(split_part({c}, '.', 1)::BIGINT * 16777216 + split_part({c}, '.', 2)::BIGINT * 65536 + split_part({c}, '.', 3)::BIGINT * 256 + split_part({c}, '.', 4)::BIGINT)"
 
 
+LISTING = lambda c: f"(('0x' || substr(md5({c}), 1, 8))::BIGINT % 9)"
+REVERSED = "array_to_string(list_reverse(string_split(client_ip, '.')), '.')"
+
+
 def v4_networks(networks: list[str]) -> str:
     import ipaddress
 
@@ -95,7 +101,7 @@ def v4_networks(networks: list[str]) -> str:
 def badword_hits() -> str:
     parts = []
     for i, n, pattern, subject, body, action in Q.BADWORDS:
-        s, b = (f"coalesce(regexp_matches({c}, {text('(?i)' + pattern)}), false)" for c in ("subject", "body"))
+        s, b = (f"coalesce(regexp_matches({c}, {text('(?i)' + pattern)}), false)" for c in ("subject", SCANNED))
         parts.append(f"SELECT article_id, '{i}' AS rule_id, {n} AS rank, {s} AS subject_hit, {b} AS body_hit, {subject}::DOUBLE AS ss, {body}::DOUBLE AS bs, '{action}' AS action FROM ty WHERE {s} OR {b}")
     return f"{AR}, w0 AS ({' UNION ALL '.join(parts)}), w1 AS (SELECT *, min(CASE WHEN action = 'reject' THEN rank END) OVER (PARTITION BY article_id) AS cut FROM w0), wh AS (SELECT * FROM w1 WHERE cut IS NULL OR rank <= cut)"
 
@@ -110,7 +116,7 @@ def ban_hits(only: str | None = None) -> str:
     for i, n, priority, target, match, pattern, action in Q.BANS:
         if only not in (None, i):
             continue
-        column = {"newsgroups": "newsgroups", "subject": "subject", "from.address": "source || '@' || lang || '.example.org'", "client.ip": "client_ip", "body": "body"}[target]
+        column = {"newsgroups": "newsgroups", "subject": "subject", "from.address": "source || '@' || lang || '.example.org'", "client.ip": "client_ip", "body": SCANNED}[target]
         hit = f"contains(lower({column}), lower({text(pattern)}))" if match == "contains" else f"{IPN(column)} BETWEEN {172 * 2**24 + 20 * 2**16} AND {172 * 2**24 + 23 * 2**16 + 65535}" if match == "cidr" else f"regexp_matches({column}, {text('(?i)' + pattern)})"
         parts.append(f"SELECT article_id, '{i}' AS rule_id, {-priority * 1000 + n} AS rank, '{action}' AS action FROM ty WHERE {hit}")
     return f"b0 AS ({' UNION ALL '.join(parts)}), b1 AS (SELECT *, min(CASE WHEN action IN ('reject', 'drop') THEN rank END) OVER (PARTITION BY article_id) AS cut FROM b0), bh AS (SELECT article_id, rule_id, action, rank FROM b1 WHERE cut IS NULL OR rank <= cut)"
@@ -149,7 +155,9 @@ ORACLE: dict[str, str] = {
     "urls": f"WITH {URLS} SELECT article_id, CAST(pos AS INT) AS pos, url, host FROM ur",
     "registered_domains": f"WITH {DOMAINS} SELECT host, domain FROM dm",
     "article_domains": f"WITH {DOMAINS}, f AS (SELECT article_id, domain, min(pos) AS p FROM ur JOIN dm USING (host) GROUP BY ALL), r AS (SELECT article_id, domain, row_number() OVER (PARTITION BY article_id ORDER BY p) - 1 AS pos FROM f) SELECT article_id, CAST(pos AS INT) AS pos, domain FROM r WHERE pos < 10",
-    "tor_clients": f"WITH {AR}, {v4_networks(['172.17.0.0/16', '172.20.5.8/30'])} SELECT DISTINCT article_id, true AS tor, 50 AS legacy_code FROM ar JOIN nets ON {IPN('client_ip')} BETWEEN lo AND hi",
+    "tor_clients": f"WITH {AR}, {v4_networks(['172.17.0.0/16', '172.20.5.8/30'])} SELECT article_id, true AS tor, 50 AS legacy_code FROM ar JOIN nets ON {IPN('client_ip')} BETWEEN lo AND hi UNION SELECT article_id, true, 50 FROM ar WHERE {LISTING(REVERSED)} < 2",
+    "dnsbl_hits": f"WITH {AR} SELECT article_id, {REVERSED} || '.bl.example' AS query, CASE WHEN {LISTING(REVERSED)} < 2 THEN 'listed' WHEN {LISTING(REVERSED)} IN (3, 4) THEN 'error' ELSE 'clean' END AS status, {LISTING(REVERSED)} = 3 AS reject_on_failure FROM ar",
+    "uri_list_hits": f"WITH {DOMAINS}, f AS (SELECT article_id, domain, min(pos) AS p FROM ur JOIN dm USING (host) GROUP BY ALL), r AS (SELECT article_id, domain, row_number() OVER (PARTITION BY article_id ORDER BY p) - 1 AS pos FROM f) SELECT DISTINCT article_id, 60 AS legacy_code, 'surbl' AS provider FROM r WHERE pos < 10 AND {LISTING('domain')} IN (0, 1, 3)",
     "cidr_matches": f"WITH {EV}, {AR}, {v4_networks(Q.NETWORKS)}, ips AS (SELECT client_ip AS ip FROM ar UNION SELECT client_ip FROM ev) SELECT ip, network FROM ips JOIN nets ON {IPN('ip')} BETWEEN lo AND hi",
     "unknown_groups": f"WITH {AR}, act AS (SELECT DISTINCT lang || '.' || source AS g FROM documents WHERE source <> 'src0'), x AS (SELECT DISTINCT article_id, unnest(grp) AS g FROM ty) SELECT article_id, string_agg(g, ',' ORDER BY g) AS unknown FROM x WHERE g NOT IN (SELECT g FROM act) GROUP BY article_id",
     "sender_authorised": f"WITH {AR}, x AS (SELECT article_id, lang, source, unnest(grp) AS g FROM ty) SELECT DISTINCT article_id, 106 AS legacy_code FROM x WHERE g = lang || '.' || source AND source = 'src3' AND lang IN ('fr', 'en')",
@@ -216,5 +224,5 @@ ORACLE |= {
     "explain_steps": f"WITH {STEPS} " + " UNION ALL ".join(f"SELECT article_id, {i} AS step_no, '{n}' AS step, c{i} AS legacy_code, CASE WHEN c{i} = 0 THEN 'pass' ELSE 'reject' END AS verdict FROM sp" for i, n in enumerate(["style", "binary", "banlist", "badwords"])),
     "mime_parts": f"WITH {MD} SELECT article_id, 1 AS part_no, '1' AS location, 1 AS depth, CASE WHEN mixed THEN 'multipart/mixed' ELSE 'multipart/alternative' END AS media_type, CAST(NULL AS VARCHAR) AS filename, broken AS malformed FROM md UNION ALL SELECT article_id, 2, '1.1', 2, 'text/plain', NULL, false FROM md WHERE NOT broken UNION ALL SELECT article_id, 3, '1.2', 2, CASE k WHEN 0 THEN 'image/png' WHEN 1 THEN 'text/html' ELSE 'multipart/alternative' END, CASE WHEN k = 0 THEN 'a;b.png' END, false FROM md WHERE NOT broken UNION ALL SELECT article_id, 4, '1.2.1', 3, 'text/plain', NULL, false FROM md WHERE NOT broken AND k = 2",
     "mime_verdict": f"WITH {MD} SELECT article_id, CASE WHEN mixed THEN 109 WHEN broken THEN 113 WHEN k = 0 THEN 111 ELSE 110 END AS legacy_code, CASE WHEN mixed OR broken THEN 1 ELSE 3 END AS part_no FROM md WHERE mixed OR broken OR k < 2",
-    "scan_segments": f"WITH {MD} SELECT article_id, 1 + CAST(b1 < 2000 AS BIGINT) AS parts, CAST(least(b1, 2000) + CASE WHEN b1 < 2000 THEN least(2000 - b1, CASE k WHEN 0 THEN 4 WHEN 1 THEN 8 ELSE 1 END) ELSE 0 END AS BIGINT) AS bytes FROM md WHERE NOT broken",
+    "scan_segments": f"WITH {MD} SELECT article_id, 1 + CAST(b1 < 32768 AS BIGINT) AS parts, CAST(least(b1, 32768) + CASE WHEN b1 < 32768 THEN least(32768 - b1, CASE k WHEN 0 THEN 4 WHEN 1 THEN 8 ELSE 1 END) ELSE 0 END AS BIGINT) AS bytes FROM md WHERE NOT broken",
 }

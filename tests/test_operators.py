@@ -335,3 +335,50 @@ def test_custom_rule(spark):
 
     got = lambda policy: [(r.legacy_code, r.message) for r in decide.custom_rule(a, rule, ["article_id", "subject"], policy).orderBy("article_id").collect()]
     assert got("accept") == [(0, None), (34, None), (63, "no"), (0, None), (0, None)] and got("reject")[4][0] == 63
+
+
+def test_rule_rejection_defaults_cap_and_scan(spark):
+    a = spark.createDataFrame([(1, "text", "s", "red word here"), (2, "binary", "s", "red word here"), (3, "odd", "s", "x" * 40_000 + "red"), (4, "binary", "s", "x" * 40_000 + "red")], "article_id long, article_type string, subject string, body string")
+    words = spark.createDataFrame([("w1", 1, "nothing", ["text"], None, None, None), ("w2", 2, "red", ["text", "binary"], 777, "OWN-777", "go away"), ("w3", 3, "red", None, None, None, None)], "id string, ord int, pattern string, article_types array<string>, legacy_code int, reason_code string, response string")
+    row = lambda r: (r.legacy_code, r.rule_id, r.reason_code, r.response)
+    got = {r.article_id: row(r) for r in content.badword_verdict(content.badword_hits(a, words, cap=1)).collect()}
+    assert got == {2: (777, "w2", "OWN-777", "go away"), 4: (777, "w2", "OWN-777", "go away")}  # text's first rule is w1, other types' is w3
+    got = {r.article_id: row(r) for r in content.badword_verdict(content.badword_hits(a, words, scan=None)).collect()}
+    assert got[1] == (777, "w2", "OWN-777", "go away") and got[3] == (29, "w3", None, None)
+    bans = words.withColumn("target", F.lit("body"))
+    got = {r.article_id: row(r) for r in rules.ban_verdict(rules.ban_hits(a, bans)).collect()}
+    assert got == {1: (777, "w2", "OWN-777", "go away"), 2: (777, "w2", "OWN-777", "go away"), 4: (777, "w2", "OWN-777", "go away")}
+    got = {r.article_id: row(r) for r in rules.ban_verdict(rules.ban_hits(a, bans.where("id = 'w3'"), scan={})).collect()}
+    assert got[3] == (34, "w3", None, None)
+
+
+def test_style_order_modules_and_lists(spark):
+    a = spark.createDataFrame([(1, {"Date": "x", "Bad": "1"}, "b", ["a.b", "c.d"], ["poster"]), (2, {"Date": "Mon, 01 Jan 2024 10:00:00 GMT"}, "b", ["a.b"], ["no.such"])], "article_id long, headers map<string,string>, body string, groups array<string>, followups array<string>")
+    a = a.withColumns({"article_type": F.lit("text"), "skip": F.array().cast("array<string>"), "received_s": F.lit(1704103200 + 60), "body_size": F.lit(1), "header_size": F.lit(1), "total_size": F.lit(2), "line_stats": X.line_statistics(F.col("body"))})
+    a = structure.known_group_flags(a, spark.createDataFrame([("a.b",)], "group string"))
+    flags = {r.article_id: (r.unknown_group, r.unknown_followup) for r in a.collect()}
+    assert flags == {1: (True, False), 2: (False, True)}
+    none, unknown = structure.StyleLimits(), (F.col("unknown_group"), F.col("unknown_followup"))
+    codes = lambda **o: {r.article_id: r.c for r in a.select("article_id", structure.style_code(none, *unknown, **o).alias("c")).collect()}
+    assert codes() == {1: 17, 2: 18}
+    assert codes(forbidden_pair=F.size("groups") > 1) == {1: 2, 2: 18}
+    assert codes(list_readable=False) == {1: 37, 2: 37}
+    assert codes(modules=structure.MODULES - {"groups"}) == {1: 19, 2: 0}
+    assert codes(modules=structure.MODULES - {"groups", "dates"}, forbidden_header=F.array_contains(F.map_keys("headers"), "Bad")) == {1: 53, 2: 0}
+    assert codes(modules=frozenset()) == {1: 0, 2: 0}
+
+
+def test_transformed_articles_are_checked_again(spark):
+    good = {"From": "a@b.org", "Newsgroups": "a.b", "Subject": "s", "Date": "Mon, 01 Jan 2024 10:00:00 GMT", "Path": ".POSTED!x"}
+    df = spark.createDataFrame([(1, good, "b"), (2, good | {"Injection-Info": "host; y=1"}, "b")], "article_id long, headers map<string,string>, body string")
+    assert [tuple(r) for r in validity.transformed_verdict(df).collect()] == [(2, 118, "Injection-Info", "invalid-injection-info")]
+
+
+def test_header_tokens():
+    ok = validity.valid_state_header
+    assert ok("From", 'Ann (x (y)) <a.b@c.org>, "q, r" <"s t"@[1.2.3.4]>') and not ok("From", "a@b, ") and not ok("From", "<a @b>") and not ok("From", "(open a@b") and not ok("Sender", "a@b, c@d")
+    assert ok("Date", "Mon, 01 Jan 2024 10:00:60 +0130 (zone)") and not ok("Date", "Mon, 32 Jan 2024 10:00 GMT") and not ok("Date", "1 Jan 2024 10 :00 GMT") and not ok("Date", "1 Jan 2024 10:00 +2400")
+    assert ok("Content-Type", 'text/plain; charset="a;b" ; x = y') and not ok("Content-Type", "text / plain") and not ok("Content-Type", "a/b; x=1; X=2") and not ok("Content-Type", "a/b;")
+    assert ok("User-Agent", "a/1 (c) b / 2 d") and not ok("User-Agent", "a/b/c") and ok("MIME-Version", "1 . 0 (x)") and not ok("MIME-Version", "1.1")
+    assert ok("References", "<a@b> (c)<d@e>") and not ok("References", "(c)") and ok("Archive", "No; filename=x") and not ok("Content-Disposition", "")
+    assert validity.parse_injection_info(r'n.org; posting-host="a\"b"; x-y=z') == [("", "n.org"), ("posting-host", 'a"b'), ("x-y", "z")]
