@@ -16,44 +16,52 @@ MASK64 = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. A local one only where the session names none and runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="artisieve-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
-_recorder: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("staged", default=None)
+_scratch: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 @contextlib.contextmanager
-def recording(paths: list[str]) -> Iterator[None]:
-    """Notes in ``paths`` the tables that are staged inside, for a later ``discard``."""
-    token = _recorder.set(paths)
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables staged inside, but for those staged with ``keep``. Nothing lazy may outlive it
+    that reads the others."""
+    paths: list[str] = []
+    token = _scratch.set(paths)
     try:
         yield
     finally:
-        _recorder.reset(token)
+        _scratch.reset(token)
+        for path in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes staged tables whose readers are done."""
-    while paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/artisieve/{label}-{uuid.uuid4().hex}"
-    if (made := _recorder.get()) is not None:
-        made.append(path)
+    if not keep and (paths := _scratch.get()) is not None:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lowered, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

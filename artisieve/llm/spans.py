@@ -14,6 +14,8 @@ from artisieve.llm.common import slices, word_hashes
 #: Bits of the table that tells the readers of the texts which hashes several documents hold.
 FILTER_BITS = 1 << 27
 GRID = 64
+#: Pairs of one slice that a task takes, and slices that are dealt so: others have less than one in ``HEAVY`` of all pairs.
+SPLIT, HEAVY = 20_000, 1 << 20
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -105,7 +107,13 @@ def both_sides(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     up = lambda c: (F.ceil(F.col(c) / GRID) * GRID).cast("int")
     pairs = pairs.withColumns({"a_base": down("a_lo"), "a_top": up("a_hi"), "b_base": down("b_lo"), "b_top": up("b_hi")}).drop("a_lo", "a_hi", "b_lo", "b_hi")
     side = lambda df, s: df.select(F.col(s).alias("row"), F.col(f"{s}_base").alias("lo"), F.col(f"{s}_top").alias("hi"))
-    cut = word_slices(docs, side(pairs, "a").unionByName(side(pairs, "b"))).repartition("row", "lo", "hi")  # one exchange for both joins
-    for s in "ab":
-        pairs = pairs.join(cut.select(F.col("row").alias(s), F.col("lo").alias(f"{s}_base"), F.col("hi").alias(f"{s}_top"), F.col("words").alias(f"{s}_words")), [s, f"{s}_base", f"{s}_top"])
+    # A slice that many pairs ask for as b is dealt to several tasks, and so are its pairs.
+    asked = pairs.groupBy(F.col("b").alias("row"), F.col("b_base").alias("lo"), F.col("b_top").alias("hi")).count().where(F.col("count") > SPLIT)
+    often = F.broadcast(asked.orderBy(F.desc("count"), "row", "lo", "hi").limit(HEAVY).select("row", "lo", "hi", F.ceil(F.col("count") / SPLIT).cast("int").alias("parts")))
+    cut = word_slices(docs, side(pairs, "a").unionByName(side(pairs, "b"))).join(often, ["row", "lo", "hi"], "left")
+    cut = cut.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).repartition("row", "lo", "hi", "part")  # one exchange for both joins
+    pairs = pairs.join(often.withColumnsRenamed({"row": "b", "lo": "b_base", "hi": "b_top"}), ["b", "b_base", "b_top"], "left")
+    pairs = pairs.withColumns({"b_part": F.pmod("a", F.coalesce("parts", F.lit(1))).cast("int"), "a_part": F.lit(0)}).drop("parts")
+    for s in "ba":
+        pairs = pairs.join(cut.select(F.col("row").alias(s), F.col("lo").alias(f"{s}_base"), F.col("hi").alias(f"{s}_top"), F.col("part").alias(f"{s}_part"), F.col("words").alias(f"{s}_words")), [s, f"{s}_base", f"{s}_top", f"{s}_part"])
     return pairs
