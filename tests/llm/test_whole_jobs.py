@@ -188,3 +188,23 @@ def test_op2_family_below_the_threshold_stays_linear(spark, monkeypatch, block):
     got = {x.doc_id: x.component_id for x in jaccard_join.near_duplicates(table, 4, 88, 100).collect()}
     assert got == {i: find(i) for i in range(600)}
     assert sum(made) <= 600 * -(-600 // (block * 100))
+
+
+@pytest.mark.parametrize("rotations", [None, 2])
+def test_op1_few_candidates_ties_and_repeated_ids(spark, rotations):
+    from artisieve.llm.ann import nearest
+
+    r = np.random.default_rng(4)
+    data = [(i, r.normal(size=8).tolist()) for i in range(30)] + [(40 + i, [float(i + 1), 0.0]) for i in range(5)]
+    data += [(50, [0.0, -0.0, 1.0]), (51, [-0.0, 0.0, 1.0]), (52, [0.0, 0.0, 2.0]), (53, [1.0, 0.0, 2.0]), (54, [0.0, 1.0, 2.0]), (53, [1.0, 0.0, 2.0])]
+    data += [(60, [1.0, 2.0, 3.0, 4.0]), (60, [4.0, 3.0, 2.0, 1.0]), (61, [1.0, 1.0, 1.0, 1.0])]
+    table = spark.createDataFrame([(*x, 7) for x in data], "vec_id long, embedding array<double>, score int").repartition(3)
+    got: dict = {}
+    for x in sorted(nearest(table, table.select("vec_id"), top=20, rotations=rotations).collect(), key=lambda x: (x.query_id, x["rank"])):
+        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    for q in range(30):
+        want = sorted((-float(np.dot(data[q][1], v)), i) for i, v in data[:30] if i != q)[:20]
+        assert len(got[q]) == 20 and sum(v in {i for _, i in want} for v, _ in got[q]) >= 14
+    assert [v for v, _ in got[40]] == [44, 43, 42, 41]
+    assert got[50] == [(52, 2.0), (53, 2.0), (54, 2.0), (51, 1.0)]
+    assert got[60] == [(61, 10.0)] and got[61] == [(60, 10.0)]
