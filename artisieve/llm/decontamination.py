@@ -1,13 +1,13 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units of a text become typed placeholders. Windows of template tokens, and of the words as
-written, are hashed; a document's windows are looked up among the benchmark's. Along each diagonal of matching
+written, are hashed; a document's windows are hash-joined with the benchmark's. Along each diagonal of matching
 windows the slots must be filled consistently: one benchmark value stands for one document value and the
 reverse, so that a re-parameterised question is found and a chance mix of fillings is not. Where a diagonal
 conflicts with itself, each longest consistent stretch of it counts if it has ``run`` tokens.
 
-The benchmark is indexed in blocks of at most ``BLOCK_BYTES`` of text; each block is broadcast and costs
-one pass over the documents, so that its size is bounded and every item is used.
+A bit table of fixed size, made of the benchmark's hashes, tells the readers of the documents which windows to send to
+the join; a full table would only send more. Diagonals are read one after the other in sorted order.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from artisieve.llm.common import mix64, ngram_hashes, slices
+from artisieve.llm.common import mix64, ngram_hashes, slices, staged, unused
+from artisieve.llm.spans import bit_table, in_table
 
-BLOCK_BYTES = 32 << 20
 # Words that measure when they follow a number.
 UNITS = frozenset(
     b"% cm mm m km mi mile miles ft foot feet inch inches yard yards g mg kg lb lbs oz ounce ounces pound pounds ton tons gram grams kilogram"
@@ -137,115 +136,154 @@ def stretches(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
     yield left, len(a)
 
 
-class Benchmark:
-    """The windows of a block of items, and the comparison of a document with them."""
+def both_windows(t: Template, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of each window, and of each window as written where that differs."""
+    w, written = windows(t, width)
+    other = np.flatnonzero(written != w)
+    return np.concatenate([w, written[other]]), np.concatenate([np.arange(len(w)), other])
 
-    def __init__(self, items: list[tuple[object, str | None]], width: int, coverage: float, run: int):
+
+def cut_out(x: np.ndarray, places: np.ndarray, k: int) -> list[bytes]:
+    """The ``k`` values from each place on."""
+    return [r.tobytes() for r in x[places[:, None] + np.arange(k)]]
+
+
+ITEM_WINDOWS = [("h", pa.int64()), ("k", pa.int32()), ("n", pa.int32()), ("p", pa.int32()), ("item_values", pa.binary()), ("slots", pa.binary())]
+DOC_WINDOWS = [("h", pa.int64()), ("k", pa.int32()), ("d", pa.int32()), ("values", pa.binary()), ("words", pa.binary())]
+
+
+def window_rows(table: DataFrame, schema: list[tuple[str, pa.DataType]], find) -> DataFrame:
+    """One row for each window that ``find(template)`` yields, with the columns of ``table`` but its last, the text."""
+    kept = table.columns[:-1]
+    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelling = Spelling()
-        self.ids = [i for i, _ in items]
-        self.items = [template(t, spelling) for _, t in items]
-        self.width, self.coverage, self.run = width, coverage, run
-        self.by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for k in sorted({min(width, len(t.tokens)) for t in self.items} - {0}):
-            mine = []
-            for j, t in enumerate(self.items):
-                if min(width, len(t.tokens)) == k:
-                    w, written = windows(t, k)
-                    other = np.flatnonzero(written != w)
-                    mine += [(j, w, np.arange(len(w))), (j, written[other], other)]
-            h = np.concatenate([w for _, w, _ in mine])
-            order = np.argsort(h, kind="stable")
-            self.by_width[k] = h[order], np.concatenate([np.full(len(w), j) for j, w, _ in mine])[order], np.concatenate([p for *_, p in mine])[order]
-
-    def matches(self, doc: Template) -> Iterator[tuple]:
-        """(item, first word, end word, coverage, reparameterised): the best consistent diagonal of each item."""
-        best: dict[int, tuple] = {}
-        for k, (hashes, item, pos) in self.by_width.items():
-            if len(doc.tokens) < k:
-                continue
-            w, written = windows(doc, k)
-            other = np.flatnonzero(written != w)
-            place, w = np.concatenate([np.arange(len(w)), other]), np.concatenate([w, written[other]])
-            lo = np.searchsorted(hashes, w)
-            hit = np.flatnonzero(hashes[np.minimum(lo, len(hashes) - 1)] == w)
-            if not len(hit):
-                continue
-            hi = np.searchsorted(hashes, w[hit], side="right")
-            count = hi - lo[hit]
-            entry = np.repeat(lo[hit] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            d, j, p = np.repeat(place[hit], count), item[entry], pos[entry]
-            order = np.lexsort((p, d - p, j))
-            d, j, p = d[order], j[order], p[order]
-            cut = np.flatnonzero((np.diff(j) != 0) | (np.diff(d - p) != 0)) + 1
-            for part in np.split(np.arange(len(d)), cut):
-                it = self.items[j[part[0]]]
-                n, shift = len(it.tokens), d[part[0]] - p[part[0]]
-                covered = np.zeros(n, bool)
-                for q in p[part]:
-                    covered[q : q + k] = True
-                size = int(covered.sum())
-                if size < self.coverage * n and size < self.run:
-                    continue
-                slots = np.flatnonzero(covered & it.slot)
-                for first, last in stretches(it.values[slots], doc.values[slots + shift]):
-                    whole = last - first == len(slots)
-                    at = np.flatnonzero(covered)
-                    if not whole:  # a part of a diagonal counts by its tokens only
-                        at = at[(at > (slots[first - 1] if first else -1)) & (at < (slots[last] if last < len(slots) else n))]
-                        if len(at) < self.run:
-                            continue
-                    found = (len(at) / n, int(doc.word[at[0] + shift]), int(doc.word[at[-1] + shift]) + 1, bool((it.values[at] != doc.values[at + shift]).any()))
-                    if found > best.get(int(j[part[0]]), (0.0,)):
-                        best[int(j[part[0]])] = found
-        for j, (share, start, end, other) in sorted(best.items()):
-            yield self.ids[j], start, end, share, other
-
-
-def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[object, str | None]]]:
-    """The benchmark's items, block by block, each of a checked size."""
-    items = benchmark.where(F.col(text_col).isNotNull()).select(item_col, text_col)
-    size = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = max(1, -(-size * 2 // BLOCK_BYTES))
-    for k in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64(item_col, text_col), F.lit(n)) == k).orderBy(item_col, text_col).collect()]
+        for whole in batches:
+            for b in slices(whole):
+                at, out = [], []
+                for i, text in enumerate(b.column(len(kept)).to_pylist()):
+                    for cols in find(template(text, spelling)) if text else ():
+                        at += [i] * len(cols[0])
+                        out.append(cols)
+                if at:
+                    flat = [pa.array(np.concatenate([c[j] for c in out]) if isinstance(out[0][j], np.ndarray) else [x for c in out for x in c[j]], t) for j, (_, t) in enumerate(schema)]
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in range(len(kept))), *flat], [*kept, *(c for c, _ in schema)])
+
+    kinds = dict(table.dtypes)
+    return table.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"{c} {names[t]}" for c, t in schema)]))
+
+
+def evaluate(k: int, n: int, p: np.ndarray, item_values: np.ndarray, slots: np.ndarray, values: np.ndarray, words: np.ndarray, coverage: float, run: int) -> tuple | None:
+    """(coverage, first word, end word, reparameterised) of the best consistent part of a diagonal: its windows' places in
+    the item, and a row of ``k`` item values, slot marks, document values and words for each."""
+    at, first = np.unique((p[:, None] + np.arange(k)).ravel(), return_index=True)
+    if len(at) < coverage * n and len(at) < run:
+        return None
+    mine, slot, theirs, word = (x.ravel()[first] for x in (item_values, slots, values, words))
+    slot, best = np.flatnonzero(slot), None
+    for s, e in stretches(mine[slot], theirs[slot]):
+        lo, hi = int(slot[s - 1]) + 1 if s else 0, int(slot[e]) if e < len(slot) else len(at)
+        if (s, e) == (0, len(slot)) or hi - lo >= run:  # a part of a diagonal counts by its tokens only
+            found = ((hi - lo) / n, int(word[lo]), int(word[hi - 1]) + 1, bool((mine[lo:hi] != theirs[lo:hi]).any()))
+            best = found if best is None else max(best, found)
+    return best
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, run: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, start_word, end_word, coverage, reparameterised): each benchmark item that a document holds.
 
     An item is held where consistent windows on one diagonal cover ``coverage`` of its tokens, or where a
-    consistent stretch of a diagonal has ``run`` covered tokens. Null and empty texts on either side match nothing; repeated rows are reported each.
+    consistent stretch of a diagonal has ``run`` covered tokens. Null and empty texts on either side match nothing; repeated
+    rows are reported each; items of one id count as one, by the best of them. Other columns are not read.
     """
-    kinds = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
-    found = []
-    for items in blocks(benchmark, item_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items, width, coverage, run))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            spelling = Spelling()
-            for whole in batches:
-                for b in slices(whole):
-                    rows = [(doc, *m) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if text for m in shared.value.matches(template(text, spelling))]
-                    if rows:
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=pa.schema([(names[0], b.schema.field(0).type), (names[1], pa.from_numpy_dtype(np.array([rows[0][1]]).dtype) if not isinstance(rows[0][1], str) else pa.string()), *rest]))
-
-        names = [id_col, item_col, "start_word", "end_word", "coverage", "reparameterised"]
-        rest = [("start_word", pa.int32()), ("end_word", pa.int32()), ("coverage", pa.float64()), ("reparameterised", pa.bool_())]
-        found.append(docs.select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, start_word int, end_word int, coverage double, reparameterised boolean"))
-    return reduce(DataFrame.unionByName, found)
+    kinds = {"id": dict(docs.dtypes)[id_col], "item": dict(benchmark.dtypes)[item_col]}
+
+    def of_items(t: Template) -> Iterator[tuple]:
+        k = min(width, len(t.tokens))
+        h, p = both_windows(t, width)
+        if len(h):
+            yield h.view(np.int64), np.full(len(h), k), np.full(len(h), len(t.tokens)), p, cut_out(t.values.view(np.int64), p, k), cut_out(t.slot, p, k)
+
+    items = benchmark.select(F.col(item_col).alias("item"), F.xxhash64(item_col, item_text_col).alias("version"), F.col(item_text_col).alias("text"))
+    items = staged(window_rows(items, ITEM_WINDOWS, of_items).distinct(), "benchmark-windows")
+    widths = sorted(r[0] for r in items.select("k").distinct().collect())  # at most ``width``
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(items.select("h")))
+
+    def of_docs(t: Template) -> Iterator[tuple]:
+        for k in widths:
+            if len(t.tokens) >= k:
+                h, d = both_windows(t, k)
+                hit = in_table(shared.value, h)
+                h, d = h[hit], d[hit]
+                if len(h):
+                    yield h.view(np.int64), np.full(len(h), k), d, cut_out(t.values.view(np.int64), d, k), cut_out(t.word.astype(np.int32), d, k)
+
+    texts = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    found = window_rows(texts, DOC_WINDOWS, of_docs).join(items, ["h", "k"])
+    order = ["row", "item", "version", "k", "shift", "p"]
+    found = found.withColumn("shift", F.col("d") - F.col("p")).repartition("row").sortWithinPartitions(*order).select("id", "item", "row", "version", "k", "shift", "p", "n", "item_values", "slots", "values", "words")
+    names = [id_col, item_col, "start_word", "end_word", "coverage", "reparameterised"]
+
+    def diagonals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None
+        held: tuple | None = None  # (row, item), id and the best so far
+        out: list[tuple] = []
+
+        def read(b: pa.RecordBatch, cuts: list[int]) -> None:
+            nonlocal held
+            k, n, row = (b.column(c).to_numpy() for c in ("k", "n", "row"))
+            p, ids, item = b.column("p").to_numpy(), b.column("id"), b.column("item")
+            raw = [b.column(c).to_pylist() for c in ("item_values", "slots", "values", "words")]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if (e - s) * k[s] < min(coverage * n[s], run):
+                    continue
+                parts = (np.frombuffer(b"".join(c[s:e]), t).reshape(-1, k[s]) for c, t in zip(raw, (np.int64, bool, np.int64, np.int32), strict=True))
+                best = evaluate(int(k[s]), int(n[s]), p[s:e], *parts, coverage, run)
+                if best is None:
+                    continue
+                key = (int(row[s]), item[s].as_py())
+                if held and held[0] == key:
+                    held = (key, held[1], max(held[2], best))
+                else:
+                    if held:
+                        out.append(held)
+                    held = (key, ids[s].as_py(), best)
+
+        def written(kind: pa.DataType, item_kind: pa.DataType) -> pa.RecordBatch:
+            cols = zip(*((i, key[1], best[1], best[2], best[0], best[3]) for key, i, best in out), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, item_kind, pa.int32(), pa.int32(), pa.float64(), pa.bool_()), strict=True)], names)
+
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            last = b
+            if rest is not None:
+                b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+            new = np.zeros(b.num_rows, bool)
+            new[0] = True
+            for c in ("row", "version", "k", "shift"):
+                new[1:] |= np.diff(b.column(c).to_numpy()) != 0
+            cuts = np.flatnonzero(new).tolist()
+            read(b, cuts)  # all but the last diagonal, which may go on
+            rest = b.slice(cuts[-1])
+            if out:
+                yield written(b.column("id").type, b.column("item").type)
+                out.clear()
+        if last is not None:
+            read(rest, [0, rest.num_rows])
+            if held:
+                out.append(held)
+            if out:
+                yield written(last.column("id").type, last.column("item").type)
+
+    return found.mapInArrow(diagonals, f"`{id_col}` {kinds['id']}, `{item_col}` {kinds['item']}, start_word int, end_word int, coverage double, reparameterised boolean")
 
 
 def keep_unleaked(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.5, run: int = 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark item; null and empty texts stay."""
-    at = docs.columns.index(text_col)
-    for items in blocks(benchmark, item_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items, width, coverage, run))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            spelling = Spelling()
-            for whole in batches:
-                for b in slices(whole):
-                    yield b.filter(pa.array([not text or next(shared.value.matches(template(text, spelling)), None) is None for text in b.column(at).to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(scan, docs.schema)
-    return docs
+    """The rows of ``docs``, all columns, whose text holds no benchmark item; null and empty texts stay."""
+    key = unused(docs.columns, "key")
+    keyed = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    held = leaks(keyed, benchmark, width, coverage, run, "key", "text", item_col, item_text_col).select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, F.xxhash64(text_col)).join(staged(held, "leaked", keep=True), key, "left_anti").select(*docs.columns)
