@@ -103,7 +103,7 @@ def in_fold(id_col: str, folds: int, fold: int):
 def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = None, sample_rows: int = 20_000, bits: int = 18, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> FactorizationMachine:
     """Fits on at most ``sample_rows`` labelled rows outside the held-out fold.
 
-    Null ids and labels teach nothing; of several labels of one id the largest holds; repeated ids count as rows; with no labelled row
+    Null ids and labels teach nothing; of several labels of one id the largest holds, of several texts the one of the largest terms; with no labelled row
     the model scores every text alike, near 0.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__label"))
@@ -119,7 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None =
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([ids.of(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "label", "terms"])
 
     kind = dict(docs.dtypes)[id_col]
-    got = texts.mapInArrow(terms, f"id {kind}, label int, terms binary").orderBy(F.xxhash64("id"), "id", "terms").limit(sample_rows).toArrow().sort_by("id")
+    each = texts.mapInArrow(terms, f"id {kind}, label int, terms binary").groupBy("id", "label").agg(F.max("terms").alias("terms"))  # at most sample_rows rows
+    got = each.toArrow().sort_by("id")
     rows = [np.frombuffer(x, np.int32) for x in got.column("terms").to_pylist()]
     return fit(rows, np.array(got.column("label").to_pylist(), np.float64), bits)
 
