@@ -23,22 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from artisieve.llm.common import slices, staged
-
-
-class Remembered(dict):
-    """key -> ``make(key)``. Of 2 x ``bound`` keys at most, those that are used again outlive the others."""
-
-    def __init__(self, make: Callable[[bytes], bytes], bound: int):
-        self.make, self.bound, self.old = make, bound, {}
-
-    def __missing__(self, key: bytes) -> bytes:
-        if len(self) >= self.bound:
-            self.old = dict(self)
-            self.clear()
-        found = self.old.get(key)
-        found = self[key] = self.make(key) if found is None else found
-        return found
+from artisieve.llm.common import slices, staged, word_bytes, word_hashes
 
 
 # The parts of a tokenizer file by which words can be encoded alone, each pre-token by the model.
@@ -81,33 +66,71 @@ class WordIds:
             self.by_word = splits_words(json.load(f))
         self.pattern = regex.compile(SPLIT)
         self.plain = regex.compile(r"[\x21-\x3b\x3d-\x7e\xa1-\xff]+")  # no <, with which special tokens begin
-        self.marks = frozenset(b".,;:!?)]}\"")
-        self.parts, self.words = Remembered(self._part, bound), Remembered(self._word, bound)
+        # Words by hash, in two generations: those that are used again outlive the others.
+        self.bound, self.words, self.before = bound, {}, {}
+        self.parts: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
+        if self.by_word:
+            self.marks = {bytes([c]): self._part(bytes([c])) for c in b".,;:!?)]}\""}
 
     def _ids(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _part(self, part: bytes) -> bytes:
-        text = part.decode("ascii") if part.isascii() else part.decode("latin-1").translate(BYTE_LETTERS)
-        ids = [t.id for t in self.model.tokenize(text)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        if (found := self.parts.get(part)) is None:
+            text = part.decode("ascii") if part.isascii() else part.decode("latin-1").translate(BYTE_LETTERS)
+            ids = [t.id for t in self.model.tokenize(text)]
+            found = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
     def _word(self, word: bytes) -> bytes:
         if word.isalpha():
-            return self.parts[word.lower()]
-        if word[-1] in self.marks and word[:-1].isalpha():
-            return self.parts[word[:-1].lower()] + self.parts[word[-1:]]
+            return self._part(word.lower())
+        if (mark := self.marks.get(word[-1:])) and word[:-1].isalpha():
+            return self._part(word[:-1].lower()) + mark
         text = word.decode("utf-8")
         if not self.plain.fullmatch(text):
             return self._ids(text)
-        return b"".join([self.parts[part.encode("utf-8")] for part in self.pattern.findall(text.lower())])
-
-    def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
-        stop, word = struct.pack("<I", end), self.words.__getitem__
-        if self.by_word:
-            return [np.frombuffer(b"".join(map(word, t.encode("utf-8").split())) + stop if t else stop, "<u4") for t in texts]
-        return [np.frombuffer((self._ids(t) if t else b"") + stop, "<u4") for t in texts]
+        return b"".join([self._part(part.encode("utf-8")) for part in self.pattern.findall(text.lower())])
+
+    def _known(self, names: list[int], spelt: Callable[[int], bytes]) -> list[bytes]:
+        """The ids of words by hash, those that are new from their spelling."""
+        if len(self.words) >= self.bound:
+            self.before, self.words = self.words, {}
+        if len(self.parts) >= self.bound:
+            self.parts.clear()
+        ids, before = list(map(self.words.get, names)), self.before
+        for i, found in enumerate(ids):
+            if found is None:
+                name = names[i]
+                if (found := before.get(name)) is None:
+                    found = self._word(spelt(i))
+                ids[i] = self.words[name] = found
+        return ids
+
+    def encode(self, texts: pa.Array, end: int) -> list[np.ndarray]:
+        """The ids of each text, and ``end``; a null text is empty."""
+        stop = struct.pack("<I", end)
+        raw, bounds, inside, first = word_bytes(texts)
+        whole = raw.tobytes()
+        if not self.by_word or b"<|" in whole:
+            return [np.frombuffer((self._ids(t) if t else b"") + stop, "<u4") for t in texts.to_pylist()]
+        hashes, ends = word_hashes(texts)
+        names, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        starts = np.flatnonzero(first)
+        last = inside.copy()
+        last[:-1] &= ~inside[1:] | first[1:]
+        stops = np.flatnonzero(last) + 1
+        starts, stops = starts[at].tolist(), stops[at].tolist()
+        ids = self._known(names.tolist(), lambda i: whole[starts[i] : stops[i]])
+        ids.append(stop)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        which = np.insert(which, ends[1:], len(names))
+        count = size[which]
+        place = np.cumsum(count)
+        out = np.frombuffer(b"".join(ids), "<u4")[np.repeat((np.cumsum(size) - size)[which] - place + count, count) + np.arange(place[-1] if len(place) else 0)]
+        return np.split(out, place[ends[1:] + np.arange(len(texts))][:-1])
 
 
 _words: dict[str, WordIds] = {}
@@ -195,9 +218,9 @@ def tokenised(docs: DataFrame, tokenizer_path: str, window: int, end: int, id_co
         words, part = word_ids(tokenizer_path), TaskContext.get().partitionId()
         ranks, n_row, n_full = np.zeros(len(edges), np.int64), 0, 0
         for whole in batches:
-            for b in slices(whole, 2 << 20):
+            for b in slices(whole, 4 << 20):
                 out: list[tuple] = []
-                for ids in words.encode(b.column(1).to_pylist(), end):
+                for ids in words.encode(b.column(1), end):
                     full = len(ids) // window
                     tail = ids[full * window :]
                     k = int(np.searchsorted(edges, len(tail))) if len(tail) else None
