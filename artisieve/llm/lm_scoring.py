@@ -7,7 +7,7 @@ count c in a context has c - ``DISCOUNT`` of it; the rest escapes to the next sh
 of the longer one are excluded.
 
 Scale: grams and words are counted in tasks before the shuffle. All statistics are aggregations and equi-joins over
-56-bit context keys and 64-bit word hashes. A text's score is a sum over its symbols; the most frequent keys and words,
+48-bit context keys and 64-bit word hashes. A text's score is a sum over its symbols; the most frequent keys and words,
 of a bounded number, are looked up in the worker, others by a shuffled join.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from artisieve.llm.common import slices, staged, word_bytes, word_hashes
 from artisieve.llm.toxicity import in_fold
 
-ORDER = 6
+ORDER = 5
 DISCOUNT = 0.3
 #: Bytes that no word holds: before the first context byte, the blank between words, the end of a text.
 PAD, BLANK, END = b"\t \n"

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 
-def brute_text_ppm(train, texts, order=6, discount=0.3):
+def brute_text_ppm(train, texts, order=5, discount=0.3):
     """Prediction by partial matching over running texts with a dictionary trie, update and symbol exclusion."""
     spell = lambda t: b"\t" * (order - 1) + b" " + b" ".join([*t.encode().lower().split(), b"\n"])
     counts = [defaultdict(Counter) for _ in range(order + 1)]
@@ -208,3 +208,43 @@ def test_op1_few_candidates_ties_and_repeated_ids(spark, rotations):
     assert [v for v, _ in got[40]] == [44, 43, 42, 41]
     assert got[50] == [(52, 2.0), (53, 2.0), (54, 2.0), (51, 1.0)]
     assert got[60] == [(61, 10.0)] and got[61] == [(60, 10.0)]
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_class(spark):
+    import corpus_pipeline
+
+    base = " ".join(f"w{i}" for i in range(60))
+    near, other = base.replace("w30", "x30"), " ".join(f"o{i}" for i in range(60))
+    rows = [(1, base), (1, base), (2, near), (2, other), (None, base), (3, "  "), (3, "  "), (4, None), (4, None), (5, other + " more"), (6, "short"), (6, "short")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "clash", "clash") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, key string, rank string").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted((x.doc_id, x.text) for x in kept.collect() if x.text)
+    assert got == [(1, base), (2, other), (3, "  "), (3, "  "), (6, "short")]
+    assert kept.where("text IS NULL").count() == 2
+
+
+def test_pipeline_runs_do_not_share_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(2)
+    docs = [(i, " ".join(r.choice(["red", "fox", "sees", "old", "dog", "sun"]) + str(r.randrange(40)) for _ in range(30)), "en", "s", 1) for i in range(40)]
+    spark.createDataFrame([*docs, docs[0], (1, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a question that nothing holds")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    first, second = corpus_pipeline.run(spark, str(tmp_path)), corpus_pipeline.run(spark, str(tmp_path))
+    assert first.count() == second.count() > 30
+
+
+def test_op3_repeated_rows_clashes_and_long_texts(spark):
+    from artisieve.llm.decontamination import keep_unleaked, leaks
+
+    item = "what is the slow red fox doing at night when all others sleep"
+    loop = " ".join([item] * 40)  # one window of the item at 40 places
+    rows = [(1, item), (1, item), (2, loop), (None, "so " + item), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, 1, 2, "k", 3) for i, t in rows], "doc_id long, text string, h long, item long, key string, row int").repartition(2)
+    bench = spark.createDataFrame([(7, item, "x"), (8, item, "y"), (8, loop, "z"), (None, item, "n")], "item_id long, text string, h string")
+    for table in (docs, docs.withColumn("doc_id", docs["doc_id"].cast("string"))):
+        got = Counter((x.doc_id and int(x.doc_id), x.item_id) for x in leaks(table, bench).collect())
+        assert got == {(d, i): 1 + (d == 1) for d in (1, 2, None) for i in (7, 8, None)}
+    assert sorted(x.doc_id for x in keep_unleaked(docs, bench).collect()) == [3, 4]
