@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from artisieve.operators.rules import SCAN, checked_rules, matches, ranked_by_type, scan_body
+from artisieve.operators.rules import SCAN, checked_rules, matches, ranked_by_type, scan_body, tried
 
 UUENCODE = r"(?m)^begin [0-7]{3,4} [^\r\n]+\r?\n[\x20-\x60]{10,}"
 YENC = r"(?im)^=ybegin [^\r\n]*"
@@ -33,15 +33,15 @@ def badword_hits(articles: DataFrame, rules: DataFrame, cap: int = 2000, scan: d
             rules = rules.withColumn(c, F.lit(None).cast(kind))
     articles = scan_body(articles, scan)
     ranked, own_type = ranked_by_type(rules, [F.col("ord")], cap)
-    r = F.broadcast(ranked.select(*[F.col(c).alias(f"r_{c}") for c in ranked.columns]))
-    wanted = lambda name: F.coalesce(F.array_contains("r_targets", name), F.lit(True))
-    hit = lambda name, value: wanted(name) & matches(value, F.col("r_pattern"), F.col("r_match_type"), F.col("r_case_sensitive"))
-    found = articles.join(r, (own_type(F.col("article_type")) == F.col("r_type")) & (hit("subject", F.col("subject")) | hit("body", F.col("body"))))
-    found = found.select(
-        "article_id", F.col("r_rank").alias("rank"), F.col("r_id").alias("rule_id"), hit("subject", F.col("subject")).alias("subject_hit"), hit("body", F.col("body")).alias("body_hit"),
-        F.coalesce("r_subject_score", F.lit(0.0)).alias("subject_score"), F.coalesce("r_body_score", F.lit(0.0)).alias("body_score"), F.col("r_action").alias("action"), F.coalesce("r_stop_on_match", F.lit(False)).alias("stop"),
-        F.col("r_legacy_code").cast("int").alias("own_code"), F.col("r_reason_code").alias("own_reason"), F.col("r_response").alias("own_response"),
-    )
+    def test(r: Callable[[str], Column]) -> tuple[Column, Column]:
+        hit = lambda name: F.coalesce(F.array_contains(r("targets"), name), F.lit(True)) & matches(F.col(name), r("pattern"), r("match_type"), r("case_sensitive"))
+        subject, body = hit("subject"), hit("body")
+        scores = (F.coalesce(r(f"{c}_score"), F.lit(0.0)).alias(f"{c}_score") for c in ("subject", "body"))
+        own = (r("legacy_code").cast("int").alias("own_code"), r("reason_code").alias("own_reason"), r("response").alias("own_response"))
+        out = F.struct(r("rank").alias("rank"), r("id").alias("rule_id"), subject.alias("subject_hit"), body.alias("body_hit"), *scores, r("action").alias("action"), F.coalesce(r("stop_on_match"), F.lit(False)).alias("stop"), *own)
+        return (own_type(F.col("article_type")) == r("type")) & (subject | body), out
+
+    found = tried(articles, ranked, test)
     before = Window.partitionBy("article_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     return found.withColumn("stopped", F.coalesce(F.max((F.col("action") == "reject") | F.col("stop")).over(before), F.lit(False))).where("NOT stopped").drop("stopped")
 

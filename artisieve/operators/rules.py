@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from artisieve.functions import text as X
 
 MAX_RULES = 100_000
+#: So many rules are tried as literal expressions in one projection; more are joined.
+LITERAL_RULES = 256
 #: Characters of a body that word and ban rules read, by article type; other types are read as text.
 SCAN = {"text": 32_768, "binary": 1_048_576}
 
@@ -77,6 +79,20 @@ def ranked_by_type(rules: DataFrame, order: list[Column], cap: int) -> tuple[Dat
     return ranked, lambda kind: F.when(kind.isin(named), kind).otherwise("*")
 
 
+def tried(articles: DataFrame, rules: DataFrame, test: Callable[[Callable[[str], Column]], tuple[Column, Column]]) -> DataFrame:
+    """(article_id, ...) for each rule that an article meets: ``test`` gives a rule's condition and the struct to return, from a
+    function that gives the rule's columns. Few rules become literals, whose patterns are compiled once."""
+    rows = rules.limit(LITERAL_RULES + 1).collect()
+    if rows and len(rows) <= LITERAL_RULES:
+        kinds = dict(rules.dtypes)
+        each = (test(lambda c, row=row: F.lit(row[c]).cast(kinds[c])) for row in rows)
+        found = articles.select("article_id", F.explode(F.array_compact(F.array(*(F.when(met, out) for met, out in each)))).alias("x"))
+    else:
+        met, out = test(lambda c: F.col(f"r_{c}"))
+        found = articles.join(small(rules.select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])), met).select("article_id", out.alias("x"))
+    return found.select("article_id", "x.*")
+
+
 def cidr_matches(addresses: DataFrame, networks: DataFrame, ip_col: str = "client_ip") -> DataFrame:
     """(ip, network) for each distinct address and each network that holds it: a range join on ordered address text."""
     ips = addresses.select(F.col(ip_col).alias("ip")).distinct().withColumn("k", X.ip_key(F.col("ip"))).where("k IS NOT NULL")
@@ -129,16 +145,19 @@ def ban_hits(articles: DataFrame, rules: DataFrame, cap: int = 2000, scan: dict[
         if c not in rules.columns:
             rules = rules.withColumn(c, F.lit(None).cast(kind))
     ranked, own_type = ranked_by_type(rules, [F.desc("priority"), F.col("ord")], cap)
-    rules = F.broadcast(ranked.select(*[F.col(c).alias(f"r_{c}") for c in ranked.columns]))
-    a = scan_body(with_targets(articles), scan)
-    r = lambda c: F.col(f"r_{c}")
-    excluded = F.coalesce(F.array_contains(r("exclude_profiles"), F.col("profile")), F.lit(False))
-    grouped = lambda c: F.rlike("newsgroups", F.concat(F.lit("(?i)"), r(c)))
-    scope = (own_type(F.col("article_type")) == r("type")) & ~excluded & F.coalesce(grouped("include_groups"), F.lit(True)) & ~F.coalesce(grouped("exclude_groups"), F.lit(False))
-    header = F.array_min(F.map_keys(F.map_filter("headers", lambda k, v: F.rlike(k, F.concat(F.lit("(?i)"), r("header_name_pattern"))) & F.rlike(v, F.concat(F.lit("(?i)"), r("header_value_pattern"))))))
-    by_ip = F.coalesce((X.ip_key(F.col("client_ip"))["family"] == X.cidr_range(r("pattern"))["family"]) & X.ip_key(F.col("client_ip"))["key"].between(X.cidr_range(r("pattern"))["lo"], X.cidr_range(r("pattern"))["hi"]), F.lit(False))
-    hit = F.when(r("target") == "any.header", header.isNotNull()).when(r("match_type") == "cidr", by_ip).otherwise(matches(target_value(r("target")), r("pattern"), r("match_type"), r("case_sensitive")))
-    found = a.join(rules, scope & hit).select("article_id", r("rank").alias("rank"), r("id").alias("rule_id"), r("target").alias("target"), r("action").alias("action"), r("score_name").alias("score_name"), r("score").alias("score"), r("value").alias("value"), F.when(r("target") == "any.header", header).alias("header_name"), r("legacy_code").cast("int").alias("own_code"), r("reason_code").alias("own_reason"), r("response").alias("own_response"))
+    def test(r: Callable[[str], Column]) -> tuple[Column, Column]:
+        excluded = F.coalesce(F.array_contains(r("exclude_profiles"), F.col("profile")), F.lit(False))
+        grouped = lambda c: F.rlike("newsgroups", F.concat(F.lit("(?i)"), r(c)))
+        scope = (own_type(F.col("article_type")) == r("type")) & ~excluded & F.coalesce(grouped("include_groups"), F.lit(True)) & ~F.coalesce(grouped("exclude_groups"), F.lit(False))
+        header = F.array_min(F.map_keys(F.map_filter("headers", lambda k, v: F.rlike(k, F.concat(F.lit("(?i)"), r("header_name_pattern"))) & F.rlike(v, F.concat(F.lit("(?i)"), r("header_value_pattern"))))))
+        key, net = X.ip_key(F.col("client_ip")), X.cidr_range(r("pattern"))
+        by_ip = F.coalesce((key["family"] == net["family"]) & key["key"].between(net["lo"], net["hi"]), F.lit(False))
+        hit = F.when(r("target") == "any.header", header.isNotNull()).when(r("match_type") == "cidr", by_ip).otherwise(matches(target_value(r("target")), r("pattern"), r("match_type"), r("case_sensitive")))
+        out = {"rank": "rank", "rule_id": "id", "target": "target", "action": "action", "score_name": "score_name", "score": "score", "value": "value"}
+        own = {"own_code": r("legacy_code").cast("int"), "own_reason": r("reason_code"), "own_response": r("response")}
+        return scope & hit, F.struct(*(r(c).alias(name) for name, c in out.items()), F.when(r("target") == "any.header", header).alias("header_name"), *(c.alias(name) for name, c in own.items()))
+
+    found = tried(scan_body(with_targets(articles), scan), ranked, test)
     before = Window.partitionBy("article_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     return found.withColumn("stopped", F.coalesce(F.max(F.col("action").isin("reject", "drop")).over(before), F.lit(False))).where("NOT stopped").drop("stopped")
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from artisieve.operators.rates import LONG_US, SHORT_US
 from artisieve.sources.articles import write_events
 
 
@@ -23,33 +25,65 @@ def score_stream(articles: DataFrame, score: Callable[[DataFrame], tuple[DataFra
     return articles.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-STATE = "times array<long>, size array<long>"
+def earlier_sums(times: np.ndarray, weights: np.ndarray, new_times: np.ndarray, new_weights: np.ndarray, period: int) -> np.ndarray:
+    """For each new event the summed weights of the events before it, held or new, of the last ``period``; all in time order."""
+    total = lambda w: np.concatenate([[0], np.cumsum(w)])
+    held, mine = total(weights), total(new_weights)
+    since = new_times - period
+    return held[-1] - held[np.searchsorted(times, since)] + mine[: len(new_times)] - mine[np.searchsorted(new_times, since)]
 
 
-def trailing_counts(events: DataFrame, long_us: int = 86_400_000_000, short_us: int = 600_000_000, late: str = "1 hour") -> DataFrame:
-    """(lookup, id, long_count, short_count, long_bytes): counters of earlier events of the key, for a stream of
-    (lookup, id, received_us, ts, total_size). State is a key's events of the last long period; it expires with the
-    watermark. Within a batch, events count in (time, id) order."""
+def trailing_state(events: DataFrame, keys: list[str], measures: dict[str, str], counters: dict[str, tuple[str, int]], late: str) -> DataFrame:
+    """(keys, id, counters): sums over the earlier events of the key, for a stream with ``keys``, id, received_us and ts.
+
+    ``measures`` are SQL expressions; a counter is a measure and a period. State is the key's events of the longest
+    period, as arrays in time order; it expires with the watermark. Within a batch, events count in (time, id) order.
+    """
+    longest = max(period for _, period in counters.values())
+    names = list(measures)
 
     def step(key: tuple, pages: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        times, sizes = (list(x) for x in state.get) if state.exists else ([], [])
+        times, *held = (np.array(x, np.int64) for x in (state.get if state.exists else [[] for _ in range(len(names) + 1)]))
         new = pd.concat(list(pages)).sort_values(["received_us", "id"])
-        out = []
-        for e in new.itertuples():
-            pairs = [(t, s) for t, s in zip(times, sizes, strict=True) if t >= e.received_us - long_us]
-            times, sizes = [t for t, _ in pairs], [s for _, s in pairs]
-            out.append((key[0], e.id, len(times), sum(t >= e.received_us - short_us for t in times), sum(sizes)))
-            times.append(int(e.received_us))
-            sizes.append(int(e.total_size))
-        state.update((times, sizes))
-        state.setTimeoutTimestamp(max(times[-1] // 1000 + long_us // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["lookup", "id", "long_count", "short_count", "long_bytes"])
-
-    keyed = events.withWatermark("ts", late).groupBy("lookup")
-    return keyed.applyInPandasWithState(step, "lookup string, id long, long_count long, short_count long, long_bytes long", STATE, "append", "EventTimeTimeout")
+        t = new["received_us"].to_numpy(np.int64)
+        fresh = [new[m].to_numpy(np.int64) for m in names]
+        sums = {c: earlier_sums(times, held[names.index(m)], t, fresh[names.index(m)], period) for c, (m, period) in counters.items()}
+        every = np.concatenate([times, t])
+        order = np.argsort(every, kind="stable")
+        order = order[every[order] >= t[-1] - longest]
+        state.update(tuple(np.concatenate(x)[order].tolist() for x in ((times, t), *zip(held, fresh, strict=True))))
+        state.setTimeoutTimestamp(max(int(every.max()) // 1000 + longest // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({**dict(zip(keys, key, strict=True)), "id": new["id"].to_numpy(), **sums})
+
+    kinds = dict(events.dtypes)
+    read = events.select(*keys, "id", "received_us", "ts", *(F.expr(x).cast("long").alias(m) for m, x in measures.items()))
+    out = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"id {kinds['id']}", *(f"{c} long" for c in counters)])
+    state = ", ".join(f"{x} array<long>" for x in ("times", *names))
+    return read.withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(step, out, state, "append", "EventTimeTimeout")
+
+
+def trailing_counts(events: DataFrame, long_us: int = LONG_US, short_us: int = SHORT_US, late: str = "1 hour") -> DataFrame:
+    """(lookup, id, long_count, short_count, long_bytes) for a stream of (lookup, id, received_us, ts, total_size)."""
+    counters = {"long_count": ("one", long_us), "short_count": ("one", short_us), "long_bytes": ("size", long_us)}
+    return trailing_state(events, ["lookup"], {"one": "1", "size": "total_size"}, counters, late)
+
+
+def rate_stream(events: DataFrame, long_us: int = LONG_US, short_us: int = SHORT_US, late: str = "1 hour") -> DataFrame:
+    """(kind, lookup, id) and the ten counters of ``rates.rate_snapshot``, for a stream of identities' events."""
+    measures = {"articles": "int(nntp_result <=> 'accepted')", "errors": "int(technical_verdict <=> 'reject')", "size": "coalesce(total_size, 0)", "groups": "coalesce(group_count, 0)", "followups": "coalesce(followup_count, 0)"}
+    counters = {}
+    for m in measures:
+        counters["max_articles" if m == "articles" else f"max_total_{m}"] = (m, long_us)
+        counters[f"max_short_{m}"] = (m, short_us)
+    return trailing_state(events, ["kind", "lookup"], measures, counters, late)
+
+
+def multipost_stream(events: DataFrame, period_us: int = LONG_US, late: str = "1 hour") -> DataFrame:
+    """(article_digest, id, multipost): accepted earlier events of the digest in the period."""
+    return trailing_state(events, ["article_digest"], {"accepted": "int(nntp_result <=> 'accepted')"}, {"multipost": ("accepted", period_us)}, late)
 
 
 def hourly_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -93,3 +93,14 @@ def test_stream_scoring(spark, tmp_path):
     events, hits = A.read_events(spark, f"{tmp_path}/out")
     assert events.count() == 10 and hits.count() == 5
     assert run(spark, scoring.dedupe_lookups(stream_of(spark, spark.createDataFrame([("p", "k"), ("p", "k"), ("q", "k")], "provider string, key string").withColumn("ts", F.timestamp_seconds(F.lit(5))), f"{tmp_path}/d")), "deduped").count() == 2
+
+
+def test_rate_and_multipost_streams(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(r.choice(["ID", "IP"]), f"u{r.randrange(3)}", i, r.randrange(3 * 86_400) * 1_000_000, r.choice(["accepted", "rejected", None]), r.choice(["pass", "reject"]), r.randrange(9), r.randrange(4), None, f"d{r.randrange(4)}") for i in range(150)]
+    df = spark.createDataFrame(rows, "kind string, lookup string, id long, received_us long, nntp_result string, technical_verdict string, total_size long, group_count int, followup_count int, article_digest string").withColumn("ts", F.timestamp_micros("received_us"))
+    got = run(spark, scoring.rate_stream(stream_of(spark, df, str(tmp_path / "a"))), "rates")
+    want = rates.rate_snapshot(df).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    got = run(spark, scoring.multipost_stream(stream_of(spark, df, str(tmp_path / "b"))), "multi")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rates.multipost_count(df).select(*got.columns).collect()))
