@@ -14,13 +14,15 @@ STEPS = "style attachments binary userdb tor rbl uribl banlist badwords rate_lim
 EXEMPT = [48, 95]
 
 
-def combine(articles: DataFrame, results: dict[str, DataFrame]) -> DataFrame:
-    """Adds ``results``: one struct (step, legacy_code) for each step in order; a step without a row passed. Each result
-    has at most one row an article: (article_id, legacy_code)."""
-    out = articles
-    for name, df in results.items():
-        out = out.join(df.select("article_id", F.col("legacy_code").alias(f"__{name}")), "article_id", "left")
-    entries = [F.struct(F.lit(n).alias("step"), F.coalesce(F.col(f"__{n}"), F.lit(0)).alias("legacy_code")) for n in results]
+def combine(articles: DataFrame, results: dict[str, DataFrame | Column]) -> DataFrame:
+    """Adds ``results``: one struct (step, legacy_code) for each step in order; a step without a row passed. A step is a table
+    with at most one row an article, (article_id, legacy_code), or an expression over ``articles``, which costs no join."""
+    out, codes = articles, {}
+    for name, step in results.items():
+        codes[name] = step if isinstance(step, Column) else F.col(f"__{name}")
+        if isinstance(step, DataFrame):
+            out = out.join(step.select("article_id", F.col("legacy_code").alias(f"__{name}")), "article_id", "left")
+    entries = [F.struct(F.lit(n).alias("step"), F.coalesce(c, F.lit(0)).alias("legacy_code")) for n, c in codes.items()]
     return out.withColumn("results", F.array(*entries)).drop(*[f"__{n}" for n in results])
 
 
@@ -78,9 +80,11 @@ def response(final: Column, message: Column) -> Column:
     return F.when(final["nntp_result"] == "accepted", "").when(final["nntp_result"] == "discarded", "DROP").otherwise(F.coalesce(F.nullif(message, F.lit("")), F.lit("Article rejected")))
 
 
-def explain(combined: DataFrame) -> DataFrame:
-    """(article_id, step_no, step, legacy_code, verdict): one row for each step."""
-    return combined.select("article_id", F.posexplode("results").alias("step_no", "r")).select("article_id", "step_no", "r.step", "r.legacy_code", F.when(F.col("r.legacy_code") == 0, "pass").otherwise("reject").alias("verdict"))
+def explain(combined: DataFrame, server: str | None = None) -> DataFrame:
+    """(article_id, step_no, step, legacy_code, verdict): one row for each step. With ``server``, the column of what the server
+    itself answers once all steps are done, that is the last step, ``inn``."""
+    steps = F.col("results") if server is None else F.concat("results", F.array(F.struct(F.lit("inn").alias("step"), F.coalesce(F.col(server), F.lit(0)).alias("legacy_code"))))
+    return combined.select("article_id", F.posexplode(steps).alias("step_no", "r")).select("article_id", "step_no", "r.step", "r.legacy_code", F.when(F.col("r.legacy_code") == 0, "pass").otherwise("reject").alias("verdict"))
 
 
 def custom_rule(articles: DataFrame, rule: Callable, columns: list[str], on_error: str = "accept") -> DataFrame:

@@ -121,6 +121,14 @@ def target_value(target: Column, body: str = "body") -> Column:
     )
 
 
+def metric_values(articles: DataFrame) -> Column:
+    """Map of the metrics that ``add_metric`` rules can name, as far as the articles have their columns."""
+    sources = {"body_bytes": ("body_size", "body_size"), "header_bytes": ("header_size", "header_size"), "total_bytes": ("total_size", "total_size"), "body_lines": ("line_stats", "line_stats.lines"), "lines": ("line_stats", "line_stats.lines")}
+    found = {name: F.col(value) for name, (column, value) in sources.items() if column in articles.columns}
+    found |= {name: F.size(name) for name in ("groups", "followups") if name in articles.columns}
+    return F.create_map(*[x for name, c in found.items() for x in (F.lit(name), c.cast("double"))]).cast("map<string,double>")
+
+
 def with_targets(articles: DataFrame) -> DataFrame:
     """Adds the columns that targets read, where the input lacks them."""
     for name in ("body", "subject", "from", "client_ip", "client_domain", "user", "newsgroups", "article_type", "profile"):
@@ -132,19 +140,22 @@ def with_targets(articles: DataFrame) -> DataFrame:
 
 
 def ban_hits(articles: DataFrame, rules: DataFrame, cap: int = 2000, scan: dict[str, int] | None = SCAN) -> DataFrame:
-    """(article_id, rank, rule_id, target, action, score_name, score, value, header_name, own_code, own_reason, own_response):
+    """(article_id, rank, rule_id, target, action, score_name, score, value, header_name, metric_value, own_code, own_reason, own_response):
     matching rules in order, cut after the first that rejects or drops. An article is tried with the first ``cap`` rules of its
     type. ``rules``: id, ord, priority, target, match_type, pattern, action, and optionally header_name_pattern /
     header_value_pattern, include_groups / exclude_groups, exclude_profiles, article_types, and the rule's own legacy_code,
     reason_code and response."""
     rules = checked_rules(rules)
-    for c in ("header_name_pattern", "header_value_pattern", "include_groups", "exclude_groups", "value", "score_name", "reason_code", "response"):
+    for c in ("header_name_pattern", "header_value_pattern", "include_groups", "exclude_groups", "value", "score_name", "reason_code", "response", "metric"):
         if c not in rules.columns:
             rules = rules.withColumn(c, F.lit(None).cast("string"))
     for c, kind in (("exclude_profiles", "array<string>"), ("legacy_code", "int")):
         if c not in rules.columns:
             rules = rules.withColumn(c, F.lit(None).cast(kind))
     ranked, own_type = ranked_by_type(rules, [F.desc("priority"), F.col("ord")], cap)
+    a = scan_body(with_targets(articles), scan)
+    metrics = metric_values(a)
+
     def test(r: Callable[[str], Column]) -> tuple[Column, Column]:
         excluded = F.coalesce(F.array_contains(r("exclude_profiles"), F.col("profile")), F.lit(False))
         grouped = lambda c: F.rlike("newsgroups", F.concat(F.lit("(?i)"), r(c)))
@@ -154,10 +165,11 @@ def ban_hits(articles: DataFrame, rules: DataFrame, cap: int = 2000, scan: dict[
         by_ip = F.coalesce((key["family"] == net["family"]) & key["key"].between(net["lo"], net["hi"]), F.lit(False))
         hit = F.when(r("target") == "any.header", header.isNotNull()).when(r("match_type") == "cidr", by_ip).otherwise(matches(target_value(r("target")), r("pattern"), r("match_type"), r("case_sensitive")))
         out = {"rank": "rank", "rule_id": "id", "target": "target", "action": "action", "score_name": "score_name", "score": "score", "value": "value"}
-        own = {"own_code": r("legacy_code").cast("int"), "own_reason": r("reason_code"), "own_response": r("response")}
+        metric = F.when(r("action") == "add_metric", F.try_element_at(metrics, F.coalesce(r("metric"), F.lit("groups"))))
+        own = {"metric_value": metric, "own_code": r("legacy_code").cast("int"), "own_reason": r("reason_code"), "own_response": r("response")}
         return scope & hit, F.struct(*(r(c).alias(name) for name, c in out.items()), F.when(r("target") == "any.header", header).alias("header_name"), *(c.alias(name) for name, c in own.items()))
 
-    found = tried(scan_body(with_targets(articles), scan), ranked, test)
+    found = tried(a, ranked, test)
     before = Window.partitionBy("article_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     return found.withColumn("stopped", F.coalesce(F.max(F.col("action").isin("reject", "drop")).over(before), F.lit(False))).where("NOT stopped").drop("stopped")
 
@@ -170,11 +182,11 @@ def ban_verdict(hits: DataFrame) -> DataFrame:
     return g.select("article_id", F.when(F.col("t").isNotNull(), F.coalesce("t.own_code", F.lit(34))).otherwise(0).alias("legacy_code"), F.when(F.col("t.action") == "drop", "discard").alias("requested_action"), F.col("t.rule_id").alias("rule_id"), "force_save", F.col("t.own_reason").alias("reason_code"), F.col("t.own_response").alias("response"))
 
 
-def named_scores(hits: DataFrame, global_limit: float = 10.0, metrics: dict[str, str] | None = None) -> DataFrame:
+def named_scores(hits: DataFrame, global_limit: float = 10.0) -> DataFrame:
     """(article_id, scores map, over): a fold of score actions in rule order.
 
     ``add_score`` adds value, else score, else 1; ``clear_score`` sets 0; ``set_score_limit`` sets a name's limit;
-    ``add_metric`` adds the hit's ``metric_value``. ``over`` is the first name, by check then by name, whose score
+    ``add_metric`` adds the hit's ``metric_value`` (``metric_values``). ``over`` is the first name, by check then by name, whose score
     passes the global limit or its own positive limit; ``verify_score`` checks at its place.
     """
     if "metric_value" not in hits.columns:

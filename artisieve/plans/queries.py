@@ -353,13 +353,18 @@ def full_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.withColumn("headers", F.map_concat(head, extra))
 
 
-def style_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def style_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = full_articles(spark, sf_dir)
     groups = X.split_groups(F.col("newsgroups"))
     body_size, head_size = F.octet_length("body").cast("long"), X.header_size(F.col("headers"))
-    ready = a.withColumns({"groups": groups, "followups": F.array().cast("array<string>"), "skip": F.array().cast("array<string>"), "body_size": body_size, "header_size": head_size, "total_size": body_size + head_size, "line_stats": X.line_statistics(F.col("body")), "received_s": F.floor(F.col("received_us") / 1_000_000)})
-    limits = structure.StyleLimits(max_body={"text": 20_000, "binary": 10_000}, max_line_length=3_000, max_quoted_ratio=0.9, distributions=("local", "usenet"), max_hierarchies=1, forbidden_groups=(r"^es\.src7$",))
-    return ready.select("article_id", structure.style_code(limits).alias("legacy_code"))
+    return a.withColumns({"groups": groups, "followups": F.array().cast("array<string>"), "skip": F.array().cast("array<string>"), "body_size": body_size, "header_size": head_size, "total_size": body_size + head_size, "line_stats": X.line_statistics(F.col("body")), "received_s": F.floor(F.col("received_us") / 1_000_000)})
+
+
+LIMITS = structure.StyleLimits(max_body={"text": 20_000, "binary": 10_000}, max_line_length=3_000, max_quoted_ratio=0.9, distributions=("local", "usenet"), max_hierarchies=1, forbidden_groups=(r"^es\.src7$",))
+
+
+def style_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_inputs(spark, sf_dir).select("article_id", structure.style_code(LIMITS).alias("legacy_code"))
 
 
 @register
@@ -420,9 +425,16 @@ def step_results(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"style": style_codes(spark, sf_dir), "binary": encoded_binaries(spark, sf_dir), "banlist": rules.ban_verdict(bans(spark, sf_dir)).select("article_id", "legacy_code"), "badwords": badword_verdict(spark, sf_dir).select("article_id", "legacy_code")}
 
 
+def all_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps that are expressions are computed in the one scan that gives the articles."""
+    own = {"style": structure.style_code(LIMITS), "binary": content.binary_code(F.col("body"), F.col("article_type"))}
+    ready = style_inputs(spark, sf_dir).select("article_id", *(c.alias(name) for name, c in own.items()))
+    return decide.combine(ready, step_results(spark, sf_dir) | {name: F.col(name) for name in own})
+
+
 @register
 def verdicts_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    all_ = decide.combine(fixtures.articles(spark, sf_dir).select("article_id"), step_results(spark, sf_dir))
+    all_ = all_steps(spark, sf_dir)
     first = decide.first_failure(F.col("results"))
     return all_.select("article_id", first["step"].alias("step"), F.coalesce(first["legacy_code"], F.lit(0)).alias("legacy_code"))
 
@@ -436,7 +448,7 @@ def verdicts_enforce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def explain_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide.explain(decide.combine(fixtures.articles(spark, sf_dir).select("article_id"), step_results(spark, sf_dir)))
+    return decide.explain(all_steps(spark, sf_dir))
 
 
 @register

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` once to the session's spark.checkpoint.dir and reads it back; a local folder only where none is set."""
+    """Writes ``df`` once to the session's spark.checkpoint.dir and reads it back; a local folder only where none is set and
+    Spark runs on one machine."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="artisieve-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/artisieve/{label}-{uuid.uuid4().hex}"

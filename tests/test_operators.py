@@ -284,6 +284,9 @@ def test_decisions(spark):
     got = decide.enforce(a, [(n, lambda open_, d=d: d.join(open_, "article_id", "left_semi")) for n, d in steps.items()]).collect()
     assert sorted((x.article_id, x.step) for x in got) == [(0, "style"), (1, "banlist")]
     assert decide.explain(decide.combine(a, steps)).count() == 6
+    own = decide.combine(a.withColumn("own", F.lit(7)), {"own": F.col("own"), **steps})
+    assert [x.f.legacy_code for x in own.select(decide.first_failure(F.col("results")).alias("f")).collect()] == [7] * a.count()
+    assert decide.explain(own, "own").where("step = 'inn' AND legacy_code = 7").count() == a.count()
     assert one(spark, decide.server_mode("closed", F.lit(0))) == 48 and one(spark, decide.server_mode("disabled", F.lit(9))) == 0
 
 
@@ -382,3 +385,11 @@ def test_header_tokens():
     assert ok("User-Agent", "a/1 (c) b / 2 d") and not ok("User-Agent", "a/b/c") and ok("MIME-Version", "1 . 0 (x)") and not ok("MIME-Version", "1.1")
     assert ok("References", "<a@b> (c)<d@e>") and not ok("References", "(c)") and ok("Archive", "No; filename=x") and not ok("Content-Disposition", "")
     assert validity.parse_injection_info(r'n.org; posting-host="a\"b"; x-y=z') == [("", "n.org"), ("posting-host", 'a"b'), ("x-y", "z")]
+
+
+def test_metrics_add_to_scores(spark):
+    a = spark.createDataFrame([(1, "text", ["a", "b"], 70)], "article_id long, article_type string, groups array<string>, body_size long")
+    table = spark.createDataFrame([("m1", 1, -1, "", "add_metric", "x", None), ("m2", 2, -2, "", "add_metric", "x", "body_bytes"), ("m3", 3, -3, "", "add_metric", "y", "none")], "id string, ord int, priority int, pattern string, action string, score_name string, metric string")
+    table = table.withColumns({"target": F.lit("subject"), "match_type": F.lit("contains")})
+    got = rules.named_scores(rules.ban_hits(a.withColumn("subject", F.lit("s")), table), global_limit=71.0).first()
+    assert (got.scores, got.over) == ({"x": 72.0, "y": 0.0}, "x")
