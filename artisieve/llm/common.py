@@ -158,7 +158,7 @@ def minimisers(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(sliding(least, window, np.maximum) == hashes)
 
 
-def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts of a batch, each of about ``most`` bytes, so that long texts never pile up in Python."""
     if not batch.num_rows:
         return

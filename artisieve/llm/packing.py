@@ -98,7 +98,7 @@ class WordIds:
         """The ids of words by hash, those that are new from their spelling."""
         if len(self.words) >= self.bound:
             self.before, self.words = self.words, {}
-        if len(self.parts) >= self.bound:
+        if len(self.parts) >= 2 * self.bound:
             self.parts.clear()
         ids, before = list(map(self.words.get, names)), self.before
         for i, found in enumerate(ids):
@@ -218,7 +218,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, window: int, end: int, id_co
         words, part = word_ids(tokenizer_path), TaskContext.get().partitionId()
         ranks, n_row, n_full = np.zeros(len(edges), np.int64), 0, 0
         for whole in batches:
-            for b in slices(whole, 4 << 20):
+            for b in slices(whole):
                 out: list[tuple] = []
                 for ids in words.encode(b.column(1), end):
                     full = len(ids) // window
