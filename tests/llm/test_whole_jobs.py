@@ -230,7 +230,7 @@ def test_pipeline_runs_do_not_share_tables(spark, tmp_path):
     r = random.Random(2)
     docs = [(i, " ".join(r.choice(["red", "fox", "sees", "old", "dog", "sun"]) + str(r.randrange(40)) for _ in range(30)), "en", "s", 1) for i in range(40)]
     spark.createDataFrame([*docs, docs[0], (1, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, 1, int(i == 0)) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "a question that nothing holds")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     first, second = corpus_pipeline.run(spark, str(tmp_path)), corpus_pipeline.run(spark, str(tmp_path))
     assert first.count() == second.count() > 30
