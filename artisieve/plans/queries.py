@@ -360,11 +360,11 @@ def style_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.withColumns({"groups": groups, "followups": F.array().cast("array<string>"), "skip": F.array().cast("array<string>"), "body_size": body_size, "header_size": head_size, "total_size": body_size + head_size, "line_stats": X.line_statistics(F.col("body")), "received_s": F.floor(F.col("received_us") / 1_000_000)})
 
 
-LIMITS = structure.StyleLimits(max_body={"text": 20_000, "binary": 10_000}, max_line_length=3_000, max_quoted_ratio=0.9, distributions=("local", "usenet"), max_hierarchies=1, forbidden_groups=(r"^es\.src7$",))
+STYLE_LIMITS = structure.StyleLimits(max_body={"text": 20_000, "binary": 10_000}, max_line_length=3_000, max_quoted_ratio=0.9, distributions=("local", "usenet"), max_hierarchies=1, forbidden_groups=(r"^es\.src7$",))
 
 
 def style_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return style_inputs(spark, sf_dir).select("article_id", structure.style_code(LIMITS).alias("legacy_code"))
+    return style_inputs(spark, sf_dir).select("article_id", structure.style_code(STYLE_LIMITS).alias("legacy_code"))
 
 
 @register
@@ -427,7 +427,7 @@ def step_results(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def all_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps that are expressions are computed in the one scan that gives the articles."""
-    own = {"style": structure.style_code(LIMITS), "binary": content.binary_code(F.col("body"), F.col("article_type"))}
+    own = {"style": structure.style_code(STYLE_LIMITS), "binary": content.binary_code(F.col("body"), F.col("article_type"))}
     ready = style_inputs(spark, sf_dir).select("article_id", *(c.alias(name) for name, c in own.items()))
     return decide.combine(ready, step_results(spark, sf_dir) | {name: F.col(name) for name in own})
 
