@@ -3,7 +3,7 @@
 Each text is tokenised whole by two vocabularies whose tokens spell the same bytes. A place where both streams
 begin a token that is marked as following a blank is an anchor: there the ends before it are shared, which is verified on
 byte offsets. Anchors cut a text into windows of token ids. A window's groups and links depend on its two tuples of
-ids alone, so they are worked out once for each tuple pair that a worker meets.
+ids alone, so a worker keeps them by the tuples; the windows of some texts that it has not met are worked out together.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from artisieve.llm.common import MULTIPLIER, mix64, scratch, slices, staged
+from artisieve.llm.token_counts import BLANK, CHUNK, ChunkCounter
 
 SHIFT = 32
 
@@ -30,15 +32,31 @@ def byte_of() -> dict[str, int]:
 
 
 class Side:
-    """One tokenizer: ``encode(texts)`` and the bytes of each id."""
+    """One tokenizer: ``encode(texts)``, the bytes of each id, and whether the bytes of a text's ids are always its own."""
 
-    def __init__(self, spelled: list[bytes], encode: Callable[[list[str]], list]):
-        self.spelled, self.encode = spelled, encode
+    def __init__(self, spelled: list[bytes], encode: Callable[[list[str]], list[list[int]]], exact: bool = False):
+        self.spelled, self.encode, self.exact = spelled, encode, exact
         self.size = np.array([len(x) for x in spelled], np.int64)
         self.marked = np.array([x[:1] == b" " for x in spelled])
         self.value = mix64(np.arange(1, len(spelled) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+class ChunkIds(ChunkCounter):
+    """chunk (first blank dropped) -> ids, for models in which no token crosses from a chunk into the next (proven as for counts)."""
+
+    def _alone(self, chunk: str) -> list[int]:
+        return self.model.encode("x " + chunk)[self.lead :]
+
+    def _prove(self) -> dict:
+        return {}
+
+    def ids(self, text: str) -> list[int]:
+        if not self.splits or BLANK in text:
+            return self.model.encode(text)
+        chunks = [c[1:] for c in CHUNK.findall(" " + text)] if "  " in text or text[0] == " " or text[-1] == " " else text.split(" ")
+        return list(chain.from_iterable(map(self.__getitem__, chunks)))
+
+
 def byte_level(path: str) -> Side:
     """A byte-level vocabulary in a tokenizers file; strings of special tokens inside texts are plain text. Where the merges
     are ranked as their tokens are numbered, and the splitting rule is the usual one, ``tiktoken`` gives the library's ids
@@ -63,62 +81,79 @@ def byte_level(path: str) -> Side:
 
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed: the splitting rule of byte-level files
         fast = tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks={spelled[i]: i for i in range(256 + len(pairs))}, special_tokens={})
-        return Side(spelled, lambda texts: [fast.encode_ordinary(t) for t in texts])
+        return Side(spelled, lambda texts: [fast.encode_ordinary(t) for t in texts], exact=True)
     return Side(spelled, lambda texts: [e.ids for e in library.encode_batch(texts, add_special_tokens=False)])
 
 
 def pieces(path: str) -> Side:
-    """A piece model: the blank marker spells a blank, a byte piece its byte."""
-    import sentencepiece
-
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    """A piece model: the blank marker spells a blank, a byte piece its byte. Chunks between blanks are encoded once for each that
+    a worker meets."""
+    chunks = ChunkIds(path, 300_000)
+    model = chunks.model
     name = model.id_to_piece
-    spelled = [bytes([int(name(i)[3:-1], 16)]) if model.is_byte(i) else name(i).replace("▁", " ").encode() for i in range(model.get_piece_size())]
-    return Side(spelled, lambda texts: model.encode(texts, num_threads=1))
-
-
-def aligned(a: tuple[int, ...], b: tuple[int, ...], size_a: np.ndarray, size_b: np.ndarray) -> tuple[int, str, list[int]]:
-    """(number of groups, their text, links) of one window; a link is A's id above B's."""
-    i = j = 0
-    end_a, end_b = int(size_a[a[0]]), int(size_b[b[0]])
-    first_a = first_b = 0
-    groups, links = [], []
-    while True:
-        links.append(a[i] << SHIFT | b[j])  # the current tokens overlap
-        if end_a == end_b:
-            groups.append(",".join(map(str, a[first_a : i + 1])) + "|" + ",".join(map(str, b[first_b : j + 1])))
-            i, j = first_a, first_b = i + 1, j + 1
-            if i == len(a):
-                return len(groups), ";".join(groups), links
-            end_a += int(size_a[a[i]])
-            end_b += int(size_b[b[j]])
-        elif end_a < end_b:
-            i += 1
-            end_a += int(size_a[a[i]])
-        else:
-            j += 1
-            end_b += int(size_b[b[j]])
+    spelled = [bytes([int(name(i)[3:-1], 16)]) if model.is_byte(i) else name(i).replace(BLANK, " ").encode() for i in range(model.get_piece_size())]
+    return Side(spelled, lambda texts: [chunks.ids(t) for t in texts])
+
+
+def places(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, .. within each of the consecutive runs of these sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def picked(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indexes of runs that begin ``at`` and have these sizes, one after the other."""
+    return places(sizes) + np.repeat(at, sizes)
 
 
 class Aligner:
-    """Alignments of whole texts, with a memo of windows."""
+    """Alignments of whole texts, with a memo of windows: (A's ids, B's ids), packed -> (number of groups, their text, links, packed)."""
 
-    def __init__(self, a_path: str, b_path: str, bound: int = 200_000):
+    def __init__(self, a_path: str, b_path: str, bound: int = 300_000):
         self.a, self.b, self.bound = byte_level(a_path), pieces(b_path), bound
-        self.memo: dict[tuple, tuple] = {}
-
-    def window(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, str, np.ndarray]:
-        found = self.memo.get((a, b))
-        if found is None:
-            n, text, links = aligned(a, b, self.a.size, self.b.size)
-            found = n, text, np.array(links, np.int64)
-            if len(a) <= 64:  # long windows seldom come again
-                if len(self.memo) >= self.bound:
-                    self.memo.clear()
-                self.memo[a, b] = found
-        return found
-
-    def ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        self.memo: dict[tuple[bytes, bytes], tuple[int, str, bytes]] = {}
+        self.last_a, self.last_b = (pa.array([f"{i}{mark}" for mark in marks for i in range(len(side.spelled))]) for side, marks in ((self.a, ",|"), (self.b, ",;")))
+
+    def aligned(self, a: np.ndarray, b: np.ndarray, many_a: np.ndarray, many_b: np.ndarray) -> Iterator[tuple[int, str, bytes]]:
+        """The alignment of each of the windows that follow each other in ``a`` and ``b``, of so many ids each."""
+        end_a, end_b = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
+        ends = np.union1d(end_a, end_b)
+        # Between two neighbouring ends lie one token of A and one of B, and each overlapping pair is met just once.
+        links = (a[np.searchsorted(end_a, ends)] << SHIFT | b[np.searchsorted(end_b, ends)]).tobytes()
+        shared = np.intersect1d(end_a, end_b, assume_unique=True)
+        # The text of all groups: A's ids, each with its mark, then B's, group by group.
+        group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+        last = lambda group: np.append(np.diff(group) != 0, True)
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        shift = len(self.a.spelled) * 2
+        token = np.concatenate([a + len(self.a.spelled) * last(group_a), shift + b + len(self.b.spelled) * last(group_b)])[order]
+        spelled = pa.concat_arrays([self.last_a, self.last_b]).take(pa.array(token))
+        text = spelled.buffers()[2].to_pybytes().decode("ascii")
+        at = np.frombuffer(spelled.buffers()[1], np.int32)
+        window_end = end_a[np.cumsum(many_a) - 1]
+        text_end = at[np.cumsum(many_a + many_b)].tolist()
+        link_end = (8 * np.searchsorted(ends, window_end, "right")).tolist()
+        groups = np.diff(np.searchsorted(shared, window_end, "right"), prepend=0).tolist()
+        for n, t0, t1, l0, l1 in zip(groups, [0, *text_end], text_end, [0, *link_end], link_end, strict=False):
+            yield n, text[t0 : t1 - 1], links[l0:l1]
+
+    def windows(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, many_a: np.ndarray, many_b: np.ndarray) -> list[tuple[int, str, bytes]]:
+        """The alignment of each of these windows; those not met before are worked out together."""
+        raw_a, raw_b = (x[picked(at, many)].astype(np.uint32).tobytes() for x, at, many in ((a, at_a, many_a), (b, at_b, many_b)))
+        cut_a, cut_b = (np.cumsum(4 * many).tolist() for many in (many_a, many_b))
+        keys = [(raw_a[s:e], raw_b[t:f]) for s, e, t, f in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b, strict=False)]
+        out = [self.memo.get(k) for k in keys]
+        new = np.flatnonzero([x is None for x in out])
+        if len(new):
+            if len(self.memo) + len(new) > self.bound:
+                self.memo.clear()
+            some_a, some_b = many_a[new], many_b[new]
+            for i, found in zip(new.tolist(), self.aligned(a[picked(at_a[new], some_a)], b[picked(at_b[new], some_b)], some_a, some_b), strict=True):
+                out[i] = found
+                if len(keys[i][0]) <= 256:  # long windows seldom come again
+                    self.memo[keys[i]] = found
+        return out
+
+    def ids(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Both streams of ids of each text; empty where they do not spell blank + text."""
         none = np.zeros(0, np.int64)
         full = [i for i, t in enumerate(texts) if t]
@@ -127,11 +162,11 @@ class Aligner:
         spaced = [" " + t for t in some]
         for i, text, a, b in zip(full, spaced, self.a.encode(spaced), self.b.encode(some), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            if b"".join(map(self.b.spelled.__getitem__, b)) == raw and b"".join(map(self.a.spelled.__getitem__, a)) == raw:
+            if all(side.exact or b"".join(map(side.spelled.__getitem__, x)) == raw for side, x in ((self.b, b), (self.a, a))):
                 out_a[i], out_b[i] = np.array(a, np.int64), np.array(b, np.int64)
         return out_a, out_b
 
-    def align(self, texts: list[str]) -> dict[str, list | np.ndarray]:
+    def align(self, texts: list[str | None]) -> dict[str, list | np.ndarray]:
         """Columns n_a, n_b, n_groups, n_links, groups_sha256 and, as lists, the distinct links of each text with their numbers."""
         by_a, by_b = self.ids(texts)
         n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (by_a, by_b))
@@ -148,27 +183,25 @@ class Aligner:
             open_a[first_a] = open_b[np.cumsum(n_b)[full] - n_b[full]] = True
             anchors = np.intersect1d(begin_a[open_a], begin_b[open_b], assume_unique=True)
             at_a, at_b = np.searchsorted(begin_a, anchors), np.searchsorted(begin_b, anchors)
+            many_a, many_b = np.diff(np.append(at_a, len(a))), np.diff(np.append(at_b, len(b)))
             key = np.zeros(len(anchors), np.uint64)
             with np.errstate(over="ignore"):
-                for side, ids, at in ((self.a, a, at_a), (self.b, b, at_b)):
-                    many = np.diff(np.append(at, len(ids)))
+                for side, ids, at, many in ((self.a, a, at_a, many_a), (self.b, b, at_b, many_b)):
                     powers = np.cumprod(np.append(np.uint64(1), np.full(int(many.max()), MULTIPLIER)))
-                    place = np.arange(len(ids)) - np.repeat(at, many)
-                    key = mix64(key + np.add.reduceat(side.value[ids] * powers[place], at) + many.astype(np.uint64))
+                    key = mix64(key + np.add.reduceat(side.value[ids] * powers[places(many)], at) + many.astype(np.uint64))
             _, one, kind = np.unique(key, return_index=True, return_inverse=True)
-            to_a, to_b = np.append(at_a, len(a))[1:], np.append(at_b, len(b))[1:]
-            windows = [self.window(tuple(a[at_a[i] : to_a[i]].tolist()), tuple(b[at_b[i] : to_b[i]].tolist())) for i in one.tolist()]
+            windows = self.windows(a, b, at_a[one], at_b[one], many_a[one], many_b[one])
             # Windows of each text, then its links: counted by text and link.
             edge = np.searchsorted(at_a, np.append(first_a, len(a)))
-            for name, each in (("n_groups", [w[0] for w in windows]), ("n_links", [len(w[2]) for w in windows])):
-                out[name][full] = np.add.reduceat(np.array(each, np.int64)[kind], edge[:-1])
-            spelled = np.array([w[1] for w in windows], object)[kind].tolist()
+            groups, spelled, packed = zip(*windows, strict=True)
+            wide = np.fromiter(map(len, packed), np.int64, len(packed)) // 8
+            out["n_groups"][full] = np.add.reduceat(np.array(groups, np.int64)[kind], edge[:-1])
+            out["n_links"][full] = np.add.reduceat(wide[kind], edge[:-1])
+            each = np.array(spelled, object)[kind].tolist()
             for t, s, e in zip(full.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                out["groups_sha256"][t] = hashlib.sha256(";".join(spelled[s:e]).encode()).hexdigest()
-            codes, local = np.unique(np.concatenate([w[2] for w in windows]), return_inverse=True)
-            many = np.array([len(w[2]) for w in windows], np.int64)
-            base, wide = (np.cumsum(many) - many)[kind], many[kind]
-            where = np.arange(int(wide.sum())) - np.repeat(np.cumsum(wide) - wide - base, wide)
+                out["groups_sha256"][t] = hashlib.sha256(";".join(each[s:e]).encode()).hexdigest()
+            codes, local = np.unique(np.frombuffer(b"".join(packed), np.int64), return_inverse=True)
+            where = picked((np.cumsum(wide) - wide)[kind], wide[kind])
             text = np.repeat(full, out["n_links"][full])
             both, times = np.unique(text * len(codes) + local[where], return_counts=True)
             links, cuts = codes[both % len(codes)], np.searchsorted(both // len(codes), np.arange(len(texts) + 1))

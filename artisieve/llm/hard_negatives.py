@@ -21,7 +21,7 @@ from artisieve.llm.common import scratch, staged, unused
 
 A_BLOCK, C_BLOCK = 65_536, 262_144
 SIDE = 512
-LEAF = 16
+LEAF = 32
 LEAST = np.iinfo(np.int64).min
 
 
@@ -29,7 +29,7 @@ def strassen(a: np.ndarray, b: np.ndarray, leaf: int = LEAF) -> np.ndarray:
     """``a @ b`` over int64 with seven products of half the side where plain multiplication has eight."""
     (m, k), n = a.shape, b.shape[1]
     if min(m, k, n) <= leaf:
-        return a @ b
+        return np.einsum("ij,kj->ik", a, np.ascontiguousarray(b.T))
     if m & 1 or k & 1 or n & 1:
         return strassen(np.pad(a, ((0, m & 1), (0, k & 1))), np.pad(b, ((0, k & 1), (0, n & 1))), leaf)[:m, :n]
     m, k, n = m // 2, k // 2, n // 2
@@ -109,7 +109,7 @@ def matrix(column: pa.ListArray) -> np.ndarray:
 
 def products(a: np.ndarray, c: np.ndarray) -> np.ndarray:
     d = min(a.shape[1], c.shape[1])
-    return strassen(np.ascontiguousarray(a[:, :d]), np.ascontiguousarray(c[:, :d].T))
+    return strassen(a[:, :d], c[:, :d].T)
 
 
 class Positives:
