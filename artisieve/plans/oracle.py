@@ -55,6 +55,17 @@ def violations() -> str:
     return f"WITH {snapshot()}, v AS (SELECT id, CASE {' '.join(whens)} END AS x FROM snap) SELECT id, CAST(split_part(x, ' ', 1) AS INT) AS legacy_code, split_part(x, ' ', 2) AS metric FROM v WHERE x IS NOT NULL"
 
 
+def enforced(multipost: int) -> str:
+    """One event of each user a step; the state is the user's events of the last day."""
+    repeat = f"WHEN len(list_filter(w, lambda x: x.ok AND x.d = d)) >= {multipost} THEN 30" if multipost else ""
+    return f"""WITH RECURSIVE {EV}, e AS MATERIALIZED (SELECT id, auth_user AS u, received_us AS t, bad, article_digest AS d, row_number() OVER (PARTITION BY auth_user ORDER BY received_us, id) AS n FROM (SELECT *, would_reject AS bad FROM ev)),
+r AS (SELECT u, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(t BIGINT, ok BOOLEAN, d VARCHAR)[]) AS h, CAST(NULL AS BIGINT) AS id, 0 AS code FROM e WHERE n = 1
+UNION ALL SELECT u, n, list_append(w, {{'t': t, 'ok': NOT bad AND code = 0, 'd': d}}), id, CASE WHEN bad THEN 0 ELSE code END FROM (
+  SELECT *, CASE {repeat} WHEN len(list_filter(w, lambda x: x.ok)) + 1 > 5 THEN 33 WHEN len(list_filter(w, lambda x: NOT x.ok)) > 2 THEN 66 ELSE 0 END AS code
+  FROM (SELECT e.*, list_filter(r.h, lambda x: x.t >= e.t - {LONG}) AS w FROM r JOIN e ON e.u = r.u AND e.n = r.n + 1)))
+SELECT id, CAST(code AS INTEGER) AS legacy_code FROM r WHERE code > 0"""
+
+
 B64 = "rtrim(repeat(repeat('A', 64) || chr(10), 100), chr(10))"
 AR = f"""a0 AS (SELECT *, text AS b0 FROM documents), a1 AS (SELECT *, CASE WHEN doc_id % 26 = 0 THEN b0 || chr(10) || '-----BEGIN PGP SIGNATURE-----' || chr(10) || {B64} || chr(10) || '-----END PGP SIGNATURE-----'
   WHEN doc_id % 13 = 0 THEN b0 || chr(10) || {B64} ELSE b0 END AS b1 FROM a0), a2 AS (SELECT *, CASE WHEN doc_id % 19 = 0 THEN b1 || chr(10) || '=ybegin line=128 size=4 name=x' ELSE b1 END AS b2 FROM a1),
@@ -132,6 +143,8 @@ SCORES = """sc AS (SELECT article_id, (CASE WHEN regexp_matches(newsgroups, '(?i
 
 ORACLE: dict[str, str] = {
     "rate_snapshot": f"WITH {snapshot()} SELECT id, kind, lookup, {', '.join(Q.COUNTERS)} FROM snap",
+    "rate_enforced": enforced(0),
+    "rate_enforced_multipost": enforced(2),
     "rate_snapshot_by_type": f"WITH {snapshot(True)} SELECT id, kind, lookup, article_type, {', '.join(Q.COUNTERS)} FROM snap",
     "rate_violations": violations(),
     "multipost_count": f"WITH {EV} SELECT id, article_digest, {trailing(ACC, 'article_digest', LONG)} AS multipost FROM ev",

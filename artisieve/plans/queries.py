@@ -66,10 +66,14 @@ def rate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def rate_enforced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sequential process that SQL cannot state; the tests replay it event by event."""
     return rates.enforce_outcomes(fixtures.events(spark, sf_dir), {"ID": {"max_articles": 5, "max_total_errors": 2, "multipost": 0}})
 
 
+@register
+def rate_enforced_multipost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates.enforce_outcomes(fixtures.events(spark, sf_dir), {"ID": {"max_articles": 5, "max_total_errors": 2}}, default_multipost=2)
+
+
 @register
 def multipost_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.multipost_count(fixtures.events(spark, sf_dir)).select("id", "article_digest", "multipost")

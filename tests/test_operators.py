@@ -115,6 +115,77 @@ def test_enforced_rates_equal_a_replay(spark):
     assert got == want and len(want) > 10
 
 
+def replay(rows, limits, absolute=0, default=2):
+    """Event by event, over lists."""
+    index = {"articles": 0, "errors": 1, "size": 2, "groups": 3, "followups": 4}
+    past, digests, out = {}, {}, {}
+    for e in sorted(rows, key=lambda e: (e[1], e[0])):
+        now, bad = e[1], e[5] == "reject"
+        who = [("ID", e[2])] if e[2] else [(k, v) for k, v in (("IP", e[3]), ("DN", e[11])) if v]
+        seen = sum(a for t, a in digests.get(e[10], []) if t >= now - rates.LONG_US)
+        own = (1, 0, e[7], e[8], e[9])
+        code = 30 if who and 0 < absolute <= seen else 0
+        for kind, name in who:
+            if code:
+                break
+            if 0 < limits.get(kind, {}).get("multipost", default) <= seen:
+                code = 30
+            for metric, codes in rates.METRICS:
+                since = now - (rates.SHORT_US if "short" in metric else rates.LONG_US)
+                v = index[metric.rsplit("_", 1)[1]]
+                limit = limits.get(kind, {}).get(metric)
+                if not code and limit is not None and own[v] is not None and sum(x[v] for t, x in past.get((kind, name), []) if t >= since) + own[v] > limit:
+                    code = codes[kind]
+        if not bad and code:
+            out[e[0]] = code
+        accepted = not bad and not code
+        for key in who:
+            past.setdefault(key, []).append((now, (accepted, not accepted, e[7] or 0, e[8] or 0, e[9] or 0)))
+        digests.setdefault(e[10], []).append((now, accepted))
+    return out
+
+
+@pytest.mark.parametrize("absolute", [0, 4])
+def test_enforcement_joins_identities_and_digests(spark, absolute):
+    import random
+
+    r = random.Random(8)
+    rows = []
+    for i in range(500):
+        t = (r.randrange(4) * 3 * 86_400 + r.randrange(100_000)) * 1_000_000 // 60_000_000 * 60_000_000  # rests of days, ties of minutes
+        rows.append((i, t, r.choice([None, "", "u1", "u2", f"u{r.randrange(40)}"]), r.choice([None, "192.0.2.1", f"192.0.2.{r.randrange(9)}"]), "text", r.choice(["reject", "pass", "pass", None]), "accepted", r.choice([None, 5, 50]), r.choice([None, 1, 3]), 1, f"d{r.randrange(60)}", r.choice([None, "a.example", "b.example"])))
+    limits = {"ID": {"max_articles": 6, "max_short_articles": 3, "max_total_errors": 9, "max_total_groups": 30}, "IP": {"max_articles": 8, "max_short_size": 90, "multipost": 5}, "DN": {"max_total_followups": 12, "multipost": 0}}
+    df = spark.createDataFrame(rows, EVENTS + ", client_domain string").repartition(3)
+    got = {x.id: x.legacy_code for x in rates.enforce_outcomes(df, limits, absolute_multipost=absolute, domain_check=True).collect()}
+    want = replay(rows, limits, absolute)
+    assert got == want and {30, 31, 33} <= set(want.values())
+    assert rates.enforce_outcomes(df.limit(0), limits).count() == 0
+
+
+def test_a_busy_identity_settles_in_one_pass(spark):
+    df = spark.range(100_000).select("id", (F.col("id") * 7_000_000).alias("received_us"), F.lit("u1").alias("auth_user"), F.lit("192.0.2.1").alias("client_ip"), F.lit("text").alias("article_type"), F.lit("pass").alias("technical_verdict"), F.lit(1).cast("long").alias("total_size"), F.lit(1).alias("group_count"), F.lit(0).alias("followup_count"), F.col("id").cast("string").alias("article_digest"))
+    got = rates.enforce_outcomes(df, {"ID": {"max_short_articles": 10}}).agg(F.count("*"), F.min("id")).first()
+    # Ten in ten minutes: 86 events fit the window, ten of them are accepted.
+    assert got[1] == 10 and 0.87 < got[0] / 100_000 < 0.9
+
+
+def test_counters_of_a_hot_key_are_spread_over_its_buckets(spark):
+    import random
+
+    r = random.Random(9)
+    rows = [event(i, r.randrange(-86_400, 4 * 86_400) * 1_000_000, user="hot" if i % 3 == 0 else f"u{i % 7}", size=r.choice([None, 1, 5]), result=r.choice(["accepted", "rejected"])) for i in range(900)]
+    rows += [event(1000 + i, 86_400_000_000, user="hot") for i in range(20)]  # ties, on a bucket's edge
+    df = rates.identities(spark.createDataFrame(rows, EVENTS)).repartition(4)
+    keys = ["kind", "lookup"]
+    accepted = F.when(F.col("nntp_result") == "accepted", 1).otherwise(0).cast("long")
+    for long_us, short_us in ((rates.LONG_US, rates.SHORT_US), (70_000_000, 21_000_000), (rates.LONG_US, rates.LONG_US)):
+        plain = df.withColumns({"a": rates.trailing(accepted, keys, long_us), "b": rates.trailing(F.col("total_size"), keys, short_us)})
+        snap = rates.rate_snapshot(df, long_us=long_us, short_us=short_us)
+        assert {x.id: (x.max_articles, x.max_short_size) for x in snap.collect()} == {x.id: (x.a, x.b) for x in plain.collect()}
+    plan = rates.rate_snapshot(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__bucket" in plan.split("Window", 2)[1].split("\n")[0] and rates.rate_snapshot(df).columns[: len(df.columns)] == df.columns
+
+
 def articles(spark, *rows):
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "article_id long, subject string, body string, newsgroups string, from string, client_ip string, article_type string")
 
