@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,39 +100,82 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(valid, sum((part[i].cast("long") * (256 ** (3 - i)) for i in range(1, 4)), part[0].cast("long") * 256**3))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value evaluated once: an expression that is used often would else be copied at each use, and
+    copies of copies make plans that take longer to build than to run."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ipv6_hex(ip: Column) -> Column:
     """An IPv6 address as 32 hex digits, null where it is none (embedded IPv4 tails are not read)."""
     side = lambda s: F.filter(F.split(s, ":"), lambda x: x != "")
-    halves = F.split(F.lower(ip), "::")
-    left, right = side(halves[0]), F.coalesce(side(F.get(halves, F.lit(1))), F.array().cast("array<string>"))
-    zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right))
-    full = F.when(F.size(halves) == 2, F.concat(left, zeros, right)).otherwise(left)
-    valid = ip.rlike(r"(?i)^[0-9a-f:]+$") & ip.contains(":") & (F.size(halves) <= 2) & (F.size(full) == 8) & F.forall(full, lambda x: F.length(x) <= 4)
-    return F.when(valid, F.array_join(F.transform(full, lambda x: F.lpad(x, 4, "0")), ""))
+
+    def full(halves: Column) -> Column:
+        left, right = side(halves[0]), F.coalesce(side(F.get(halves, F.lit(1))), F.array().cast("array<string>"))
+        zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right))
+        return F.when(F.size(halves) == 1, left).when(F.size(halves) == 2, F.concat(left, zeros, right))
+
+    def digits(groups: Column) -> Column:
+        valid = (F.size(groups) == 8) & F.forall(groups, lambda x: F.length(x) <= 4)
+        return F.when(valid, F.array_join(F.transform(groups, lambda x: F.lpad(x, 4, "0")), ""))
+
+    shaped = ip.rlike(r"(?i)^[0-9a-f:]+$") & ip.contains(":")
+    return F.when(shaped, bound(F.split(F.lower(ip), "::"), lambda h: bound(full(h), digits)))
+
+
+def cut_digit(key: Column, bits: Column) -> tuple[Column, Column, Column]:
+    """(whole, first, block): the whole hex digits of a prefix, the next digit with its other bits cleared, and how many digits
+    share that."""
+    whole, rest = F.floor(bits / 4).cast("int"), F.pmod(bits, F.lit(4))
+    digit = F.conv(F.substring(key, whole + 1, F.lit(1)), 16, 10).cast("int")
+    block = F.pow(F.lit(2.0), F.lit(4) - rest).cast("int")
+    return whole, digit - F.pmod(digit, block), block
 
 
 def cidr_range(cidr: Column) -> Column:
     """Struct (family, lo, hi) of a network, addresses as sortable text; null where it is none. No prefix: one address."""
     base, prefix = F.split_part(cidr, F.lit("/"), F.lit(1)), F.split_part(cidr, F.lit("/"), F.lit(2))
-    v4, v6 = ipv4_number(base), ipv6_hex(base)
     bits4, bits6 = F.when(prefix == "", 32).otherwise(prefix.cast("int")), F.when(prefix == "", 128).otherwise(prefix.cast("int"))
     span = F.pow(F.lit(2.0), F.lit(32) - bits4).cast("long")
-    low4 = v4 - F.pmod(v4, span)
     text4 = lambda n: F.lpad(F.hex(n), 8, "0")
-    whole, rest = F.floor(bits6 / 4).cast("int"), F.pmod(bits6, F.lit(4))
-    digit = F.conv(F.substring(v6, whole + 1, F.lit(1)), 16, 10).cast("int")
-    block = F.pow(F.lit(2.0), F.lit(4) - rest).cast("int")
-    first = digit - F.pmod(digit, block)
-    tail = lambda n, fill: F.when(whole == 32, v6).otherwise(F.rpad(F.concat(F.substring(v6, F.lit(1), whole), F.lower(F.hex(n))), 32, fill))
-    return F.when(v4.isNotNull() & bits4.between(0, 32), F.struct(F.lit(4).alias("family"), text4(low4).alias("lo"), text4(low4 + span - 1).alias("hi"))).when(
-        v6.isNotNull() & bits6.between(0, 128), F.struct(F.lit(6).alias("family"), tail(first, "0").alias("lo"), tail(first + block - 1, "f").alias("hi"))
-    )
+    whole_range = lambda family, lo, hi: F.struct(F.lit(family).alias("family"), lo.alias("lo"), hi.alias("hi"))
+
+    def range6(v6: Column) -> Column:
+        whole, first, block = cut_digit(v6, bits6)
+        tail = lambda n, fill: F.when(whole == 32, v6).otherwise(F.rpad(F.concat(F.substring(v6, F.lit(1), whole), F.lower(F.hex(n))), 32, fill))
+        return F.when(v6.isNotNull() & bits6.between(0, 128), whole_range(6, tail(first, "0"), tail(first + block - 1, "f")))
+
+    range4 = lambda v4: F.when(v4.isNotNull() & bits4.between(0, 32), bound(v4 - F.pmod(v4, span), lambda low: whole_range(4, text4(low), text4(low + span - 1))))
+    return F.coalesce(bound(ipv4_number(base), range4), bound(ipv6_hex(base), range6))
 
 
 def ip_key(ip: Column) -> Column:
     """Struct (family, key) of an address in the order of ``cidr_range``."""
-    v4, v6 = ipv4_number(ip), ipv6_hex(ip)
-    return F.when(v4.isNotNull(), F.struct(F.lit(4).alias("family"), F.lpad(F.hex(v4), 8, "0").alias("key"))).when(v6.isNotNull(), F.struct(F.lit(6).alias("family"), v6.alias("key")))
+    key = lambda family, value: F.struct(F.lit(family).alias("family"), value.alias("key"))
+    four = bound(ipv4_number(ip), lambda v: F.when(v.isNotNull(), key(4, F.lpad(F.hex(v), 8, "0"))))
+    return F.coalesce(four, bound(ipv6_hex(ip), lambda v: F.when(v.isNotNull(), key(6, v))))
+
+
+def in_range(key: Column, network: Column) -> Column:
+    """Whether an address key (``ip_key``) lies in a range (``cidr_range``); false where either is null."""
+    return F.coalesce((key["family"] == network["family"]) & key["key"].between(network["lo"], network["hi"]), F.lit(False))
+
+
+def key_prefix(key: Column, bits: Column) -> Column:
+    """The first ``bits`` bits of an address key: whole hex digits, then the rest of one."""
+    whole, first, _ = cut_digit(key, bits)
+    return F.lower(F.concat(F.substring(key, F.lit(1), whole), F.when(F.pmod(bits, F.lit(4)) > 0, F.hex(first)).otherwise("")))
+
+
+def cidr_prefix(cidr: Column) -> Column:
+    """Struct (family, bits, prefix) of a network in terms of ``key_prefix``; null where it is none. No prefix: one address."""
+    length = F.split_part(cidr, F.lit("/"), F.lit(2))
+
+    def prefix(r: Column) -> Column:
+        bits = F.when(length == "", F.when(r["family"] == 4, 32).otherwise(128)).otherwise(length.cast("int"))
+        return F.when(r.isNotNull(), F.struct(r["family"].alias("family"), bits.alias("bits"), key_prefix(r["lo"], bits).alias("prefix")))
+
+    return bound(cidr_range(cidr), prefix)
 
 
 def reverse_ip(ip: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from artisieve.functions import text as X
-from artisieve.operators.rules import small
+from artisieve.operators.rules import cidr_matches, small
 
 TIMEOUTS = ["TIMEOUT", "SERVFAIL"]
 
@@ -53,22 +53,37 @@ def first_rejection(found: DataFrame, code: int) -> DataFrame:
 
 def tor_clients(articles: DataFrame, networks: DataFrame, found: DataFrame, action: str = "mark") -> DataFrame:
     """(article_id, tor, legacy_code): local networks first, else the list; ``reject`` gives 50, others only mark."""
-    local = networks.select(X.cidr_range(F.col("network")).alias("r")).where("r IS NOT NULL")
-    keyed = articles.select("article_id", X.ip_key(F.col("client_ip")).alias("k"))
-    inside = keyed.join(small(local), F.expr("k.family = r.family AND k.key BETWEEN r.lo AND r.hi"), "left_semi").select("article_id")
+    local = cidr_matches(articles, networks).select(F.col("ip").alias("client_ip")).distinct()
+    inside = articles.select("article_id", "client_ip").join(local, "client_ip", "left_semi").select("article_id")
     listed = found.where("status = 'listed'").select("article_id")
     return inside.union(listed).distinct().select("article_id", F.lit(True).alias("tor"), F.lit(50 if action == "reject" else 0).alias("legacy_code"))
 
 
-def provider_health(log: DataFrame, threshold: int = 5, cooldown_us: int = 300_000_000) -> DataFrame:
+def provider_health(log: DataFrame, threshold: int = 5, cooldown_us: int = 300_000_000, bucket_us: int = 3_600_000_000) -> DataFrame:
     """Adds to a lookup log (provider, ts_us, id, ok) the failures since the last success and whether the
-    provider was cooling down: within ``cooldown_us`` of an earlier failure that reached the threshold."""
-    w = Window.partitionBy("provider").orderBy("ts_us", "id")
-    log = log.withColumn("era", F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(w))
-    run = Window.partitionBy("provider", "era").orderBy("ts_us", "id")
-    log = log.withColumn("failures", F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(run))
-    struck = F.max(F.when(F.col("failures") >= threshold, F.col("ts_us"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return log.withColumn("suppressed", F.coalesce(F.col("ts_us") - struck < cooldown_us, F.lit(False))).drop("era")
+    provider was cooling down: within ``cooldown_us`` of an earlier failure that reached the threshold.
+
+    Rows are ordered inside time buckets of a provider only; what earlier buckets pass on (the failures since their last
+    success, their last strike) comes from one summary row a bucket.
+    """
+    bucket = F.expr(f"(ts_us - pmod(ts_us, {bucket_us}L)) div {bucket_us}L")
+    within, order = Window.partitionBy("provider", "__bucket"), ["ts_us", "id"]
+    along = Window.partitionBy("provider").orderBy("__bucket")
+    log = log.withColumn("__bucket", bucket).withColumn("__oks", F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(within.orderBy(*order)))
+    log = log.withColumn("__run", F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(Window.partitionBy("provider", "__bucket", "__oks").orderBy(*order)))
+
+    def passed_on(rows: DataFrame, summary: DataFrame) -> DataFrame:
+        right = summary.select(F.col("provider").alias("__p"), F.col("__bucket").alias("__b"), "__carry")
+        return rows.join(right, F.col("provider").eqNullSafe(F.col("__p")) & F.col("__bucket").eqNullSafe(F.col("__b")), "left").drop("__p", "__b")
+
+    ends = log.groupBy("provider", "__bucket").agg((F.max("__oks") > 0).cast("int").alias("__ok"), F.max_by("__run", F.struct(*order)).alias("__last")).withColumn("__era", F.sum("__ok").over(along))
+    ends = ends.withColumn("__since", F.sum("__last").over(Window.partitionBy("provider", "__era").orderBy("__bucket"))).withColumn("__carry", F.lag("__since").over(along))
+    log = passed_on(log, ends).withColumn("failures", F.col("__run") + F.when(F.col("__oks") == 0, F.coalesce("__carry", F.lit(0))).otherwise(0)).drop("__carry")
+    strike = F.when(F.col("failures") >= threshold, F.col("ts_us"))
+    strikes = log.groupBy("provider", "__bucket").agg(F.max(strike).alias("__last")).withColumn("__carry", F.max("__last").over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    mine = F.max(strike).over(within.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    log = passed_on(log.withColumn("__mine", mine), strikes)
+    return log.withColumn("suppressed", F.coalesce(F.col("ts_us") - F.greatest("__mine", "__carry") < cooldown_us, F.lit(False))).drop("__bucket", "__oks", "__run", "__mine", "__carry")
 
 
 def lookup_dedupe(requests: DataFrame, positive_us: int = 3_600_000_000, negative_us: int = 300_000_000) -> DataFrame:

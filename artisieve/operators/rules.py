@@ -93,21 +93,35 @@ def tried(articles: DataFrame, rules: DataFrame, test: Callable[[Callable[[str],
     return found.select("article_id", "x.*")
 
 
+def network_candidates(networks: DataFrame, key: Column) -> tuple[DataFrame, Column]:
+    """Networks as (network, family, bits, prefix), and the array of the (family, bits, prefix) under which an address ``key`` can
+    be found: one for each prefix length in use, of which there are 162 at most."""
+    nets = networks.select("network").where("network IS NOT NULL").distinct().withColumn("p", X.cidr_prefix(F.col("network"))).where("p IS NOT NULL").select("network", "p.*")
+    used = sorted(tuple(r) for r in nets.select("family", "bits").distinct().collect())  # at most 33 + 129 rows
+    entry = lambda family, bits: F.when(key["family"] == family, F.struct(F.lit(family).alias("family"), F.lit(bits).alias("bits"), X.key_prefix(key["key"], F.lit(bits)).alias("prefix")))
+    none = F.array().cast("array<struct<family:int,bits:int,prefix:string>>")
+    return nets, F.array_compact(F.array(*(entry(*u) for u in used))) if used else none
+
+
 def cidr_matches(addresses: DataFrame, networks: DataFrame, ip_col: str = "client_ip") -> DataFrame:
-    """(ip, network) for each distinct address and each network that holds it: a range join on ordered address text."""
+    """(ip, network) for each distinct address and each network that holds it: an equality join on prefixes, an address once for
+    each prefix length in use. Networks may be many; values that are no address or network match nothing."""
     ips = addresses.select(F.col(ip_col).alias("ip")).distinct().withColumn("k", X.ip_key(F.col("ip"))).where("k IS NOT NULL")
-    nets = networks.select("network").distinct().withColumn("r", X.cidr_range(F.col("network"))).where("r IS NOT NULL")
-    return ips.join(small(nets), F.expr("k.family = r.family AND k.key BETWEEN r.lo AND r.hi")).select("ip", "network")
+    nets, keys = network_candidates(networks, F.col("k"))
+    return ips.select("ip", F.inline(keys)).join(nets, ["family", "bits", "prefix"]).select("ip", "network")
+
+
+def longest_prefix(addresses: DataFrame, networks: DataFrame, ip_col: str = "client_ip") -> DataFrame:
+    """(ip, network, bits): for each distinct address the most specific network that holds it, ties to the smaller text."""
+    found = cidr_matches(addresses, networks, ip_col).withColumn("bits", X.cidr_prefix(F.col("network"))["bits"])
+    best = found.groupBy("ip").agg(F.min(F.struct(-F.col("bits"), "network")).alias("b"))
+    return best.select("ip", F.col("b.network").alias("network"), (-F.col("b.col1")).alias("bits"))
 
 
 def in_networks(ip: Column, networks: list[str]) -> Column:
     """Whether an address lies in one of a few constant networks."""
-    key = X.ip_key(ip)
-    out = F.lit(False)
-    for n in networks:
-        r = X.cidr_range(F.lit(n))
-        out = out | F.coalesce((key["family"] == r["family"]) & key["key"].between(r["lo"], r["hi"]), F.lit(False))
-    return out
+    ranges = F.array(*(X.cidr_range(F.lit(n)) for n in networks))
+    return X.bound(X.ip_key(ip), lambda key: F.exists(ranges, lambda r: X.in_range(key, r))) if networks else F.lit(False)
 
 
 def target_value(target: Column, body: str = "body") -> Column:
@@ -153,7 +167,7 @@ def ban_hits(articles: DataFrame, rules: DataFrame, cap: int = 2000, scan: dict[
         if c not in rules.columns:
             rules = rules.withColumn(c, F.lit(None).cast(kind))
     ranked, own_type = ranked_by_type(rules, [F.desc("priority"), F.col("ord")], cap)
-    a = scan_body(with_targets(articles), scan)
+    a = scan_body(with_targets(articles), scan).withColumn("__key", X.ip_key(F.col("client_ip")))
     metrics = metric_values(a)
 
     def test(r: Callable[[str], Column]) -> tuple[Column, Column]:
@@ -161,8 +175,7 @@ def ban_hits(articles: DataFrame, rules: DataFrame, cap: int = 2000, scan: dict[
         grouped = lambda c: F.rlike("newsgroups", F.concat(F.lit("(?i)"), r(c)))
         scope = (own_type(F.col("article_type")) == r("type")) & ~excluded & F.coalesce(grouped("include_groups"), F.lit(True)) & ~F.coalesce(grouped("exclude_groups"), F.lit(False))
         header = F.array_min(F.map_keys(F.map_filter("headers", lambda k, v: F.rlike(k, F.concat(F.lit("(?i)"), r("header_name_pattern"))) & F.rlike(v, F.concat(F.lit("(?i)"), r("header_value_pattern"))))))
-        key, net = X.ip_key(F.col("client_ip")), X.cidr_range(r("pattern"))
-        by_ip = F.coalesce((key["family"] == net["family"]) & key["key"].between(net["lo"], net["hi"]), F.lit(False))
+        by_ip = X.bound(X.cidr_range(r("pattern")), lambda net: X.in_range(F.col("__key"), net))
         hit = F.when(r("target") == "any.header", header.isNotNull()).when(r("match_type") == "cidr", by_ip).otherwise(matches(target_value(r("target")), r("pattern"), r("match_type"), r("case_sensitive")))
         out = {"rank": "rank", "rule_id": "id", "target": "target", "action": "action", "score_name": "score_name", "score": "score", "value": "value"}
         metric = F.when(r("action") == "add_metric", F.try_element_at(metrics, F.coalesce(r("metric"), F.lit("groups"))))
@@ -230,10 +243,11 @@ def sender_authorised(articles: DataFrame, senders: DataFrame, unreadable: DataF
 def access_profiles(identities: DataFrame, profiles: DataFrame, defaults: dict[str, dict[str, int]]) -> DataFrame:
     """(kind, lookup, profile_id, limits): the matching profile of highest priority, else the kind's defaults.
     Patterns are tried on distinct identities only."""
-    who = identities.select("kind", "lookup").distinct()
+    who = identities.select("kind", "lookup").distinct().withColumn("__key", F.when(F.col("kind") == "IP", X.ip_key(F.col("lookup"))))
     rules = checked_rules(profiles).select(*[F.col(c).alias(f"p_{c}") for c in ("id", "ord", "priority", "identity_type", "match_type", "pattern", "limits")])
-    in_net = F.coalesce((X.ip_key(F.col("lookup"))["family"] == X.cidr_range(F.col("p_pattern"))["family"]) & X.ip_key(F.col("lookup"))["key"].between(X.cidr_range(F.col("p_pattern"))["lo"], X.cidr_range(F.col("p_pattern"))["hi"]), F.lit(False))
-    hit = F.when(F.col("p_match_type") == "cidr", (F.col("kind") == "IP") & in_net).otherwise(matches(F.col("lookup"), F.col("p_pattern"), F.col("p_match_type"), F.lit(True)))
+    rules = F.broadcast(rules.withColumn("p_range", F.when(F.col("p_match_type") == "cidr", X.cidr_range(F.col("p_pattern")))))
+    in_net = X.in_range(F.col("__key"), F.col("p_range"))
+    hit = F.when(F.col("p_match_type") == "cidr", in_net).otherwise(matches(F.col("lookup"), F.col("p_pattern"), F.col("p_match_type"), F.lit(True)))
     best = who.join(rules, (F.col("kind") == F.col("p_identity_type")) & hit).groupBy("kind", "lookup").agg(F.min_by(F.struct("p_id", "p_limits"), F.struct(-F.col("p_priority"), F.col("p_ord"))).alias("p"))
     fallback = F.create_map().cast("map<string,long>")
     for kind, limits in defaults.items():
@@ -259,7 +273,7 @@ def trusted_profile(articles: DataFrame, profiles: DataFrame) -> DataFrame:
     conditions = F.filter(
         F.array(
             F.when(F.size("p_authenticated_users") > 0, F.coalesce(F.array_contains("p_authenticated_users", F.col("user")), F.lit(False))),
-            F.when(F.size("p_source_networks") > 0, F.exists("p_ranges", lambda r: F.coalesce((r["family"] == F.col("__key.family")) & F.col("__key.key").between(r["lo"], r["hi"]), F.lit(False)))),
+            F.when(F.size("p_source_networks") > 0, F.exists("p_ranges", lambda r: X.in_range(F.col("__key"), r))),
             F.when(F.col("p_from_pattern").isNotNull(), i(F.col("from"), F.col("p_from_pattern"))),
             F.when(F.col("p_groups_pattern").isNotNull(), i(F.col("newsgroups"), F.col("p_groups_pattern"))),
             F.when(F.size("p_header_match") > 0, F.forall("p_header_match", lambda m: i(F.element_at("headers", m["name"]), m["pattern"]))),

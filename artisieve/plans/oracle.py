@@ -66,6 +66,12 @@ UNION ALL SELECT u, n, list_append(w, {{'t': t, 'ok': NOT bad AND code = 0, 'd':
 SELECT id, CAST(code AS INTEGER) AS legacy_code FROM r WHERE code > 0"""
 
 
+#: Addresses as (third group of 16 bits, last digit, whether outside), whose membership is arithmetic on the third group.
+V6 = """v6 AS (SELECT DISTINCT CASE WHEN doc_id % 11 = 0 THEN '2001:DB9:' ELSE '2001:db8:' END || printf('%x', doc_id % 512) || '::' || printf('%x', doc_id % 7) AS ip, doc_id % 512 AS g, doc_id % 7 AS l, doc_id % 11 = 0 AS away FROM documents),
+nets6 AS (SELECT * FROM (VALUES ('2001:db8::/32', 32), ('2001:db8:40::/42', 42), ('2001:db8:7::/48', 48), ('2001:db8:9::5', 128), ('2001:db8:100::/41', 41), ('::/0', 0)) t(network, bits)),
+in6 AS (SELECT ip, network, bits FROM v6, nets6 WHERE bits = 0 OR NOT away AND CASE bits WHEN 32 THEN true WHEN 42 THEN g // 64 = 1 WHEN 48 THEN g = 7 WHEN 41 THEN g // 128 = 2 ELSE g = 9 AND l = 5 END)"""
+
+
 B64 = "rtrim(repeat(repeat('A', 64) || chr(10), 100), chr(10))"
 AR = f"""a0 AS (SELECT *, text AS b0 FROM documents), a1 AS (SELECT *, CASE WHEN doc_id % 26 = 0 THEN b0 || chr(10) || '-----BEGIN PGP SIGNATURE-----' || chr(10) || {B64} || chr(10) || '-----END PGP SIGNATURE-----'
   WHEN doc_id % 13 = 0 THEN b0 || chr(10) || {B64} ELSE b0 END AS b1 FROM a0), a2 AS (SELECT *, CASE WHEN doc_id % 19 = 0 THEN b1 || chr(10) || '=ybegin line=128 size=4 name=x' ELSE b1 END AS b2 FROM a1),
@@ -171,6 +177,10 @@ ORACLE: dict[str, str] = {
     "tor_clients": f"WITH {AR}, {v4_networks(['172.17.0.0/16', '172.20.5.8/30'])} SELECT article_id, true AS tor, 50 AS legacy_code FROM ar JOIN nets ON {IPN('client_ip')} BETWEEN lo AND hi UNION SELECT article_id, true, 50 FROM ar WHERE {LISTING(REVERSED)} < 2",
     "dnsbl_hits": f"WITH {AR} SELECT article_id, {REVERSED} || '.bl.example' AS query, CASE WHEN {LISTING(REVERSED)} < 2 THEN 'listed' WHEN {LISTING(REVERSED)} IN (3, 4) THEN 'error' ELSE 'clean' END AS status, {LISTING(REVERSED)} = 3 AS reject_on_failure FROM ar",
     "uri_list_hits": f"WITH {DOMAINS}, f AS (SELECT article_id, domain, min(pos) AS p FROM ur JOIN dm USING (host) GROUP BY ALL), r AS (SELECT article_id, domain, row_number() OVER (PARTITION BY article_id ORDER BY p) - 1 AS pos FROM f) SELECT DISTINCT article_id, 60 AS legacy_code, 'surbl' AS provider FROM r WHERE pos < 10 AND {LISTING('domain')} IN (0, 1, 3)",
+    "cidr6_matches": f"WITH {V6} SELECT ip, network FROM in6",
+    "longest_prefix": f"""WITH {EV}, {V6}, {v4_networks([*Q.NETWORKS, "198.51.100.0/24"])}, ips AS (SELECT DISTINCT client_ip AS ip FROM ev),
+      found AS (SELECT * FROM in6 UNION ALL SELECT ip, network, CAST(coalesce(nullif(split_part(network, '/', 2), ''), '32') AS INT) FROM ips JOIN nets ON {IPN('ip')} BETWEEN lo AND hi)
+      SELECT ip, network, bits FROM found QUALIFY row_number() OVER (PARTITION BY ip ORDER BY bits DESC, network) = 1""",
     "cidr_matches": f"WITH {EV}, {AR}, {v4_networks(Q.NETWORKS)}, ips AS (SELECT client_ip AS ip FROM ar UNION SELECT client_ip FROM ev) SELECT ip, network FROM ips JOIN nets ON {IPN('ip')} BETWEEN lo AND hi",
     "unknown_groups": f"WITH {AR}, act AS (SELECT DISTINCT lang || '.' || source AS g FROM documents WHERE source <> 'src0'), x AS (SELECT DISTINCT article_id, unnest(grp) AS g FROM ty) SELECT article_id, string_agg(g, ',' ORDER BY g) AS unknown FROM x WHERE g NOT IN (SELECT g FROM act) GROUP BY article_id",
     "sender_authorised": f"WITH {AR}, x AS (SELECT article_id, lang, source, unnest(grp) AS g FROM ty) SELECT DISTINCT article_id, 106 AS legacy_code FROM x WHERE g = lang || '.' || source AND source = 'src3' AND lang IN ('fr', 'en')",

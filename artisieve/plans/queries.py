@@ -242,6 +242,27 @@ def cidr_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.cidr_matches(ips, networks)
 
 
+NETWORKS6 = ["2001:db8::/32", "2001:db8:40::/42", "2001:db8:7::/48", "2001:db8:9::5", "2001:db8:100::/41", "::/0", "198.51.100.0/24"]
+
+
+def addresses6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IPv6 addresses made from document ids, some of them outside all networks but the widest."""
+    n = F.col("doc_id")
+    head = F.when(n % 11 == 0, F.lit("2001:DB9:")).otherwise(F.lit("2001:db8:"))
+    return fixtures.table(spark, sf_dir, "documents").select(F.concat(head, F.lower(F.hex(n % 512)), F.lit("::"), F.lower(F.hex(n % 7))).alias("client_ip"))
+
+
+@register
+def cidr6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.cidr_matches(addresses6(spark, sf_dir), spark.createDataFrame([(n,) for n in NETWORKS6], "network string"))
+
+
+@register
+def longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ips = addresses6(spark, sf_dir).unionByName(fixtures.events(spark, sf_dir).select("client_ip"))
+    return rules.longest_prefix(ips, spark.createDataFrame([(n,) for n in [*NETWORKS, *NETWORKS6]], "network string"))
+
+
 @register
 def unknown_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = fixtures.articles(spark, sf_dir).select("article_id", X.split_groups(F.col("newsgroups")).alias("groups"))

@@ -186,6 +186,51 @@ def test_counters_of_a_hot_key_are_spread_over_its_buckets(spark):
     assert "__bucket" in plan.split("Window", 2)[1].split("\n")[0] and rates.rate_snapshot(df).columns[: len(df.columns)] == df.columns
 
 
+def test_networks_join_on_prefixes(spark):
+    import random
+
+    r = random.Random(3)
+    groups = lambda: f"2001:db8:{r.randrange(4):x}:{r.randrange(65536):x}::{r.randrange(9):x}"
+    ips = [groups() for _ in range(150)] + [f"10.{r.randrange(4)}.{r.randrange(256)}.{r.randrange(256)}" for _ in range(150)] + [None, "", "x", "10.0.0", "::", "::1", "1::2::3", "FE80::A"]
+    nets = [f"2001:db8:{r.randrange(4):x}:{r.randrange(65536):x}::/{r.randrange(20, 128)}" for _ in range(300)] + [f"10.{r.randrange(4)}.{r.randrange(256)}.0/{r.randrange(0, 33)}" for _ in range(300)]
+    nets += ["10.1.2.3", "::1", "fe80::/10", "0.0.0.0/0", "::/0", "bad", "10.0.0.0/33", "::/129", None, "10.1.2.3"]
+    read = {n: ipaddress.ip_network(n, strict=False) for n in nets if n not in (None, "bad", "10.0.0.0/33", "::/129")}
+    want = set()
+    for i in ips:
+        try:
+            a = ipaddress.ip_address(i or "x")
+        except ValueError:
+            continue
+        want |= {(i, n) for n, net in read.items() if a.version == net.version and a in net}
+    addresses, networks = spark.createDataFrame([(i,) for i in [*ips, *ips]], "client_ip string"), spark.createDataFrame([(n,) for n in nets], "network string")
+    found = rules.cidr_matches(addresses, networks)
+    got = list(map(tuple, found.collect()))
+    assert set(got) == want and len(got) == len(want) > 500
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    best = {x.ip: (x.network, x.bits) for x in rules.longest_prefix(addresses, networks).collect()}
+    assert best == {i: min(((n, read[n].prefixlen) for j, n in want if j == i), key=lambda t: (-t[1], t[0])) for i in {i for i, _ in want}}
+    assert rules.cidr_matches(addresses, networks.limit(0)).count() == 0
+
+
+def test_provider_health_over_buckets(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(r.choice(["a", "a", "b", None]), r.randrange(40) * 9_000_000, i, r.random() < 0.25) for i in range(400)]
+    state, want = {}, {}
+    for p, t, i, ok in sorted(rows, key=lambda e: (e[1], e[2])):
+        failures, struck = state.get(p, (0, None))
+        suppressed = struck is not None and t - struck < 50_000_000
+        failures = 0 if ok else failures + 1
+        state[p] = failures, t if failures >= 3 else struck
+        want[i] = (failures, suppressed)
+    log = spark.createDataFrame(rows, "provider string, ts_us long, id long, ok boolean")
+    for bucket in (7_000_000, 100_000_000, 10**12):
+        got = {x.id: (x.failures, x.suppressed) for x in reputation.provider_health(log, 3, 50_000_000, bucket).collect()}
+        assert got == want
+
+
 def articles(spark, *rows):
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "article_id long, subject string, body string, newsgroups string, from string, client_ip string, article_type string")
 
