@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from artisieve.operators.rules import SCAN, checked_rules, matches, ranked_by_type, scan_body, tried
@@ -41,7 +41,10 @@ def badword_hits(articles: DataFrame, rules: DataFrame, cap: int = 2000, scan: d
         out = F.struct(r("rank").alias("rank"), r("id").alias("rule_id"), subject.alias("subject_hit"), body.alias("body_hit"), *scores, r("action").alias("action"), F.coalesce(r("stop_on_match"), F.lit(False)).alias("stop"), *own)
         return (own_type(F.col("article_type")) == r("type")) & (subject | body), out
 
-    found = tried(articles, ranked, test)
+    def reads(r: Row) -> list[tuple[str, str | None, str | None]]:
+        return [(name, r["pattern"], r["match_type"]) for name in ("subject", "body") if r["targets"] is None or name in r["targets"]]
+
+    found = tried(articles, ranked, test, reads, F.col)
     before = Window.partitionBy("article_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     return found.withColumn("stopped", F.coalesce(F.max((F.col("action") == "reject") | F.col("stop")).over(before), F.lit(False))).where("NOT stopped").drop("stopped")
 

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from artisieve.functions import text as X
+from artisieve.operators import automaton
 
 MAX_RULES = 100_000
-#: So many rules are tried as literal expressions in one projection; more are joined.
+#: So many rules are tried as literal expressions in one projection; of more, those whose required strings occur.
 LITERAL_RULES = 256
 #: Characters of a body that word and ban rules read, by article type; other types are read as text.
 SCAN = {"text": 32_768, "binary": 1_048_576}
@@ -79,18 +80,37 @@ def ranked_by_type(rules: DataFrame, order: list[Column], cap: int) -> tuple[Dat
     return ranked, lambda kind: F.when(kind.isin(named), kind).otherwise("*")
 
 
-def tried(articles: DataFrame, rules: DataFrame, test: Callable[[Callable[[str], Column]], tuple[Column, Column]]) -> DataFrame:
+def tried(articles: DataFrame, rules: DataFrame, test: Callable[[Callable[[str], Column]], tuple[Column, Column]], reads: Callable[[Row], list[tuple[str, str | None, str | None]] | None], texts: Callable[[str], Column]) -> DataFrame:
     """(article_id, ...) for each rule that an article meets: ``test`` gives a rule's condition and the struct to return, from a
-    function that gives the rule's columns. Few rules become literals, whose patterns are compiled once."""
+    function that gives the rule's columns. Few rules become literals, whose patterns are compiled once. Of many, those are
+    tried whose required strings occur in the texts that they read (``automaton``): ``reads`` gives a rule's (text name, pattern,
+    match type), or None for one that has to be tried always, ``texts`` the column of a name."""
     rows = rules.limit(LITERAL_RULES + 1).collect()
-    if rows and len(rows) <= LITERAL_RULES:
+    if not rows:
+        return met_rules(articles, rules, test)
+    if len(rows) <= LITERAL_RULES:
         kinds = dict(rules.dtypes)
         each = (test(lambda c, row=row: F.lit(row[c]).cast(kinds[c])) for row in rows)
         found = articles.select("article_id", F.explode(F.array_compact(F.array(*(F.when(met, out) for met, out in each)))).alias("x"))
-    else:
-        met, out = test(lambda c: F.col(f"r_{c}"))
-        found = articles.join(small(rules.select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])), met).select("article_id", out.alias("x"))
-    return found.select("article_id", "x.*")
+        return found.select("article_id", "x.*")
+    rules = rules.withColumn("needle", F.xxhash64(*[c for c in ("target", "targets", "match_type", "pattern") if c in rules.columns]))
+    distinct = rules.dropDuplicates(["needle"]).collect()  # configuration of a checked size
+    wanted, always = automaton.indexed((r["needle"], reads(r)) for r in distinct)
+    parts = []
+    if always:
+        slow = rules.join(F.broadcast(rules.sparkSession.createDataFrame([(k,) for k in always], "needle long")), "needle", "left_semi")
+        parts.append(tried(articles, slow, test, reads, texts) if len(always) < len(distinct) and slow.count() <= LITERAL_RULES else met_rules(articles, slow, test))
+    if wanted:
+        named = articles.withColumn("__needle", F.explode(automaton.candidates(articles.sparkSession, wanted, texts)))
+        parts.append(met_rules(named, rules, test, F.col("__needle") == F.col("r_needle")))
+    return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
+
+
+def met_rules(articles: DataFrame, rules: DataFrame, test: Callable[[Callable[[str], Column]], tuple[Column, Column]], on: Column | None = None) -> DataFrame:
+    """The join of articles and rules that ``tried`` falls back to: every pair, unless ``on`` says which."""
+    met, out = test(lambda c: F.col(f"r_{c}"))
+    right = small(rules.select(*[F.col(c).alias(f"r_{c}") for c in rules.columns]))
+    return articles.join(right, met if on is None else on & met).select("article_id", out.alias("x")).select("article_id", "x.*")
 
 
 def network_candidates(networks: DataFrame, key: Column) -> tuple[DataFrame, Column]:
@@ -182,7 +202,10 @@ def ban_hits(articles: DataFrame, rules: DataFrame, cap: int = 2000, scan: dict[
         own = {"metric_value": metric, "own_code": r("legacy_code").cast("int"), "own_reason": r("reason_code"), "own_response": r("response")}
         return scope & hit, F.struct(*(r(c).alias(name) for name, c in out.items()), F.when(r("target") == "any.header", header).alias("header_name"), *(c.alias(name) for name, c in own.items()))
 
-    found = tried(a, ranked, test)
+    def reads(r: Row) -> list[tuple[str, str | None, str | None]] | None:
+        return None if r["target"] is None or r["target"] == "any.header" or r["match_type"] == "cidr" else [(r["target"], r["pattern"], r["match_type"])]
+
+    found = tried(a, ranked, test, reads, lambda name: target_value(F.lit(name)))
     before = Window.partitionBy("article_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     return found.withColumn("stopped", F.coalesce(F.max(F.col("action").isin("reject", "drop")).over(before), F.lit(False))).where("NOT stopped").drop("stopped")
 

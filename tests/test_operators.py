@@ -231,6 +231,36 @@ def test_provider_health_over_buckets(spark):
         assert got == want
 
 
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [(r"\bder\b", ["der"]), ("foo|barbaz", ["barbaz", "foo"]), ("colou?r", ["colo"]), ("ab*cde", ["cde"]), (r"(?:foo|bar)+x", ["bar", "foo"]), ("a|", None), ("(?x) a b", None), (r"\Qa.b\E", None), ("(?!hello)abc", ["abc"]), ("(?=hello)x", None), ("(hello)?xy", ["xy"]), ("hel{0}lo", ["he"]), ("[x-z]ab[]]", ["ab"]), ("(", None), ("слово hello", [" hello"]), ("", None), ("[[a]b]cc", None), (r"\x41bc", None)],
+)
+def test_required_strings(pattern, want):
+    from artisieve.operators.automaton import needles
+
+    assert needles(pattern, "regex") == want
+
+
+def test_twenty_thousand_rules_equal_the_plain_join(spark, monkeypatch):
+    import random
+
+    r = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzkKsSiI"
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randint(2, 5)))
+    kinds = [lambda: (word(), "contains"), lambda: (rf"\b{word()}\b", "regex"), lambda: (f"{word()}|{word()}", "regex"), lambda: (f"{word()}[aeiou]?{word()}", "regex"), lambda: (word(), "exact"), lambda: (f"(?:{word()}|{word()})+", "regex"), lambda: (f"ſ{word()}é", "contains")]
+    table = [(f"r{i}", i, r.randrange(9), r.choice(["body", "subject", "header.X-A", "from.address", "newsgroups"]), *r.choice(kinds)(), r.choice([True, False, None]), "log") for i in range(20_000)]
+    table += [("net", 1, 50, "client.ip", "192.0.2.0/28", "cidr", False, "log"), ("short", 2, 50, "body", "q", "contains", False, "log"), ("none", 3, 50, "body", None, "contains", False, "log"), ("bad", 4, 50, "body", "(?x) a  # b", "regex", False, "log")]
+    rows = [(i, " ".join(word() for _ in range(6)), r.choice([None, " ".join(r.choice([word(), "\u212a" + word(), "\u017f" + word(), "\u0130" + word()]) for _ in range(200))]), word(), f"{word()}@x.y", f"192.0.2.{i}", "text", {"X-A": word()}) for i in range(24)]
+    a = spark.createDataFrame(rows, "article_id long, subject string, body string, newsgroups string, from string, client_ip string, article_type string, headers map<string,string>")
+    rules_ = spark.createDataFrame(table, "id string, ord int, priority int, target string, pattern string, match_type string, case_sensitive boolean, action string")
+    got = {(x.article_id, x.rule_id) for x in rules.ban_hits(a, rules_, cap=30_000, scan=None).select("article_id", "rule_id").collect()}
+    plan = rules.ban_hits(a, rules_, cap=30_000, scan=None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "NestedLoop" not in plan
+    monkeypatch.setattr(rules, "tried", lambda articles, rules_, test, reads, texts: rules.met_rules(articles, rules_, test))
+    want = {(x.article_id, x.rule_id) for x in rules.ban_hits(a, rules_, cap=30_000, scan=None).select("article_id", "rule_id").collect()}
+    assert got == want and len(want) > 2000
+
+
 def articles(spark, *rows):
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "article_id long, subject string, body string, newsgroups string, from string, client_ip string, article_type string")
 
