@@ -188,8 +188,8 @@ ORACLE: dict[str, str] = {
     "trusted_profile": f"WITH {AR}, x AS (SELECT article_id, split_part(client_ip, '.', 2)::INT AS o, source, lang FROM ar), p AS (SELECT article_id, CASE WHEN o BETWEEN 24 AND 31 THEN CASE WHEN lang = 'fr' THEN 't3' END END AS p3, CASE WHEN o IN (18, 19) OR regexp_matches(source, 'src[13]$') THEN 't2' END AS p2, CASE WHEN o BETWEEN 16 AND 19 THEN 't1' END AS p1, lang FROM x), q AS (SELECT article_id, CASE WHEN lang = 'fr' THEN coalesce(p3, p2, p1) ELSE coalesce(p2, p1) END AS profile FROM (SELECT article_id, lang, p2, p1, p3 FROM p)) SELECT article_id, profile, CASE profile WHEN 't1' THEN 'rbl' WHEN 't2' THEN 'rbl,badwords' ELSE '' END AS skip_checks, profile = 't3' AS full_bypass FROM q WHERE profile IS NOT NULL",
     "badword_hits": f"WITH {badword_hits()} SELECT article_id, rule_id, subject_hit, body_hit FROM wh",
     "word_list_hits": f"""WITH {AR}, w AS (SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark) WHERE length(word) >= 4),
-      h AS (SELECT article_id, word AS rule_id, CASE WHEN ascii(word) % 2 = 0 THEN regexp_matches(subject, '(?i)\\b' || word || '\\b') ELSE contains(lower(subject), word) END AS subject_hit,
-        CASE WHEN ascii(word) % 2 = 0 THEN regexp_matches(body, '(?i)\\b' || word || '\\b') ELSE contains(lower(body), word) END AS body_hit FROM ar, w)
+      h AS (SELECT article_id, word AS rule_id, CASE WHEN ascii(word) % 2 = 0 THEN regexp_matches(subject, '(?i)(^|[^a-z])' || word || '([^a-z]|$)') ELSE contains(lower(subject), word) END AS subject_hit,
+        CASE WHEN ascii(word) % 2 = 0 THEN regexp_matches(body, '(?i)(^|[^a-z])' || word || '([^a-z]|$)') ELSE contains(lower(body), word) END AS body_hit FROM ar, w)
       SELECT article_id, rule_id, coalesce(subject_hit, false) AS subject_hit, coalesce(body_hit, false) AS body_hit FROM h WHERE subject_hit OR body_hit""",
     "badword_verdict": f"WITH {BADWORD_VERDICT} SELECT * FROM wv",
     "ban_hits": f"WITH {AR}, {ban_hits()} SELECT article_id, rule_id, action FROM bh",

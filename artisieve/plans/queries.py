@@ -316,7 +316,7 @@ def badword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_list_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many word rules: each distinct word of the benchmark items is one, found as written or as a whole word."""
     words = fixtures.table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("length(word) >= 4").distinct()
-    table = words.select(F.col("word").alias("id"), F.ascii("word").alias("ord"), F.when(F.ascii("word") % 2 == 0, F.concat(F.lit(r"\b"), "word", F.lit(r"\b"))).otherwise(F.col("word")).alias("pattern"), F.when(F.ascii("word") % 2 == 0, "regex").otherwise("contains").alias("match_type"), F.lit("score").alias("action"))
+    table = words.select(F.col("word").alias("id"), F.ascii("word").alias("ord"), F.when(F.ascii("word") % 2 == 0, F.concat(F.lit("(^|[^a-z])"), "word", F.lit("([^a-z]|$)"))).otherwise(F.col("word")).alias("pattern"), F.when(F.ascii("word") % 2 == 0, "regex").otherwise("contains").alias("match_type"), F.lit("score").alias("action"))
     hits = content.badword_hits(typed_articles(spark, sf_dir), table, cap=rules.MAX_RULES, scan=None)
     return hits.select("article_id", "rule_id", "subject_hit", "body_hit")
 
