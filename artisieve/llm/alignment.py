@@ -44,17 +44,28 @@ class Side:
 class ChunkIds(ChunkCounter):
     """chunk (first blank dropped) -> ids, for models in which no token crosses from a chunk into the next (proven as for counts)."""
 
-    def _alone(self, chunk: str) -> list[int]:
-        return self.model.encode("x " + chunk)[self.lead :]
-
     def _prove(self) -> dict:
         return {}
 
-    def ids(self, text: str) -> list[int]:
-        if not self.splits or BLANK in text:
-            return self.model.encode(text)
-        chunks = [c[1:] for c in CHUNK.findall(" " + text)] if "  " in text or text[0] == " " or text[-1] == " " else text.split(" ")
-        return list(chain.from_iterable(map(self.__getitem__, chunks)))
+    def chunks(self, text: str) -> list[str]:
+        return [c[1:] for c in CHUNK.findall(" " + text)] if "  " in text or text[0] == " " or text[-1] == " " else text.split(" ")
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text. Chunks not met before go to the library in one call."""
+        if not self.splits or any(BLANK in t for t in texts):
+            return self.model.encode(texts, num_threads=1)
+        cut = [self.chunks(t) for t in texts]
+        every = set(chain.from_iterable(cut))
+        new = [c for c in every if c not in self]
+        if len(self) + len(new) > self.bound:
+            self.clear()
+            new = list(every)
+        self.update(zip(new, (x[self.lead :] for x in self.model.encode(["x " + c for c in new], num_threads=1)), strict=True))
+        out = [list(chain.from_iterable(map(self.__getitem__, c))) for c in cut]
+        for c in new:
+            if len(c) > 64:  # long chunks seldom come again
+                del self[c]
+        return out
 
 
 def byte_level(path: str) -> Side:
@@ -92,7 +103,7 @@ def pieces(path: str) -> Side:
     model = chunks.model
     name = model.id_to_piece
     spelled = [bytes([int(name(i)[3:-1], 16)]) if model.is_byte(i) else name(i).replace(BLANK, " ").encode() for i in range(model.get_piece_size())]
-    return Side(spelled, lambda texts: [chunks.ids(t) for t in texts])
+    return Side(spelled, chunks.ids)
 
 
 def places(sizes: np.ndarray) -> np.ndarray:
