@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from artisieve.functions import text as X
+from artisieve.sources.commits import CommitLog
 
 ARTICLE_SCHEMA = "article_id long, received_us long, headers map<string,string>, body string, client_ip string, client_hostname string, interface string, user string"
 
@@ -75,23 +76,38 @@ def saved_rows(articles: DataFrame) -> DataFrame:
     return rows.select("event_id", "article_type", "path", F.sha2("content", 256).alias("file_sha256"), F.octet_length("content").cast("long").alias("file_size"), "created_us", "content")
 
 
-def write_saved(rows: DataFrame, path: str) -> None:
-    """Appends saved rows to a table partitioned by type and day; a rerun of one batch replaces nothing and adds nothing twice
-    where the caller writes each batch to its own folder."""
+PARTITIONS = {"article_events": ["received_date", "article_type"], "saved": ["article_type", "day"]}
+
+
+def record_batch(events: DataFrame, hits: DataFrame, path: str, batch: int | str, saved: DataFrame | None = None) -> bool:
+    """Records one batch of events, their hits and their saved rows in the commit log ``path``: all of them or none, and once,
+    however often the batch is run. False where the batch was recorded before."""
+    day = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd")
+    tables = {"article_events": events.withColumn("received_date", day("received_us")), "rule_hits": hits}
+    if saved is not None:
+        tables["saved"] = saved.withColumn("day", day("created_us"))
+    return CommitLog(events.sparkSession, path).commit(str(batch), tables, partitions=PARTITIONS)
+
+
+def write_saved(rows: DataFrame, path: str, batch: int | str) -> bool:
+    """Adds saved rows to the commit log ``path``, split by type and day; once for each batch."""
     day = F.date_format(F.timestamp_micros("created_us"), "yyyy-MM-dd")
-    rows.withColumn("day", day).write.mode("append").partitionBy("article_type", "day").parquet(path)
+    return CommitLog(rows.sparkSession, path).commit(str(batch), {"saved": rows.withColumn("day", day)}, partitions=PARTITIONS)
 
 
-def write_events(events: DataFrame, hits: DataFrame, path: str, batch: int | str) -> None:
-    """Writes one batch of events and hits. The batch's folders are overwritten, so that a batch that is run again is
-    recorded once; readers see both tables by batch."""
-    day = F.date_format(F.timestamp_micros("received_us"), "yyyy-MM-dd")
-    hits.write.mode("overwrite").parquet(f"{path}/rule_hits/batch={batch}")
-    events.withColumn("received_date", day).write.mode("overwrite").partitionBy("received_date", "article_type").parquet(f"{path}/article_events/batch={batch}")
+def write_events(events: DataFrame, hits: DataFrame, path: str, batch: int | str) -> bool:
+    """Writes one batch of events and hits together; a batch that is run again is recorded once."""
+    return record_batch(events, hits, path, batch)
 
 
 def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/article_events"), spark.read.parquet(f"{path}/rule_hits")
+    """(events, hits) of all committed batches."""
+    log = CommitLog(spark, path)
+    return log.read("article_events"), log.read("rule_hits")
+
+
+def read_saved(spark: SparkSession, path: str) -> DataFrame:
+    return CommitLog(spark, path).read("saved")
 
 
 def jsonl(df: DataFrame, order: str = "received_us") -> DataFrame:

@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from artisieve.operators.rates import LONG_US, SHORT_US
-from artisieve.sources.articles import write_events
+from artisieve.sources.articles import record_batch
+from artisieve.sources.commits import CommitLog, stream_name
 
 
-def score_stream(articles: DataFrame, score: Callable[[DataFrame], tuple[DataFrame, DataFrame]], out: str, checkpoint: str) -> DataStreamWriter:
-    """Scores each micro-batch with ``score(batch) -> (events, hits)`` and records both under its batch id. Rule tables
-    that ``score`` reads are read anew for each batch, so that a change takes effect without a restart."""
+def score_stream(articles: DataFrame, score: Callable[[DataFrame], tuple[DataFrame, ...]], out: str, checkpoint: str) -> DataStreamWriter:
+    """Scores each micro-batch with ``score(batch) -> (events, hits)`` or ``(events, hits, saved)`` and records all of them in the commit log
+    ``out`` under the stream's and the batch's name. Rule tables that ``score`` reads are read anew for each batch
+    (``refresh.RuleBook`` keeps the last good version), so that a change takes effect without a restart."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        events, hits = score(batch)
-        write_events(events, hits, out, batch_id)
+        name = stream_name(batch, batch_id)
+        if not CommitLog(batch.sparkSession, out).has(name):
+            events, hits, *saved = score(batch)
+            record_batch(events, hits, out, name, *saved)
 
     return articles.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from artisieve.operators import rates, reputation
@@ -104,3 +105,111 @@ def test_rate_and_multipost_streams(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     got = run(spark, scoring.multipost_stream(stream_of(spark, df, str(tmp_path / "b"))), "multi")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rates.multipost_count(df).select(*got.columns).collect()))
+
+
+def log_of(spark, tmp_path):
+    from artisieve.sources.commits import CommitLog
+
+    return CommitLog(spark, f"file://{tmp_path}/log")
+
+
+def test_a_batch_is_committed_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    events = spark.createDataFrame([(1, 10, "text"), (2, 90_000_000_000, "binary")], "id long, received_us long, article_type string")
+    hits = spark.createDataFrame([(1, "r")], "event_id long, rule_id string")
+    saved = spark.createDataFrame([(2, "binary", 5, "x")], "event_id long, article_type string, created_us long, content string")
+    path = f"file://{tmp_path}/log"
+    assert A.record_batch(events, hits, path, "a", saved)
+    broken = hits.withColumn("rule_id", F.raise_error(F.lit("killed")).cast("string"))  # after the events, before the saved rows
+    for _ in range(2):
+        with pytest.raises(Exception, match="killed"):
+            A.record_batch(events, broken, path, "b", saved)
+    got = lambda: tuple(x.count() for x in (*A.read_events(spark, path), A.read_saved(spark, path)))
+    assert got() == (2, 1, 1)
+    assert A.record_batch(events, hits, path, "b", saved) and got() == (4, 2, 2)
+    assert not A.record_batch(events, hits, path, "b", saved) and got() == (4, 2, 2)
+    log = log_of(spark, tmp_path)
+    assert len(log.vacuum(1 << 62)) == 2 + 2 and got() == (4, 2, 2)  # what the two killed runs left
+    log.snapshot()
+    assert [m["names"] for m in log.manifests()] == [["a", "b"]] and got() == (4, 2, 2)
+    more = hits.withColumn("score", F.lit(1.0))
+    assert A.record_batch(events, more, path, "c") and got() == (6, 3, 2)
+    assert [r.score for r in A.read_events(spark, path)[1].collect() if r.score] == [1.0]
+    log.snapshot()  # two schemas of hits: nothing is gathered, nothing is lost
+    assert got() == (6, 3, 2) and log.names() == {"a", "b", "c"}
+    assert {f.name for f in (tmp_path / "log/article_events").rglob("received_date=*")} == {"received_date=1970-01-01", "received_date=1970-01-02"}
+    with pytest.raises(ValueError):
+        log.commit("../x", {})
+    assert log.read("other", "x int").count() == 0
+    assert not log._write(log._manifest("a"), {}) and got() == (6, 3, 2)  # the slower of two writers
+
+
+def test_late_rows_go_to_their_own_table(spark, tmp_path):
+    from artisieve.streaming import late
+
+    r = random.Random(7)
+    times = [[r.randrange(0, 100), None, 99], [150, r.randrange(0, 200), 59, 60, 300], [], [210, 209, 211, 500], [399, 400, 401, None]]
+    rows = [[(1000 * b + i, t) for i, t in enumerate(batch)] for b, batch in enumerate(times)]
+    (tmp_path / "in").mkdir()
+    want_late, seen = set(), None
+    for b, batch in enumerate(rows):
+        if not batch:
+            continue
+        mark = None if seen is None else seen - 40
+        want_late |= {i for i, t in batch if t is None or (mark is not None and t < mark)}
+        seen = max([x for x in (seen, *(t for _, t in batch)) if x is not None])
+    stream = lambda: spark.readStream.schema("id long, received_us long").option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(f"{tmp_path}/in")
+    for b, batch in enumerate(rows):  # a restart of the stream for each file
+        (tmp_path / f"in/{b}.json").write_text("\n".join(json.dumps({"id": i, "received_us": t}) for i, t in batch))
+        late.split_late(stream(), f"file://{tmp_path}/log", f"{tmp_path}/check", 40).trigger(availableNow=True).start().awaitTermination()
+    log = log_of(spark, tmp_path)
+    got_rows, got_late = [x.id for x in log.read("rows").collect()], [(x.id, x.watermark_us) for x in log.read("late").collect()]
+    assert {i for i, _ in got_late} == want_late and len(want_late) >= 4
+    assert sorted(got_rows + [i for i, _ in got_late]) == sorted(i for batch in rows for i, _ in batch)
+    assert late.corrected(log).count() == sum(map(len, rows))
+
+
+def test_a_broken_rule_update_keeps_the_last_good_one(spark, tmp_path):
+    from artisieve.streaming.refresh import RuleBook
+
+    source, now = tmp_path / "rules.json", [0.0]
+    put = lambda *rules: source.write_text("\n".join(json.dumps({"id": i, "pattern": p, "match_type": "regex"}) for i, p in rules))
+    schema = "id string, pattern string, match_type string"
+    book = lambda: RuleBook(spark, f"file://{tmp_path}/log", lambda: spark.read.schema(schema).json(str(source)), 60, lambda: now[0])
+    with pytest.raises(ValueError):
+        book().current()  # no source at all
+    put(("a", "x+"))
+    first = book()
+    assert first.current()[0] == 1
+    put(("a", "x+"), ("b", "y"))
+    assert first.current()[0] == 1  # not looked again yet
+    now[0] = 61
+    version, rules_ = first.current()
+    assert version == 2 and rules_.count() == 2
+    for bad in ([("a", "(")], [("a", "x"), ("a", "y")], [(None, "x")]):
+        put(*bad)
+        assert first.refresh() and first.current()[0] == 2 and first.current()[1].count() == 2
+    assert book().current()[0] == 2  # another process, same broken source
+    put(("b", "y"), ("a", "x+"))
+    assert not first.refresh() and first.current()[0] == 2  # equal rules are no new version
+    put(("c", "z"))
+    assert not first.refresh() and [r.id for r in first.current()[1].collect()] == ["c"]
+    assert {r.fault.split(":")[0] for r in log_of(spark, tmp_path).read("refused").collect()} >= {"a", "None"}
+
+
+def test_reports_are_refreshed_by_a_timer(spark, tmp_path):
+    from artisieve.streaming.refresh import latest_report, refresh_report
+
+    events = lambda: A.read_events(spark, f"file://{tmp_path}/events")[0]
+    add = lambda n: A.write_events(spark.createDataFrame([(n, n, "text")], "id long, received_us long, article_type string"), spark.createDataFrame([], "event_id long"), f"file://{tmp_path}/events", n)
+    add(1)
+    schema = "id long, received_us long"
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/events/article_events")
+    query = refresh_report(stream, lambda s: events().agg(F.count("*").alias("n")), f"file://{tmp_path}/report", f"{tmp_path}/check", "1 second").start()
+    try:
+        query.processAllAvailable()
+        assert latest_report(spark, f"file://{tmp_path}/report").first().n == 1
+        add(2)
+        query.processAllAvailable()
+        assert latest_report(spark, f"file://{tmp_path}/report").first().n == 2
+    finally:
+        query.stop()
