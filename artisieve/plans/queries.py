@@ -455,15 +455,19 @@ def scan_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("article_id").agg(F.count("*").alias("parts"), F.sum(F.octet_length(F.col("segment").cast("binary"))).alias("bytes"))
 
 
+def rule_steps(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {"banlist": rules.ban_verdict(bans(spark, sf_dir)).select("article_id", "legacy_code"), "badwords": badword_verdict(spark, sf_dir).select("article_id", "legacy_code")}
+
+
 def step_results(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {"style": style_codes(spark, sf_dir), "binary": encoded_binaries(spark, sf_dir), "banlist": rules.ban_verdict(bans(spark, sf_dir)).select("article_id", "legacy_code"), "badwords": badword_verdict(spark, sf_dir).select("article_id", "legacy_code")}
+    return {"style": style_codes(spark, sf_dir), "binary": encoded_binaries(spark, sf_dir), **rule_steps(spark, sf_dir)}
 
 
 def all_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps that are expressions are computed in the one scan that gives the articles."""
     own = {"style": structure.style_code(STYLE_LIMITS), "binary": content.binary_code(F.col("body"), F.col("article_type"))}
     ready = style_inputs(spark, sf_dir).select("article_id", *(c.alias(name) for name, c in own.items()))
-    return decide.combine(ready, step_results(spark, sf_dir) | {name: F.col(name) for name in own})
+    return decide.combine(ready, {name: F.col(name) for name in own} | rule_steps(spark, sf_dir))
 
 
 @register

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -213,3 +215,104 @@ def test_reports_are_refreshed_by_a_timer(spark, tmp_path):
         assert latest_report(spark, f"file://{tmp_path}/report").first().n == 2
     finally:
         query.stop()
+
+
+def test_message_files_round_trip(spark, tmp_path):
+    from artisieve.sources import messages
+
+    rows = [(i, 1_700_000_000_000_000 + i, f"<m{i}@x>", {"Subject": f"s {i}", "From": "a@b.c"}, "body é\n\nmore" if i % 3 else None) for i in range(40)]
+    a = spark.createDataFrame(rows, "article_id long, received_us long, message_id string, headers map<string,string>, body string").repartition(3)
+    path = f"file://{tmp_path}/out"
+    messages.write_message_files(A.file_records(a), path)
+    got = messages.read_message_files(spark, path)
+    assert sorted((r.headers["Subject"], r.headers["From"], r.body) for r in got.collect()) == sorted((r[3]["Subject"], "a@b.c", r[4] or "") for r in rows)
+    assert sorted(r.body for r in A.read_articles(spark, f"{path}/*").collect()) == sorted(r[4] or "" for r in rows)
+    bad = A.file_records(a).withColumn("file_name", F.when(F.col("file_name").contains("000039"), "../x").otherwise(F.col("file_name")))
+    with pytest.raises(Exception, match="not a file's name"):
+        messages.write_message_files(bad, path)
+    assert got.count() == 40 and len(list((tmp_path / "out").iterdir())) == 1  # an abort leaves nothing
+    messages.write_message_files(A.file_records(a.limit(0)), path)
+    messages.write_message_files(A.file_records(a.limit(5)), path)
+    assert messages.read_message_files(spark, path).count() == 45
+    assert messages.read_message_files(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_empty_article_files_are_articles_in_batch_and_stream(spark, tmp_path):
+    from artisieve.sources import messages
+
+    (tmp_path / "in/deep").mkdir(parents=True)
+    put = lambda name, text: (tmp_path / "in" / name).write_text(text)
+    put("a.post", "From: a@b.c\n\nbody")
+    put("deep/empty.post", "")
+    put("_hidden", "From: x\n\n")
+    got = {r.file.rsplit("/", 1)[1]: (r.headers, r.body, r.size) for r in messages.read_message_files(spark, f"{tmp_path}/in").collect()}
+    assert got == {"a.post": ({"From": "a@b.c"}, "body", 17), "empty.post": ({}, "", 0)}
+    assert len(messages.shares(messages.listed(f"{tmp_path}/in"), 4096)) == 2
+
+    def step():
+        q = messages.stream_message_files(spark, f"{tmp_path}/in").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check").start(f"{tmp_path}/seen")
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        return sorted(r.file.rsplit("/", 1)[1] for r in spark.read.parquet(f"{tmp_path}/seen").collect())
+
+    assert step() == ["a.post", "empty.post"]
+    put("b.post", "")
+    put("c.post", "X: 1\n\n")
+    assert step() == ["a.post", "b.post", "c.post", "empty.post"]
+    assert step() == ["a.post", "b.post", "c.post", "empty.post"]  # nothing is read twice
+
+
+def in_files(spark, rows, schema, path, each):
+    """A stream that meets ``each`` rows a batch, in order."""
+    path.mkdir()
+    for i in range(0, len(rows), each):
+        spark.createDataFrame(rows[i : i + each], schema).coalesce(1).write.json(f"{path}/w{i:05d}")
+    for i, f in enumerate(sorted(path.glob("w*/part-*.json"))):
+        f.rename(path / f"{i:05d}.json")
+        os.utime(path / f"{i:05d}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{path}/*.json")
+
+
+def run_until(spark, stream, name, rows, seconds=90):
+    """The first ``rows`` rows of a stream that goes on by itself, as one with timeouts does."""
+    q = stream.writeStream.format("memory").queryName(name).outputMode("append").start()
+    try:
+        end = time.monotonic() + seconds
+        while spark.table(name).count() < rows and time.monotonic() < end and q.isActive:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    return spark.table(name)
+
+
+def test_thread_marks_follow_replies_across_batches(spark, tmp_path):
+    from artisieve.operators.threads import local_threads
+    from artisieve.streaming.marks import thread_stream
+
+    r = random.Random(3)
+    posts = []
+    for t in range(4):
+        ids = []
+        for k in range(30):
+            parent = r.choice([None, f"m{t}-{k}", "gone", *ids[-4:]]) if k else None
+            posts.append((f"t{t}", f"m{t}-{k}", parent, r.choice(["", "", "", None, " Local ", "usenet", "world"]) if k else "local", r.random() < 0.85, 10 * k))
+            ids.append(f"m{t}-{k}")
+    posts.sort(key=lambda p: (p[5], p[1]))
+    schema = "root string, message_id string, parent_id string, distribution string, accepted boolean, ord long"
+    got = run_until(spark, thread_stream(in_files(spark, posts, schema, tmp_path / "in", 17)), "marks", len(posts))
+    want = local_threads(spark.createDataFrame(posts, schema)).select("message_id", F.coalesce("local", F.lit(False)).alias("local"), "legacy_code")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sum(x.local for x in got.collect()) > 20
+
+
+def test_lookup_cache_equals_the_batch_result(spark, tmp_path):
+    from artisieve.streaming.marks import lookup_stream
+
+    r = random.Random(6)
+    rows = sorted(((r.choice("pq"), f"k{r.randrange(4)}", r.randrange(4_000) * 1_000_000, i, r.random() < 0.4) for i in range(150)), key=lambda x: (x[2], x[3]))
+    schema = "provider string, key string, ts_us long, id long, listed boolean"
+    got = run_until(spark, lookup_stream(in_files(spark, rows, schema, tmp_path / "in", 25), 200_000_000, 40_000_000), "cache", len(rows))
+    want = reputation.lookup_dedupe(spark.createDataFrame(rows, schema), 200_000_000, 40_000_000).select("id", "cached")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and 20 < got.where("cached").count() < 140
