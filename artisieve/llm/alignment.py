@@ -32,36 +32,57 @@ def byte_of() -> dict[str, int]:
 
 
 class Side:
-    """One tokenizer: ``encode(texts)``, the bytes of each id, and whether the bytes of a text's ids are always its own."""
+    """One tokenizer: ``encode(texts)`` gives the ids of each text, None where they do not spell blank + text; and the bytes of each id."""
 
-    def __init__(self, spelled: list[bytes], encode: Callable[[list[str]], list[list[int]]], exact: bool = False):
-        self.spelled, self.encode, self.exact = spelled, encode, exact
+    def __init__(self, spelled: list[bytes], encode: Callable[[list[str]], list[np.ndarray | None]]):
+        self.spelled, self.encode = spelled, encode
         self.size = np.array([len(x) for x in spelled], np.int64)
         self.marked = np.array([x[:1] == b" " for x in spelled])
         self.value = mix64(np.arange(1, len(spelled) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def verified(spelled: list[bytes], ids: list[int], text: str) -> np.ndarray | None:
+    """The ids, None where they do not spell blank + text."""
+    return np.array(ids, np.int64) if b"".join(map(spelled.__getitem__, ids)) == (" " + text).encode("utf-8", "surrogatepass") else None
+
+
 class ChunkIds(ChunkCounter):
-    """chunk (first blank dropped) -> ids, for models in which no token crosses from a chunk into the next (proven as for counts)."""
+    """chunk (first blank dropped) -> ids, packed, for models in which no token crosses from a chunk into the next (proven as for
+    counts). A chunk whose ids do not spell it is None, and so is each text that holds it."""
 
     def _prove(self) -> dict:
+        self.spelled = [bytes([int(self.model.id_to_piece(i)[3:-1], 16)]) if self.model.is_byte(i) else self.model.id_to_piece(i).replace(BLANK, " ").encode() for i in range(self.model.get_piece_size())]
         return {}
 
-    def chunks(self, text: str) -> list[str]:
-        return [c[1:] for c in CHUNK.findall(" " + text)] if "  " in text or text[0] == " " or text[-1] == " " else text.split(" ")
-
-    def ids(self, texts: list[str]) -> list[list[int]]:
+    def learn(self, new: list[str]) -> None:
+        """Keeps the ids of these chunks, encoded in one call."""
+        encoded = self.model.encode(["x " + c for c in new], num_threads=1)
+        flat = list(chain.from_iterable(x[self.lead :] for x in encoded))
+        ends = np.cumsum([len(x) - self.lead for x in encoded])
+        spelled = list(map(self.spelled.__getitem__, flat))
+        wanted = [(" " + c).encode("utf-8", "surrogatepass") for c in new]
+        at = np.cumsum([0, *map(len, spelled)])[ends]  # where each chunk's bytes end
+        raw, cut = np.array(flat, np.int64).tobytes(), (8 * ends).tolist()
+        self.update(zip(new, (raw[s:e] for s, e in zip([0, *cut], cut, strict=False)), strict=True))
+        if b"".join(spelled) != b"".join(wanted) or (at != np.cumsum([*map(len, wanted)])).any():
+            for c, x, want in zip(new, encoded, wanted, strict=True):
+                if b"".join(map(self.spelled.__getitem__, x[self.lead :])) != want:
+                    self[c] = None
+
+    def ids(self, texts: list[str]) -> list[np.ndarray | None]:
         """The ids of each text. Chunks not met before go to the library in one call."""
         if not self.splits or any(BLANK in t for t in texts):
-            return self.model.encode(texts, num_threads=1)
-        cut = [self.chunks(t) for t in texts]
+            return [verified(self.spelled, ids, t) for ids, t in zip(self.model.encode(texts, num_threads=1), texts, strict=True)]
+        cut = [[c[1:] for c in CHUNK.findall(" " + t)] if "  " in t or t[0] == " " or t[-1] == " " else t.split(" ") for t in texts]
         every = set(chain.from_iterable(cut))
         new = [c for c in every if c not in self]
         if len(self) + len(new) > self.bound:
             self.clear()
             new = list(every)
-        self.update(zip(new, (x[self.lead :] for x in self.model.encode(["x " + c for c in new], num_threads=1)), strict=True))
-        out = [list(chain.from_iterable(map(self.__getitem__, c))) for c in cut]
+        if new:
+            self.learn(new)
+        odd = {c for c in every if self[c] is None}
+        out = [None if odd and not odd.isdisjoint(c) else np.frombuffer(b"".join(map(self.__getitem__, c)), np.int64) for c in cut]
         for c in new:
             if len(c) > 64:  # long chunks seldom come again
                 del self[c]
@@ -70,8 +91,8 @@ class ChunkIds(ChunkCounter):
 
 def byte_level(path: str) -> Side:
     """A byte-level vocabulary in a tokenizers file; strings of special tokens inside texts are plain text. Where the merges
-    are ranked as their tokens are numbered, and the splitting rule is the usual one, ``tiktoken`` gives the library's ids
-    at four times its speed (a test compares them on every character)."""
+    are ranked as their tokens are numbered, and the splitting rule is the usual one, ``tiktoken`` gives the library's ids,
+    which always spell the text, at four times its speed (a test compares them on every character)."""
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
@@ -92,18 +113,16 @@ def byte_level(path: str) -> Side:
 
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed: the splitting rule of byte-level files
         fast = tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks={spelled[i]: i for i in range(256 + len(pairs))}, special_tokens={})
-        return Side(spelled, lambda texts: [fast.encode_ordinary(t) for t in texts], exact=True)
-    return Side(spelled, lambda texts: [e.ids for e in library.encode_batch(texts, add_special_tokens=False)])
+        return Side(spelled, lambda texts: [np.array(fast.encode_ordinary(" " + t), np.int64) for t in texts])
+    encoded = lambda texts: library.encode_batch([" " + t for t in texts], add_special_tokens=False)
+    return Side(spelled, lambda texts: [verified(spelled, e.ids, t) for e, t in zip(encoded(texts), texts, strict=True)])
 
 
 def pieces(path: str) -> Side:
     """A piece model: the blank marker spells a blank, a byte piece its byte. Chunks between blanks are encoded once for each that
     a worker meets."""
     chunks = ChunkIds(path, 300_000)
-    model = chunks.model
-    name = model.id_to_piece
-    spelled = [bytes([int(name(i)[3:-1], 16)]) if model.is_byte(i) else name(i).replace(BLANK, " ").encode() for i in range(model.get_piece_size())]
-    return Side(spelled, chunks.ids)
+    return Side(chunks.spelled, chunks.ids)
 
 
 def places(sizes: np.ndarray) -> np.ndarray:
@@ -170,11 +189,9 @@ class Aligner:
         full = [i for i, t in enumerate(texts) if t]
         out_a, out_b = [none] * len(texts), [none] * len(texts)
         some = [texts[i] for i in full]
-        spaced = [" " + t for t in some]
-        for i, text, a, b in zip(full, spaced, self.a.encode(spaced), self.b.encode(some), strict=True):
-            raw = text.encode("utf-8", "surrogatepass")
-            if all(side.exact or b"".join(map(side.spelled.__getitem__, x)) == raw for side, x in ((self.b, b), (self.a, a))):
-                out_a[i], out_b[i] = np.array(a, np.int64), np.array(b, np.int64)
+        for i, a, b in zip(full, self.a.encode(some), self.b.encode(some), strict=True):
+            if a is not None and b is not None:
+                out_a[i], out_b[i] = a, b
         return out_a, out_b
 
     def align(self, texts: list[str | None]) -> dict[str, list | np.ndarray]:
