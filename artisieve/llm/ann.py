@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A table's hash of a unit vector is the signed axis nearest to it after a pseudo-rotation: three rounds of
-random signs and a fast Hadamard transform. A key concatenates the axes of as many rotations as leave about
-``BUCKET`` candidates to a key, so that buckets do not grow with the corpus. A query probes, in each table, the
-``probes`` keys of greatest summed coordinates; candidates met there are scored exactly. A query that meets fewer
-than it asks for is scored against all rows, in blocks.
+random signs and a fast Hadamard transform. A key is one axis, or in a large corpus (``BUCKET`` candidates to a key) two of two
+rotations. A query probes, in each table, the ``probes`` keys of greatest summed coordinates, their square with keys of
+two axes and in half as many tables more, so that recall holds; candidates met there are scored exactly. A query that meets
+fewer than it asks for is scored against all rows, in blocks.
 
 Greatest inner product over vectors of unequal norms is reduced to angles by one more coordinate that brings
 every candidate to the greatest norm (a query gets 0 there). Equal vectors are one candidate, with the least
@@ -14,6 +14,7 @@ candidates and queries, whose grid comes from the bucket counts; each task merge
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,10 +59,14 @@ def axes(x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keys(x: np.ndarray, table: int, seed: int, rotations: int, probes: int) -> np.ndarray:
-    """The ``probes`` nearest keys of each row, nearest first: one axis for each of the table's rotations."""
+    """The ``probes`` nearest keys of each row, nearest first: one axis for each of the table's rotations. Keys of several axes are
+    taken from the nearest axes of each, twice as many as a square of ``probes`` has on a side."""
+    if len(x) > 1024:
+        return np.concatenate([keys(x[s : s + 1024], table, seed, rotations, probes) for s in range(0, len(x), 1024)])
+    side = probes if rotations == 1 else 2 * math.isqrt(probes)
     key, near = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
     for r in range(rotations):
-        axis, near_r = axes(rotate(x, table + (r << 16), seed), probes)
+        axis, near_r = axes(rotate(x, table + (r << 16), seed), side)
         sums = (near[:, :, None] + near_r[:, None, :]).reshape(len(x), -1)
         best = np.argsort(-sums, axis=1, kind="stable")[:, :probes]
         rows = np.arange(len(x))[:, None]
@@ -118,7 +123,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, tables: int =
     ``queries(id)`` names rows of ``vectors``. Ties go to the smaller id. Null ids and unusable vectors take
     no part; only vectors of the query's dimension are compared. A query has ``top`` rows, or all candidates where
     there are fewer. An id with several vectors is several candidates and several queries; its best places are kept.
-    ``rotations`` to a key follow from the number of vectors unless given.
+    ``rotations`` to a key, 1 or 2, follow from the number of vectors unless given; ``probes`` and ``tables`` are those of one.
     """
     kind = dict(vectors.dtypes)[id_col]
     plain = F.transform(F.col(vector_col).cast("array<double>"), lambda v: v + F.lit(0.0))  # no negative zero
@@ -133,7 +138,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, tables: int =
     spread = groups.agg(F.min(norm).alias("lo"), F.max(norm).alias("hi"), F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
     lo, hi, d_max = spread["lo"] or 0.0, spread["hi"] or 0.0, spread["d"] or 1
     level = hi - lo <= 1e-3 * hi
-    rotations = rotations or max(1, round(np.log(max(spread["n"] / BUCKET, 1)) / np.log(2 * d_max + 2)))
+    rotations = rotations or min(2, max(1, round(np.log(max(spread["n"] / BUCKET, 1)) / np.log(2 * d_max + 2))))
+    probes, tables = probes**rotations, tables * (rotations + 1) // 2
 
     def hashed(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -220,3 +220,23 @@ def test_hard_negatives(spark, blocks):
     assert len(got) > 300
     assert hard_negatives(table, "vec_id < 0").count() == 0
     assert hard_negatives(table.limit(0), "vec_id % 10 = 0").count() == 0
+
+
+@pytest.mark.parametrize("rotations", [1, 2])
+def test_ann_recall_holds_with_keys_of_two_axes(spark, rotations):
+    from artisieve.llm.ann import nearest
+
+    r = np.random.default_rng(9)
+    x = r.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = defaultdict(set)
+    for q, v in nearest(table, table.where("vec_id % 60 = 0").select("vec_id"), rotations=rotations).select("query_id", "vec_id").collect():
+        got[q].add(v)
+    found = total = 0
+    for q in range(0, 3000, 60):
+        scores = x @ x[q]
+        scores[q] = -2
+        want = set(np.argsort(-scores)[:20].tolist())  # cosines of 0.3 to 0.45
+        found, total = found + len(want & got[q]), total + 20
+    assert found / total >= 0.9
