@@ -17,7 +17,7 @@ from artisieve.operators import automaton
 MAX_RULES = 100_000
 #: So many rules are tried as literal expressions in one projection; of more, those whose required strings occur.
 LITERAL_RULES = 256
-#: Characters of a body that word and ban rules read, by article type; other types are read as text.
+#: Bytes of a body that word and ban rules read, by article type; other types are read as text.
 SCAN = {"text": 32_768, "binary": 1_048_576}
 
 
@@ -63,11 +63,13 @@ def scoped(types: Column, kind: Column) -> Column:
 
 
 def scan_body(articles: DataFrame, limits: dict[str, int] | None) -> DataFrame:
-    """``articles`` with the body cut to what its type allows; no limit, or one of 0, leaves it whole."""
+    """``articles`` with the body cut to the bytes that its type allows, less a character cut in two; no limit, or one of 0, leaves it
+    whole."""
     if not limits or "article_type" not in articles.columns:
         return articles
     most = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("article_type")), F.lit(limits.get("text", 0)))
-    return articles.withColumn("body", F.when(most > 0, F.substring(F.col("body"), F.lit(1), most)).otherwise(F.col("body")))
+    cut = F.regexp_replace(F.substring(F.col("body").cast("binary"), F.lit(1), most).cast("string"), r"\x{FFFD}{1,3}\z", "")
+    return articles.withColumn("body", F.when((most > 0) & (F.octet_length("body") > most), cut).otherwise(F.col("body")))
 
 
 def ranked_by_type(rules: DataFrame, order: list[Column], cap: int) -> tuple[DataFrame, Callable[[Column], Column]]:

@@ -80,8 +80,9 @@ ar AS (SELECT doc_id AS article_id, '<doc' || doc_id || '@fixture.invalid>' AS m
   '172.' || (16 + doc_id % 20) || '.5.9' AS client_ip, 1704067200000000 + doc_id * 60000000 AS received_us,
   CASE WHEN doc_id % 17 = 0 THEN '> ' || replace(b2, chr(10), chr(10) || '> ') ELSE b2 END AS body, lang, source FROM a2),
 ty AS (SELECT *, string_split(newsgroups, ',') AS grp, CASE WHEN article_id % 10 = 5 THEN 'binary' WHEN article_id % 10 = 0 THEN 'mixed' ELSE 'text' END AS article_type FROM ar)"""
-#: The part of the body that word and ban rules read.
-SCANNED = "left(body, CASE WHEN article_type = 'binary' THEN 1048576 ELSE 32768 END)"
+#: The bytes of the body that word and ban rules read, less a character cut in two.
+SCAN_BYTES = "CASE WHEN article_type = 'binary' THEN 1048576 ELSE 32768 END"
+SCANNED = f"CASE WHEN octet_length(encode(body)) <= {SCAN_BYTES} THEN body ELSE coalesce(" + ", ".join(f"try(decode(encode(body)[1:({SCAN_BYTES}) - {i}]))" for i in range(4)) + ") END"
 BYTES = "octet_length(encode(body))"
 HEAD = "octet_length(encode(subject)) + octet_length(encode(\"from\")) + octet_length(encode(newsgroups)) + octet_length(encode(message_id)) + length('FromNewsgroupsSubjectMessage-ID') + 12"
 LINES = "regexp_split_to_array(body, '\\r?\\n')"
@@ -149,6 +150,7 @@ SCORES = """sc AS (SELECT article_id, (CASE WHEN regexp_matches(newsgroups, '(?i
 
 ORACLE: dict[str, str] = {
     "rate_snapshot": f"WITH {snapshot()} SELECT id, kind, lookup, {', '.join(Q.COUNTERS)} FROM snap",
+    "event_commits": f"WITH {EV} SELECT strftime(make_timestamp(received_us), '%Y-%m-%d') AS received_date, article_type, count(*) AS n, count(*) FILTER (WHERE would_reject) AS n_hits, CAST(sum(total_size) AS BIGINT) AS bytes FROM ev GROUP BY ALL",
     "rate_enforced": enforced(0),
     "rate_enforced_multipost": enforced(2),
     "rate_snapshot_by_type": f"WITH {snapshot(True)} SELECT id, kind, lookup, article_type, {', '.join(Q.COUNTERS)} FROM snap",

@@ -12,6 +12,7 @@ from artisieve.functions import text as X
 from artisieve.operators import content, decide, features, history, privacy, rates, reputation, rules, structure, threads, validity
 from artisieve.plans import fixtures
 from artisieve.sources import articles as files
+from artisieve.sources import staging
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,6 +75,17 @@ def rate_enforced_multipost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.enforce_outcomes(fixtures.events(spark, sf_dir), {"ID": {"max_articles": 5, "max_total_errors": 2}}, default_multipost=2)
 
 
+@register
+def event_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and hits recorded in four batches, each of which is run twice and recorded once."""
+    e, hits, root = fixtures.events(spark, sf_dir), fixtures.rule_hits(spark, sf_dir), staging.place(spark, "events")
+    for k in [*range(4), *range(4)]:
+        files.record_batch(e.where(F.col("id") % 4 == k), hits.where(F.col("event_id") % 4 == k), root, f"batch-{k}")
+    recorded, found = files.read_events(spark, root)
+    per_event = found.groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("hits"))
+    return recorded.join(per_event, "id", "left").groupBy("received_date", "article_type").agg(F.count("*").alias("n"), F.sum(F.coalesce("hits", F.lit(0))).alias("n_hits"), F.sum("total_size").alias("bytes"))
+
+
 @register
 def multipost_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.multipost_count(fixtures.events(spark, sf_dir)).select("id", "article_digest", "multipost")
@@ -370,7 +382,7 @@ def full_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = typed_articles(spark, sf_dir)
     n = F.col("article_id")
     day = F.date_format(F.timestamp_micros("received_us"), "d MMM yyyy HH:mm:ss")
-    date = F.when(n % 23 == 0, F.lit("yesterday")).when(n % 29 == 0, F.lit("1 Jan 2030 00:00:00 +0000")).otherwise(F.concat(F.lit("Mon, "), day, F.lit(" +0000")))
+    date = F.when(n % 23 == 0, F.lit("yesterday")).when(n % 29 == 0, F.lit("1 Jan 2030 00:00:00 +0000")).when(n % 27 == 1, F.concat(F.lit("mon, "), F.lower(day), F.lit(" +0000"))).when(n % 27 == 2, F.concat(F.upper(day), F.lit(" +0000"))).otherwise(F.concat(F.lit("Mon, "), day, F.lit(" +0000")))
     extra = F.map_filter(
         F.create_map(
             F.lit("Distribution"), F.when(n % 7 == 0, F.when(n % 2 == 0, "all").otherwise("local")),

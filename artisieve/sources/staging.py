@@ -5,19 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` once to the session's spark.checkpoint.dir and reads it back; a local folder only where none is set and
-    Spark runs on one machine."""
-    spark = df.sparkSession
+def place(spark: SparkSession, label: str) -> str:
+    """A new path in the session's spark.checkpoint.dir; in a local folder only where none is set and Spark runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="artisieve-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/artisieve/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/artisieve/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` once to the shared folder (``place``) and reads it back."""
+    path = place(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -261,6 +261,22 @@ def test_twenty_thousand_rules_equal_the_plain_join(spark, monkeypatch):
     assert got == want and len(want) > 2000
 
 
+def test_scan_limits_are_bytes(spark):
+    a = articles(spark, ("s", "éééé日word", "a.b", "x", None, "text"), ("s", "word éé", "a.b", "x", None, "binary"), ("s", None, "a.b", "x", None, "text"))
+    got = [r.body for r in rules.scan_body(a, {"text": 9, "binary": 6}).orderBy("article_id").collect()]
+    assert got == ["éééé", "word ", None]
+    assert [r.body for r in rules.scan_body(a, {"text": 15, "binary": 0}).orderBy("article_id").collect()] == ["éééé日word", "word éé", None]
+
+
+def test_dates_are_read_without_case_and_xref_whole(spark):
+    for value in ("mon, 01 jan 2024 00:00:00 +0000", "MON, 1 JAN 2024 00:00 GMT", "1 Jan 2024 00:00:00 -0100"):
+        assert validity.is_date(value)
+    assert not validity.is_date("Mxn, 1 Jan 2024 00:00:00 +0000") and not validity.is_date("1 Jam 2024 00:00:00 +0000")
+    long = "news.example " + " ".join(f"a.b:{i}" for i in range(12_000))
+    rows = spark.createDataFrame([("Xref", long), ("Xref", long + " bad")], "name string, value string")
+    assert [r[0] for r in rows.select(validity.native_reason(F.col("name"), F.col("value"))).collect()] == [None, "invalid-xref"]
+
+
 def articles(spark, *rows):
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "article_id long, subject string, body string, newsgroups string, from string, client_ip string, article_type string")
 
