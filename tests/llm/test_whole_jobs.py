@@ -135,6 +135,74 @@ def test_op7_finds_fuzzy_passages(spark):
     assert found <= {(2 * i + 1, 2 * i) for i in range(200)} and len(found) > 0.85 * 200
 
 
+@pytest.mark.parametrize(("words", "kind"), [(60, "replaced"), (60, "moved"), (100, "replaced"), (100, "moved")])
+def test_op7_recall_at_identity_85(spark, words, kind):
+    """Of passages with 15 % of their words replaced, or half of that added and half lost, 0.9 are found at least."""
+    from artisieve.llm.chain_dedup import fuzzy_passages
+
+    r, rows = random.Random(7), []
+    for i in range(150):
+        p = [f"p{i}x{j}" for j in range(words)]
+        q, edits = list(p), round(words * 0.15)
+        if kind == "replaced":
+            for j in r.sample(range(words), edits):
+                q[j] = f"q{i}x{j}"
+        else:
+            for j in sorted(r.sample(range(words), edits // 2), reverse=True):
+                del q[j]
+            for j in range(edits - edits // 2):
+                q.insert(r.randrange(len(q) + 1), f"q{i}x{j}")
+        for d, (name, body) in enumerate((("a", p), ("b", q))):
+            around = [[f"{name}{side}{i}x{j}" for j in range(40)] for side in "lr"]
+            rows.append((2 * i + d, " ".join(around[0] + body + around[1])))
+    found = fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.source_id) for x in found} <= {(2 * i + 1, 2 * i) for i in range(150)}
+    assert len({x.doc_id for x in found}) >= 0.9 * 150
+    for x in found:  # nothing but the passages
+        assert 40 <= x.start_word < x.end_word <= 40 + words + 9 and 40 <= x.source_start < x.source_end <= 40 + words and 0.8 <= x.identity <= 1
+
+
+def test_op7_chain_equals_square_time_chaining():
+    from artisieve.llm.chain_dedup import chain
+
+    r = random.Random(3)
+    for _ in range(300):
+        n, span = r.randrange(1, 30), r.choice([6, 30, 200])
+        found = sorted({(r.randrange(span), r.randrange(span)) for _ in range(n)})
+        p, q = [x for x, _ in found], [y for _, y in found]
+        f = []
+        for j in range(len(p)):
+            ways = [f[i] - 0.1 * (p[j] - p[i] + q[j] - q[i]) for i in range(j) if p[i] < p[j] and q[i] < q[j]]
+            f.append(8 + max(0.0, *ways, 0.0))
+        got = chain(p, q, 8)
+        assert sorted(i for c in got for i in c) == list(range(len(p)))
+        assert all(p[a] < p[b] and q[a] < q[b] for c in got for a, b in zip(c, c[1:]))
+        score = lambda c: 8 * len(c) - sum(0.1 * (p[b] - p[a] + q[b] - q[a]) for a, b in zip(c, c[1:]))
+        assert score(got[0]) == pytest.approx(max(f))
+
+
+def test_op7_alignment_equals_dynamic_programming():
+    from artisieve.llm.chain_dedup import align, common, extend, reach
+
+    r = random.Random(4)
+    for _ in range(300):
+        x, y = ([r.randrange(r.choice([2, 5])) for _ in range(r.randrange(14))] for _ in range(2))
+        longest = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        score = [[-3.0 * (i + j) + (i + j) / 2 for j in range(len(y) + 1)] for i in range(len(x) + 1)]
+        for i in range(1, len(x) + 1):
+            for j in range(1, len(y) + 1):
+                same = x[i - 1] == y[j - 1]
+                longest[i][j] = max(longest[i - 1][j], longest[i][j - 1], longest[i - 1][j - 1] + same)
+                score[i][j] = max(score[i - 1][j] - 2.5, score[i][j - 1] - 2.5, score[i - 1][j - 1] + (1 if same else -2))
+        assert common(np.array(x, np.uint32), np.array(y, np.uint32)) == longest[-1][-1]
+        i, j = extend(x, y, drop=1e9)
+        assert score[i][j] == max(max(row) for row in score)
+    a, b = np.arange(100, dtype=np.uint32), np.concatenate([np.arange(20), [500], np.arange(20, 60), np.arange(63, 100)]).astype(np.uint32)
+    assert reach(a, b) == (100, 98, 97) and reach(a, b[:0]) == (0, 0, 0)
+    assert align(a, b, np.array([30, 40]), np.array([31, 41]), 8) == (0, 100, 0, 98, 97)
+    assert align(a, b, np.array([10, 40]), np.array([10, 41]), 8) == (0, 100, 0, 98, 97)
+
+
 def test_word_hashes_read_all_words():
     from artisieve.llm.common import minimisers, word_hashes, words_of
 
