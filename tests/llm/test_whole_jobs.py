@@ -203,6 +203,38 @@ def test_op7_alignment_equals_dynamic_programming():
     assert align(a, b, np.array([10, 40]), np.array([10, 41]), 8) == (0, 100, 0, 98, 97)
 
 
+def test_op7_chains_of_a_batch_equal_single_ones():
+    from artisieve.llm.chain_dedup import align, plain_spans
+
+    r, rows = random.Random(6), []
+    for _ in range(400):
+        core = [r.randrange(1000) for _ in range(r.choice([8, 20]))]
+        side = lambda: [r.randrange(r.choice([3, 40, 1000])) for _ in range(r.randrange(30))]
+        lead, trail = side(), side()
+        x, y = ((lead if r.random() < 0.5 else side()), (trail if r.random() < 0.5 else side())), (lead, trail)
+        base = r.randrange(3) * 64, r.randrange(3) * 64
+        changed = [-1 if r.random() < 0.02 else w for w in core]
+        anchors = [0] if len(core) == 8 else [0, 3, 12]
+        bend = r.choice([0, 0, 0, 1])
+        ps, qs = [base[0] + len(x[0]) + i for i in anchors], [base[1] + len(y[0]) + i for i in anchors]
+        if len(anchors) > 1:
+            qs[-1] -= bend
+        a, b = ([*s[0], *c, *s[1]] for s, c in ((x, core), (y, changed)))
+        rows.append((ps, qs, base[0], np.array(a, np.int64).astype(np.uint32), base[1], np.array(b, np.int64).astype(np.uint32)))
+    cols = [*zip(*rows, strict=True)]
+    kinds = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+    arrays = [pa.array([w.tobytes() for w in c] if t == pa.binary() else list(c), t) for c, t in zip(cols, kinds, strict=True)]
+    batch = pa.RecordBatch.from_arrays(arrays, ["ps", "qs", "a_base", "a_words", "b_base", "b_words"])
+    done = 0
+    for part, first in ((batch.slice(0, 150), 0), (batch.slice(150), 150)):
+        at, spans = plain_spans(part, 8)
+        done += len(at)
+        for i, got in zip(at.tolist(), spans.T.tolist(), strict=True):
+            ps, qs, a0, a, b0, b = rows[first + i]
+            assert tuple(got) == align(a, b, np.array(ps) - a0, np.array(qs) - b0, 8)
+    assert 100 < done < 400
+
+
 def test_word_hashes_read_all_words():
     from artisieve.llm.common import minimisers, word_hashes, words_of
 
