@@ -82,14 +82,15 @@ def agreement(num: int, den: int, coordinates: int) -> int:
     return max(1, int(coordinates * t - 5 * (coordinates * t * (1 - t)) ** 0.5))
 
 
-def undecided(label: np.ndarray, n: np.ndarray, marks: np.ndarray, least: int, num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Pairs of different labels that sizes and signatures leave open. ``label`` may change between pairs."""
+def undecided(label: np.ndarray, joined: np.ndarray, n: np.ndarray, marks: np.ndarray, least: int, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Pairs of different labels that sizes and signatures leave open, but none whose ends are joined already. ``joined`` may
+    change between pairs."""
     for i in range(len(n) - 1):
-        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        rest = np.flatnonzero((label[i + 1 :] != label[i]) & (joined[i + 1 :] != joined[i])) + i + 1
         rest = rest[den * np.minimum(n[rest], n[i]) >= num * np.maximum(n[rest], n[i])]
         if len(rest):
             for j in rest[(marks[rest] == marks[i]).sum(axis=1) >= least].tolist():
-                if label[j] != label[i]:
+                if joined[j] != joined[i]:
                     yield i, j
 
 
@@ -100,14 +101,16 @@ def columns(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def forests(rows: DataFrame, least: int, num: int, den: int) -> DataFrame:
-    """(a, b): of each tree of ``rows(tree, v, n, label, marks)`` a spanning forest, between classes, of the pairs left open."""
+    """(a, b): of each tree of ``rows(tree, v, n, label, marks)`` a spanning forest of the pairs left open. It spans sets, not
+    classes: an open pair may turn out to be no link, and then another pair of the same two classes has to be decided, so that
+    the ends of all open pairs belong to the family."""
 
     def grow(b: pa.RecordBatch) -> list[tuple[int, int]]:
         label, n, marks = columns(b)
-        out = []
-        for i, j in undecided(label, n, marks, least, num, den):
+        out, tree = [], np.arange(len(n))
+        for i, j in undecided(label, tree, n, marks, least, num, den):
             out.append((i, j))
-            label[label == label[j]] = label[i]
+            tree[tree == tree[j]] = tree[i]
         return out
 
     return by_tree(rows.select("tree", "v", "n", "label", "marks"), grow)
@@ -122,7 +125,7 @@ def family_links(rows: DataFrame, least: int, num: int, den: int) -> DataFrame:
         b = b.take(pa.array(own))
         label, n, marks = columns(b)
         sets, out = [unpacked(x) for x in b.column("shingles").to_pylist()], []
-        for i, j in undecided(label, n, marks, least, num, den):
+        for i, j in undecided(label, label, n, marks, least, num, den):
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if den * both >= num * (int(n[i] + n[j]) - both):
                 out.append((int(own[i]), int(own[j])))

@@ -160,6 +160,17 @@ def test_minhash_classes(spark, rows, monkeypatch, block, num, k):
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_minhash_forests_hold_both_ends_of_every_open_pair(spark):
+    from artisieve.llm import minhash
+
+    marks = bytearray(bytes(128))
+    # Sets 1 and 2 are one class, set 3 is another; both of its pairs with the class are open.
+    rows = [(t, 10 * t + i, 50, 10 * t if i < 2 else 10 * t + i, marks) for t in range(5) for i in range(3)]
+    found = minhash.forests(spark.createDataFrame(rows, "tree long, v long, n long, label long, marks binary"), 79, 80, 100).collect()
+    assert {x for pair in found for x in pair} == {r[1] for r in rows}
+    assert len(found) == 10
+
+
 def test_circulant_signatures_follow_their_definition():
     from artisieve.llm import minhash
     from artisieve.llm.common import mix64
