@@ -261,6 +261,27 @@ def test_twenty_thousand_rules_equal_the_plain_join(spark, monkeypatch):
     assert got == want and len(want) > 2000
 
 
+def test_plain_words_are_decided_where_they_are_found(spark, monkeypatch):
+    import random
+
+    from artisieve.operators import automaton
+
+    assert automaton.plain("(^|[^a-z])Word([^a-z]|$)", "regex") == ("word", automaton.WORD) and automaton.plain("ab", "regex") == ("ab", automaton.HELD)
+    assert automaton.plain("a b", "contains") == ("a b", automaton.LOWER) and automaton.plain("a.b", "regex") is None and automaton.plain("é1", "contains") is None
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("aikSs") for _ in range(r.randint(2, 4)))
+    shapes = [lambda w: (w, "contains"), lambda w: (w, "regex"), lambda w: (f"(^|[^a-z]){w}([^a-z]|$)", "regex"), lambda w: (f"{w}+", "regex"), lambda w: (w, "exact")]
+    table = spark.createDataFrame([(f"r{i}", i, *r.choice(shapes)(word()), r.choice([True, False, None]), r.choice([None, ["body"], ["subject"]]), "score") for i in range(900)], "id string, ord int, pattern string, match_type string, case_sensitive boolean, targets array<string>, action string")
+    text = lambda n: r.choice(["", "\n"]).join(r.choice(["ſ", "ı", "İ", "\u212a", " ", "\n", "é", "1", word(), word()]) for _ in range(n))
+    a = articles(spark, *((text(3), text(40), "a.b", "x", None, "text") for _ in range(40)), (None, "ai", "a.b", "x", None, "text"), ("si\n", None, "a.b", "x", None, "text"))
+    hits = lambda t: {tuple(x) for x in content.badword_hits(a, t, scan=None).select("article_id", "rank", "rule_id", "subject_hit", "body_hit").collect()}
+    cut = table.withColumn("stop_on_match", F.col("ord") % 50 == 49)
+    got, got_cut = hits(table), hits(cut)
+    assert automaton.indexed([(1, False, [("body", "ai", "contains")])])[0] == {"body": {"ai": [(1, automaton.LOWER)]}}
+    monkeypatch.setattr(content, "tried", lambda articles, rules_, test, reads, texts: rules.met_rules(articles, rules_, test))
+    assert got == hits(table) and got_cut == hits(cut) and len(got) > len(got_cut) > 40
+
+
 def test_scan_limits_are_bytes(spark):
     a = articles(spark, ("s", "éééé日word", "a.b", "x", None, "text"), ("s", "word éé", "a.b", "x", None, "binary"), ("s", None, "a.b", "x", None, "text"))
     got = [r.body for r in rules.scan_body(a, {"text": 9, "binary": 6}).orderBy("article_id").collect()]
