@@ -409,6 +409,17 @@ def test_style_joins(spark):
     assert [(r.article_id, r.name) for r in structure.forbidden_header_names(a, names).collect()] == [(0, "X-Trace")]
 
 
+def test_mime_parts_leave_by_size():
+    import pyarrow as pa
+
+    bodies = ["x" * 300_000] * 40 + [None] * 9000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(bodies))), *(pa.nulls(len(bodies), pa.string()) for _ in range(3)), pa.array(bodies)], ["article_id", "content_type", "cte", "disposition", "body"])
+    got = list(content.part_batches([batch], lambda a: [(a[0], 1, "1", 1, "text/plain", None, None, {"k": "v"}, None, a[4] or "", False, None)]))
+    assert max(b.nbytes for b in got) < 4_000_000 and max(b.num_rows for b in got) <= content.PART_ROWS
+    assert [x for b in got for x in b.column("article_id").to_pylist()] == list(range(len(bodies)))
+    assert got[0].column("params")[0].as_py() == [("k", "v")] and sum(len(x) for b in got for x in b.column("body").to_pylist()) == 12_000_000
+
+
 def test_mime(spark):
     body = 'x\n--b\nContent-Type: text/plain\n\nhello\n--b\nContent-Type: image/png;\n name="q;\\"r.png"\nContent-Disposition: attachment\nContent-Transfer-Encoding: base64\n\nQUJD\n--b--\n'
     rows = [(0, 'multipart/alternative; boundary="b"', None, None, body), (1, "multipart/mixed; boundary=b", None, None, body), (2, "multipart/alternative; boundary=zz", None, None, body), (3, None, None, None, "plain"), (4, 'text/plain; x="', None, None, "y"), (5, "text/html", None, None, None)]
