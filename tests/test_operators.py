@@ -587,3 +587,13 @@ def test_metrics_add_to_scores(spark):
     table = table.withColumns({"target": F.lit("subject"), "match_type": F.lit("contains")})
     got = rules.named_scores(rules.ban_hits(a.withColumn("subject", F.lit("s")), table), global_limit=71.0).first()
     assert (got.scores, got.over) == ({"x": 72.0, "y": 0.0}, "x")
+
+
+def test_enforced_expressions_share_a_scan(spark):
+    a = spark.createDataFrame([(i, i % 6) for i in range(60)], "article_id long, n int")
+    code = lambda k: F.when(F.col("n") == k, 10 + k).otherwise(0)
+    table = lambda k: lambda open_: a.join(open_, "article_id", "left_semi").select("article_id", code(k).alias("legacy_code"))
+    for steps in ([("a", code(1)), ("b", code(2)), ("c", table(3)), ("d", code(4))], [("a", table(1)), ("b", code(2)), ("c", code(3)), ("d", table(4))]):
+        got = decide.enforce(a, steps)
+        assert sorted(map(tuple, got.collect())) == [(i, "_abcd"[i % 6], 10 + i % 6) for i in range(60) if 1 <= i % 6 <= 4]
+    assert sorted(x[0] for x in decide.enforce(a, [("a", code(1)), ("b", F.when(F.col("n") < 2, 7))]).groupBy("article_id").count().where("count > 1").collect()) == []
