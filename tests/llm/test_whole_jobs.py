@@ -348,3 +348,21 @@ def test_op3_repeated_rows_clashes_and_long_texts(spark):
         got = Counter((x.doc_id and int(x.doc_id), x.item_id) for x in leaks(table, bench).collect())
         assert got == {(d, i): 1 + (d == 1) for d in (1, 2, None) for i in (7, 8, None)}
     assert sorted(x.doc_id for x in keep_unleaked(docs, bench).collect()) == [3, 4]
+
+
+def test_first_holders_without_joins_of_large_groups(spark, monkeypatch):
+    from artisieve.llm import chain_dedup
+
+    monkeypatch.setattr(chain_dedup, "OFTEN", 10)
+    rows = [(row, row % 50, p, seed, seed * 10 + row % (1 + seed)) for seed in range(6) for row in range(4 + 10 * (seed % 3)) for p in range(1 + (row + seed) % 2)] + [(7, 7, 3, 99, 1)]
+    made = chain_dedup.first_holders(spark.createDataFrame(rows, "row long, id long, p int, seed long, block long"))
+    want = set()
+    for row, i, p, seed, block in rows:
+        for same in ([x for x in rows if x[3] == seed], [x for x in rows if x[3:] == (seed, block)]):
+            b = min((x[1], x[0], x[2]) for x in same)
+            if b[1] != row:
+                want.add((row, i, p, b[1], b[0], b[2]))
+    got = [tuple(x) for x in made.collect()]
+    assert set(got) == want and len(want) > 50
+    # Joins keep all places, hot or not: none has the large groups alone on both sides.
+    assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()
