@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from artisieve.llm.common import ngram_hashes, scratch, slices, sliding, staged
+from artisieve.llm.common import ngram_hashes, scratch, shuffles_released, slices, sliding, staged
 from artisieve.llm.spans import bit_table, both_sides, found_rows, in_table, keyed, shared_hashes, window_starts
 
 #: Neighbours that are compared at once; a longer run of equal suffixes is split, and its pieces are matched across.
@@ -130,7 +130,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, width: int = 36, id_
     agree, up to ``min_words`` words beyond the windows matched with this partner. Null ids and texts take no part;
     rows of one id and text count once; repeats within one document are not reported. The result is staged.
     """
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), shuffles_released(docs.sparkSession):
         source = keyed(docs, id_col, text_col)
 
         def first_hashes(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -366,3 +367,57 @@ def test_first_holders_without_joins_of_large_groups(spark, monkeypatch):
     assert set(got) == want and len(want) > 50
     # Joins keep all places, hot or not: none has the large groups alone on both sides.
     assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_holders_use_one_exchange(spark):
+    from artisieve.llm import chain_dedup
+
+    made = chain_dedup.first_holders(spark.createDataFrame([(1, 1, 0, 5, 6), (2, 2, 0, 5, 6)], "row long, id long, p int, seed long, block long"))
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {tuple(x) for x in made.collect()} == {(2, 2, 0, 1, 1, 0)}
+
+
+def test_matches_that_come_twice_count_once(spark):
+    from artisieve.llm.chain_dedup import chains
+
+    rows = [(1, 1, 0, 0, x, x + 3) for x in (0, 20, 50)]
+    got = [chains(spark.createDataFrame(r, "row long, id long, b long, b_id long, p int, q int"), 8, 50).collect() for r in (rows, rows + rows[1:])]
+    assert got[0] == got[1] and len(got[0]) > 0
+
+
+def test_op7_seeds_go_before_slices_are_cut(spark, monkeypatch, tmp_path):
+    from artisieve.llm import chain_dedup, common
+
+    left, plain = [], chain_dedup.both_sides
+    text = " ".join(f"w{j}" for j in range(80))
+
+    def seen(*args):
+        left.extend(sorted(x.name.rsplit("-", 1)[0] for x in (tmp_path / "artisieve").iterdir()))
+        return plain(*args)
+
+    monkeypatch.setattr(chain_dedup, "both_sides", seen)
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    got = chain_dedup.fuzzy_passages(spark.createDataFrame([(1, text), (2, "x y " + text)], "doc_id long, text string"))
+    assert [(x.doc_id, x.start_word, x.end_word, x.source_id) for x in got.collect()] == [(2, 2, 82, 1)]
+    assert left == ["chains"]
+    assert [x.name.rsplit("-", 1)[0] for x in (tmp_path / "artisieve").iterdir()] == ["fuzzy-passages"]
+
+
+def test_both_sides_share_one_exchange_of_slices(spark, monkeypatch):
+    from artisieve.llm import spans
+
+    monkeypatch.setattr(spans, "SPLIT", 3)  # the slice of document 0 is dealt to four tasks
+    texts = {i: " ".join(f"w{(i * 7 + j) % 50}" for j in range(200)) for i in range(13)}
+    docs = spark.createDataFrame(list(texts.items()), "row long, text string")
+    pairs = spark.createDataFrame([(i, 3, 90, 0, 70, 120) for i in range(1, 13)], "a long, a_lo int, a_hi int, b long, b_lo int, b_hi int")
+    words = lambda i, lo, hi: spans.word_hashes(pa.array([texts[i]]))[0].astype(np.uint32)[lo:hi].tobytes()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = spans.both_sides(docs, pairs)
+        got = sorted((x.a, x.a_base, bytes(x.a_words), x.b, x.b_base, bytes(x.b_words)) for x in made.collect())
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == [(i, 0, words(i, 0, 128), 0, 64, words(0, 64, 128)) for i in range(1, 13)]
+    assert re.search(r"ReusedExchange \[row.*, Exchange hashpartitioning\(row.*REPARTITION_BY_COL", plan)
