@@ -98,17 +98,19 @@ class Written(WriterCommitMessage):
 
 class FileWriter(DataSourceWriter):
     """Tasks write into a hidden folder of the run, under names from the rows, so that an attempt made again writes the same files.
-    The commit renames that folder, at once; an abort deletes it."""
+    The commit renames that folder, at once; an abort moves it away, so that tasks still running have no folder to write to, and
+    deletes it (where opening a file makes its folder, such a task may leave hidden files)."""
 
     def __init__(self, options: dict, overwrite: bool):
         if overwrite:
             raise ValueError("article files are only added to")
         self.path, self.run = options["path"], uuid.uuid4().hex
+        system, root = opened(self.path)
+        system.create_dir(posixpath.join(root, f"_{self.run}"), recursive=True)
 
     def write(self, rows: Iterator) -> Written:
         system, root = opened(self.path)
         into, n = posixpath.join(root, f"_{self.run}"), 0
-        system.create_dir(into, recursive=True)
         for row in rows:
             name = row["file_name"]
             if not name or "/" in name or name.startswith(("_", ".")):
@@ -120,13 +122,17 @@ class FileWriter(DataSourceWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         system, root = opened(self.path)
+        into = posixpath.join(root, f"_{self.run}")
         if any(m is not None and m.rows for m in messages):
-            system.move(posixpath.join(root, f"_{self.run}"), posixpath.join(root, f"run-{self.run}"))
+            system.move(into, posixpath.join(root, f"run-{self.run}"))
+        else:
+            system.delete_dir(into)
 
     def abort(self, messages: list[Written | None]) -> None:
         system, root = opened(self.path)
         if system.get_file_info(into := posixpath.join(root, f"_{self.run}")).type == fs.FileType.Directory:
-            system.delete_dir(into)
+            system.move(into, gone := f"{into}-aborted")
+            system.delete_dir(gone)
 
 
 class ArticleFiles(DataSource):

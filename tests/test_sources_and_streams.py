@@ -237,6 +237,22 @@ def test_message_files_round_trip(spark, tmp_path):
     assert messages.read_message_files(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_a_task_that_outlives_an_abort_leaves_nothing(tmp_path):
+    from artisieve.sources import messages
+
+    writer = messages.FileWriter({"path": f"file://{tmp_path}/out"}, False)
+
+    def rows():
+        yield {"file_name": "a", "content": "X: 1"}
+        writer.abort([])
+        yield {"file_name": "b", "content": "X: 2"}
+
+    for late in (rows(), iter([{"file_name": "c", "content": "X: 3"}])):  # one under way, one that only begins
+        with pytest.raises(FileNotFoundError):
+            writer.write(late)
+    assert list((tmp_path / "out").iterdir()) == []
+
+
 def test_empty_article_files_are_articles_in_batch_and_stream(spark, tmp_path):
     from artisieve.sources import messages
 
