@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from artisieve.llm.common import ngram_hashes, scratch, slices, staged, word_hashes
+from artisieve.llm.common import ngram_hashes, scratch, slices, small_batches, staged, word_hashes
 from artisieve.llm.graph import components
 
 HEAVY = 1 << 20
@@ -341,7 +341,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     a null id has a null class unless its text links it to others; repeated ids and texts share a class
     where their texts are similar. Other columns are not read. The result is staged, what led to it is deleted.
     """
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), small_batches(docs.sparkSession):
         source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         heavy = frequent_shingles(source, k)
         sig = staged(signatures(source, k, num, den, heavy), "signatures")

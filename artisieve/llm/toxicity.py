@@ -17,15 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from artisieve.llm.common import slices
+from artisieve.llm.common import slices, small_batches
 
 TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
 class TermIds(dict):
-    """term -> hashed id, remembered for up to ``bound`` terms."""
+    """term -> hashed id, remembered for up to ``bound`` terms: the frequent ones are met again at once, for the others a dictionary costs
+    each worker more memory than it saves time."""
 
-    def __init__(self, bits: int, bound: int = 300_000):
+    def __init__(self, bits: int, bound: int = 20_000):
         self.mask, self.bound = (1 << bits) - 1, bound
 
     def __missing__(self, term: bytes) -> int:
@@ -120,7 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None =
 
     kind = dict(docs.dtypes)[id_col]
     each = texts.mapInArrow(terms, f"id {kind}, label int, terms binary").groupBy("id", "label").agg(F.max("terms").alias("terms"))  # at most sample_rows rows
-    got = each.toArrow().sort_by("id")
+    with small_batches(docs.sparkSession):
+        got = each.toArrow().sort_by("id")
     rows = [np.frombuffer(x, np.int32) for x in got.column("terms").to_pylist()]
     return fit(rows, np.array(got.column("label").to_pylist(), np.float64), bits)
 

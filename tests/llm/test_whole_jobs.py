@@ -421,3 +421,33 @@ def test_both_sides_share_one_exchange_of_slices(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert got == [(i, 0, words(i, 0, 128), 0, 64, words(0, 64, 128)) for i in range(1, 13)]
     assert re.search(r"ReusedExchange \[row.*, Exchange hashpartitioning\(row.*REPARTITION_BY_COL", plan)
+
+
+def test_near_duplicates_hand_python_small_batches(spark, monkeypatch):
+    from artisieve.llm import jaccard_join
+
+    name, sizes, plain = "spark.sql.execution.arrow.maxBytesPerBatch", [], jaccard_join.staged
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat(id, repeat(' x', 4000), ' ', id) AS text").coalesce(1)
+
+    def bytes_of(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    def spied(df, label, keep=False):
+        if label == "signatures":
+            sizes.extend(x.n for x in docs.mapInArrow(bytes_of, "n long").collect())
+        return plain(df, label, keep)
+
+    before = spark.conf.get(name)
+    monkeypatch.setattr(jaccard_join, "staged", spied)
+    assert jaccard_join.near_duplicates(docs).count() == 4000
+    assert sum(sizes) > 32e6 and max(sizes) < 5e6
+    assert spark.conf.get(name) == before
+
+
+def test_toxicity_remembers_few_terms():
+    from artisieve.llm.toxicity import TermIds
+
+    ids, terms = TermIds(18), [f"t{i}" for i in range(100_000)]
+    assert ids.of(" ".join(terms)).tolist() == sorted({zlib.crc32(t.encode()) & (1 << 18) - 1 for t in terms})
+    assert len(ids) <= 20_000
