@@ -325,6 +325,16 @@ def test_bans_scores_and_overrides(spark):
     assert [r.overrides for r in rules.config_overrides(steps).collect()] == [{"limits.x": "6"}]
 
 
+def test_registered_scores_read_whole_bodies(spark, tmp_path):
+    from artisieve.plans import queries
+
+    far = "x" * 40_000 + " quelle"  # beyond the bytes that other rules read
+    docs = [(1, "a\n" + far, "en", "src"), (2, "the\n" + far, "de", "src"), (3, "a\nb", "de", "src")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.named_scores(spark, str(tmp_path)).collect())
+    assert got == [(1, 11.5, 0.0, "lang"), (2, 7.5, 3.0, None)]
+
+
 def test_bad_patterns_are_disabled(spark):
     table = spark.createDataFrame([("ok", "a+", "regex"), ("bad", "(", "regex"), ("text", "(", "contains")], "id string, pattern string, match_type string")
     assert {r.id: r.enabled for r in rules.valid_rules(table).collect()} == {"ok": True, "bad": False, "text": True}
