@@ -451,3 +451,57 @@ def test_toxicity_remembers_few_terms():
     ids, terms = TermIds(18), [f"t{i}" for i in range(100_000)]
     assert ids.of(" ".join(terms)).tolist() == sorted({zlib.crc32(t.encode()) & (1 << 18) - 1 for t in terms})
     assert len(ids) <= 20_000
+
+
+@pytest.mark.parametrize("kind", ["exact", "replaced", "moved"])
+def test_op7_meets_holders_behind_the_first(spark, monkeypatch, kind):
+    """Passages whose seeds all occur first in documents that hold a part of 35 words."""
+    from artisieve.llm import chain_dedup, holders
+
+    monkeypatch.setattr(holders, "BLOCK", 2)
+    r, rows, want = random.Random(3), [], set()
+    line = " ".join(f"line{j}" for j in range(12))  # in all documents
+    for i in range(6):
+        p = [f"p{i}x{j}" for j in range(60)]
+        fuzzy = list(p)
+        if kind == "replaced":
+            for j in (29, 44, 55):
+                fuzzy[j] = f"q{i}x{j}"
+        elif kind == "moved":
+            fuzzy = [*p[:20], "add", *p[20:41], *p[43:]]
+        for d, body in enumerate((p[:35], p[25:], p, fuzzy, p)):
+            around = [" ".join(f"{side}{i}x{d}x{j}" for j in range(30 + r.randrange(9))) for side in "lr"]
+            rows.append((f"{10 * i + d:03}", f"{around[0]} {' '.join(body)} {around[1]} {line}"))
+        want |= {(f"{10 * i + d:03}", f"{10 * i + 2:03}") for d in (3, 4)}
+    found = chain_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    pairs = {(x.doc_id, x.source_id) for x in found}
+    assert want <= pairs | {(a, b) for a, b in want if (a, f"{int(b) + 1:03}") in pairs} and {a for a, _ in pairs} == {a for a, _ in want}
+    assert all(x.end_word - x.start_word >= 50 and x.identity >= 0.8 for x in found)
+
+
+def test_op7_runs_of_one_word(spark):
+    from artisieve.llm.chain_dedup import fuzzy_passages
+
+    own = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    run = lambda n: " ".join(["to"] * n)
+    broken = f"{run(4)} z {run(30)} w {run(14)}"
+    texts = [f"{own('a', 40)} {run(10)} {own('b', 40)}", f"{own('c', 40)} {run(53)} {own('d', 40)}", f"{own('e', 40)} {broken} {own('f', 40)}", f"{own('g', 40)} {run(300)} {own('h', 40)}"]
+    found = fuzzy_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    cover = {d: {j for x in found if x.doc_id == d for j in range(x.start_word, x.end_word)} for d in (2, 3)}
+    assert {x.doc_id for x in found} == {2, 3}
+    assert cover[2] == set(range(40, 90)) and set(range(40, 340)) <= cover[3] <= set(range(38, 342))
+
+
+def test_bags_never_hide_common_words():
+    from artisieve.llm.holders import BITS, bags
+
+    r = np.random.default_rng(5)
+    words = r.integers(0, 1 << 63, 40, dtype=np.uint64)[r.integers(0, 40, 4000)]
+    lo = r.integers(0, 3900, 60)
+    sides = [(lo, lo + r.integers(0, 42, 60)), (lo + 50, lo + 50 + r.integers(0, 42, 60))]
+    bits, hidden = bags(words, sides, 42)
+    assert bits.shape == (60, BITS // 64)
+    for i in range(60):
+        for j in range(60):
+            true = sum(sum((Counter(words[s[i] : e[i]].tolist()) & Counter(words[s[j] : e[j]].tolist())).values()) for s, e in sides)
+            assert true <= int(np.bitwise_count(bits[i] & bits[j]).sum()) + min(hidden[i], hidden[j])
